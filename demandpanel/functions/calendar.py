@@ -37,43 +37,30 @@ def month_start(date: Column | str) -> Column:
     return F.trunc(col(date), "MM")
 
 
-def _statutory_holiday(d: Column) -> Column:
-    """Holidays named by law (from 1995 on), before substitutes and bridge days."""
-    y, m, dom = F.year(d), F.month(d), F.dayofmonth(d)
-    monday = F.weekday(d) == 0
-
-    def fixed(month, dayno, start=None, end=None):
-        rule = (m == month) & (dom == dayno)
-        if start:
-            rule = rule & (y >= start)
-        if end:
-            rule = rule & (y <= end)
-        return rule
-
-    def nth_monday(month, nth, start, skip=()):
-        rule = (m == month) & monday & (dom > 7 * (nth - 1)) & (dom <= 7 * nth) & (y >= start)
-        return rule & ~y.isin(*skip) if skip else rule
-
-    def equinox(month, base):
-        offset = F.floor(F.lit(base) + F.lit(0.242194) * (y - 1980)) - F.floor((y - 1980) / 4)
-        return (m == month) & (dom == offset)
-
-    iso = F.date_format(d, "yyyy-MM-dd")
+def _statutory_holiday(y: Column, md: Column, weekday: Column) -> Column:
+    """Holidays named by law (from 1995 on), before substitutes and bridge days.
+
+    ``md`` is month · 100 + day.
+    """
+    shifted = y.isin(2020, 2021)
+
+    def nth_monday(month: int, nth: int) -> Column:
+        first = month * 100 + 7 * nth - 6
+        return md.between(first, first + 6)
+
+    drift = F.lit(0.242194) * (y - 1980) - F.floor((y - 1980) / 4)
+    mondays = [
+        nth_monday(1, 2) & (y >= 2000), nth_monday(7, 3) & (y >= 2003) & ~shifted,
+        nth_monday(9, 3) & (y >= 2003), nth_monday(10, 2) & (y >= 2000) & ~shifted,
+    ]
     return any_of([
-        fixed(1, 1), fixed(1, 15, end=1999), nth_monday(1, 2, 2000),
-        fixed(2, 11), fixed(2, 23, start=2020),
-        equinox(3, 20.8431), fixed(4, 29), fixed(5, 3), fixed(5, 4, start=2007), fixed(5, 5),
-        fixed(7, 20, start=1996, end=2002), nth_monday(7, 3, 2003, skip=(2020, 2021)),
-        (m == 8) & (dom == 11) & (y >= 2016) & ~y.isin(2020, 2021),
-        fixed(9, 15, end=2002), nth_monday(9, 3, 2003), equinox(9, 23.2488),
-        fixed(10, 10, end=1999), nth_monday(10, 2, 2000, skip=(2020, 2021)),
-        fixed(11, 3), fixed(11, 23), fixed(12, 23, end=2018),
-        # One-off dates of 2019 to 2021 (fixed values).
-        iso.isin(
-            "2019-05-01", "2019-10-22",
-            "2020-07-23", "2020-07-24", "2020-08-10",
-            "2021-07-22", "2021-07-23", "2021-08-08",
-        ),
+        md.isin(101, 211, 429, 503, 505, 1103, 1123),
+        (md == F.floor(320.8431 + drift)) | (md == F.floor(923.2488 + drift)),
+        md.isin(115, 1010) & (y <= 1999), (md == 915) & (y <= 2002), (md == 720) & y.between(1996, 2002),
+        (md == 1223) & (y <= 2018), (md == 504) & (y >= 2007), (md == 811) & (y >= 2016) & ~shifted,
+        (md == 223) & (y >= 2020), (weekday == 0) & any_of(mondays),
+        # One-off dates of 2019 to 2021, as yyyymmdd (fixed values).
+        (y * 10000 + md).isin(20190501, 20191022, 20200723, 20200724, 20200810, 20210722, 20210723, 20210808),
     ])
 
 
@@ -83,7 +70,11 @@ def is_japanese_holiday(date: Column | str) -> Column:
     A pure column rule: no join and no calendar table to keep up to date.
     """
     d = col(date)
-    around = F.transform(F.array(*[F.lit(k) for k in range(-3, 2)]), lambda k: _statutory_holiday(F.date_add(d, k)))
+    days = F.array(*[
+        F.struct(F.year(x).alias("y"), (F.month(x) * 100 + F.dayofmonth(x)).alias("md"), F.weekday(x).alias("w"))
+        for x in (F.date_add(d, k) for k in range(-3, 2))
+    ])
+    around = F.transform(days, lambda x: _statutory_holiday(x["y"], x["md"], x["w"]))
 
     def rule(h: Column) -> Column:
         def named(shift: int) -> Column:

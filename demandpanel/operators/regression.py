@@ -188,6 +188,7 @@ def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_la
     if max_lag is None:
         largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         max_lag = max(0, min(largest // 2 - 2, math.ceil(12 * (largest / 100) ** 0.25)))
+    limit = F.least(limit, F.lit(max_lag))
     names = ["_y1", *[f"_d{i}" for i in range(1, max_lag + 1)]]
     design = rows.withColumns({
         "_rows": n, "_limit": limit, "_pos": F.row_number().over(by_day),
