@@ -103,8 +103,8 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min
     else:
         counted = pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
         ranked = (
-            counted.join(average_ranks(pairs, a, keys, "_ra"), [*keys, a])
-            .join(average_ranks(pairs, b, keys, "_rb"), [*keys, b])
+            counted.join(average_ranks(counted, a, keys, "_ra", weight="_w"), [*keys, a])
+            .join(average_ranks(counted, b, keys, "_rb", weight="_w"), [*keys, b])
         )
         w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
         out = ranked.groupBy(*keys).agg(

@@ -55,8 +55,11 @@ def cumulative(
     )
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n") -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n",
+                 weight: str | None = None) -> DataFrame:
+    """Each (keys, value) once with its rows, or with the sum of ``weight``."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias(n))
 
 
 def quantiles(
@@ -85,9 +88,10 @@ def interpolated(value: str, p: float) -> Column:
     return low + (high - low) * F.max(position - F.floor(position))
 
 
-def average_ranks(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str], out: str,
+                  weight: str | None = None) -> DataFrame:
     """(keys, value, rank): the mean rank of each distinct value; ties share it."""
-    ranked = cumulative(value_counts(df, value, keys, "n"), value, ["n"], keys)
+    ranked = cumulative(value_counts(df, value, keys, "n", weight), value, ["n"], keys)
     return ranked.select(
         *keys, value, (F.col("cum_n") - (F.col("n") - 1) / 2).alias(out),
     )
