@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -119,23 +120,20 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], keys: Sequen
     scored = g.ols(rows, target, features, keys, "_fit")
     e = F.col(target) - F.col("_fit")
     band = F.greatest(F.lit(1.0), F.floor(0.75 * F.pow(F.count(F.lit(1)).over(group), F.lit(1 / 3))))
-    scored = scored.withColumns(
-        {"_u0": e, "_band": band} | {f"_u{i}": e * F.col(c) for i, c in enumerate(features, start=1)}
-    )
     k = len(features) + 1
+    products = F.array(e, *[e * F.col(c) for c in features])
+    scored = scored.select(*keys, "date", products.alias("_u"), band.alias("_band"))
+    scored = scored.withColumns({f"_l{lag}": F.lag("_u", lag).over(by_day) for lag in range(1, max_lag + 1)})
 
-    def weighted(i: int):
-        out = 0.5 * F.col(f"_u{i}")
+    def weighted(x, i):
+        out = 0.5 * x
         for lag in range(1, max_lag + 1):
             weight = F.greatest(F.lit(0.0), 1 - lag / (F.col("_band") + 1))
-            out = out + weight * F.coalesce(F.lag(f"_u{i}", lag).over(by_day), F.lit(0.0))
+            out = out + weight * F.coalesce(F.get(f"_l{lag}", i), F.lit(0.0))
         return out
 
-    scored = scored.withColumns({f"_v{i}": weighted(i) for i in range(k)})
-    meat = scored.groupBy(*keys).agg(
-        F.max("_band").cast("bigint").alias("bandwidth"),
-        F.array(*[F.sum(F.col(f"_u{i}") * F.col(f"_v{j}")) for i in range(k) for j in range(k)]).alias("meat"),
-    )
+    scored = scored.select(*keys, "_band", "_u", F.transform("_u", weighted).alias("_v"))
+    meat = _sum_outer(scored, keys)
     moments = g.gram(rows, target, features, keys).join(meat, list(keys))
     features = list(features)
     schema = [
@@ -172,6 +170,30 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], keys: Sequen
     return moments.mapInPandas(solve, out_schema)
 
 
+def _sum_outer(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Σ u vᵀ per key: one matrix per task and key, then the matrices are added up."""
+    keys = list(keys)
+    schema = T.StructType([*[scored.schema[c] for c in keys], T.StructField("bandwidth", T.LongType()),
+                           T.StructField("meat", T.ArrayType(T.DoubleType()))])
+
+    def reduce_batches(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False):
+                u, v = np.array(part["_u"].tolist()), np.array(part["_v"].tolist())
+                held[key] = (int(part["_band"].iloc[0]), held.get(key, (0, 0.0))[1] + (u.T @ v).ravel())
+        yield pd.DataFrame([[*key, b, m.tolist()] for key, (b, m) in held.items()], columns=schema.names)
+
+    def add_up(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, band = 0.0, 0
+        for part in parts:
+            total = total + np.sum(part["meat"].tolist(), axis=0)
+            band = int(part["bandwidth"].iloc[0])
+        yield pd.DataFrame([[*key, band, total.tolist()]], columns=schema.names)
+
+    return scored.mapInPandas(reduce_batches, schema).groupBy(*keys).applyInPandas(add_up, schema)
+
+
 def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_lag: int | None = None,
               min_rows: int = 20) -> DataFrame:
     """Augmented Dickey–Fuller test with a constant, lag chosen by AIC.
@@ -189,25 +211,27 @@ def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_la
         largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         max_lag = max(0, min(largest // 2 - 2, math.ceil(12 * (largest / 100) ** 0.25)))
     limit = F.least(limit, F.lit(max_lag))
-    names = ["_y1", *[f"_d{i}" for i in range(1, max_lag + 1)]]
+    width = max_lag + 2
     design = rows.withColumns({
         "_rows": n, "_limit": limit, "_pos": F.row_number().over(by_day),
         "_y1": F.lag("_y", 1).over(by_day),
     }).where(F.col("_rows") >= min_rows)
-    design = design.withColumn("_d0", F.col("_y") - F.col("_y1"))
-    design = design.withColumns({
-        f"_d{i}": F.coalesce(F.lag("_d0", i).over(by_day), F.lit(0.0)) for i in range(1, max_lag + 1)
-    }).where("_d0 is not null")
+    earlier = F.reverse(F.collect_list("_d0").over(by_day.rowsBetween(-max_lag, -1))) if max_lag else F.array().cast("array<double>")
+    design = design.withColumn("_d0", F.col("_y") - F.col("_y1")).withColumn("_lags", earlier).where("_d0 is not null")
+    # Lags before the start are 0; no candidate of their node uses them.
+    padding = F.array_repeat(F.lit(0.0), F.lit(max_lag) - F.size("_lags"))
+    design = design.select(
+        *keys, "_rows", "_limit", "_pos",
+        F.concat(F.array("_y1"), "_lags", padding, F.array("_d0")).alias("_x"),
+    )
 
-    first = g.gram(design.where(F.col("_pos") > F.col("_limit") + 1), "_d0", names, keys)
+    first = g.gram_of_array(design.where(F.col("_pos") > F.col("_limit") + 1), "_x", width, keys)
     limits = design.groupBy(*keys).agg(F.max("_limit").alias("_limit"), F.max("_rows").alias("rows"))
     chosen = first.join(limits.select(*keys, "_limit"), list(keys)).mapInPandas(
         _lag_chooser(keys), T.StructType([first.schema[c] for c in keys] + [T.StructField("lag", T.LongType())]),
     )
-    second = g.gram(
-        design.join(chosen, list(keys)).where(F.col("_pos") > F.col("lag") + 1), "_d0", names,
-        [*keys, "lag"],
-    )
+    second = g.gram_of_array(
+        design.join(chosen, list(keys)).where(F.col("_pos") > F.col("lag") + 1), "_x", width, [*keys, "lag"])
     schema = [T.StructField("adf", T.DoubleType()), T.StructField("p", T.DoubleType())]
     out_schema = T.StructType([second.schema[c] for c in [*keys, "lag"]] + schema)
 
