@@ -131,7 +131,8 @@ def _matched(tokens_: Column, lexicon: dict[str, float], positive: bool) -> Colu
     return F.filter(tokens_, lambda t: t.isin(*words))
 
 
-def sentiment(text: Column | str, lexicon: dict[str, float] = fixed.SENTIMENT_LEXICON) -> Column:
+def sentiment(text: Column | str, lexicon: dict[str, float] = fixed.SENTIMENT_LEXICON,
+              digits: int | None = 3) -> Column:
     """STRUCT<polarity, label, positive_terms, negative_terms> of one text.
 
     The score is the sum of the matched weights over the token count; stop words count.
@@ -152,7 +153,7 @@ def sentiment(text: Column | str, lexicon: dict[str, float] = fixed.SENTIMENT_LE
         total = F.aggregate(t, F.lit(0.0), lambda acc, x: acc + weight_of(x))
         polarity = total / F.greatest(F.size(t), F.lit(1))
         return F.struct(
-            F.bround(polarity, 3).alias("polarity"),
+            (polarity if digits is None else F.bround(polarity, digits)).alias("polarity"),
             F.when(polarity > 0.1, "Positive").when(polarity < -0.1, "Negative")
             .otherwise("Neutral").alias("label"),
             _matched(t, lexicon, True).alias("positive_terms"),
