@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from . import fixed
+from .fixed import UNIT_ROOT_LARGE, UNIT_ROOT_MAX, UNIT_ROOT_MIN, UNIT_ROOT_SMALL, UNIT_ROOT_SPLIT
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -80,11 +80,11 @@ def ks_asymptotic(d: float, n_a: float, n_b: float) -> float:
 
 def unit_root_p(stat: float) -> float:
     """P-value of the unit-root statistic (constant, no trend) from the response surface."""
-    if stat > fixed.UNIT_ROOT_MAX:
+    if stat > UNIT_ROOT_MAX:
         return 1.0
-    if stat < fixed.UNIT_ROOT_MIN:
+    if stat < UNIT_ROOT_MIN:
         return 0.0
-    surface = fixed.UNIT_ROOT_SMALL if stat <= fixed.UNIT_ROOT_SPLIT else fixed.UNIT_ROOT_LARGE
+    surface = UNIT_ROOT_SMALL if stat <= UNIT_ROOT_SPLIT else UNIT_ROOT_LARGE
     return normal_cdf(sum(c * stat**i for i, c in enumerate(surface)))
 
 

@@ -16,6 +16,7 @@ from ..functions.tails import normal_two_sided, unit_root_p
 from ..functions.values import effect_size_label, significance_stars
 from . import gram as g
 from .features import add_differences, mark_split
+from .gram import fit, unpack
 
 
 def weather_free(features: Sequence[str]) -> list[str]:
@@ -147,9 +148,9 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], keys: Sequen
         for batch in batches:
             parts = []
             for row in batch.to_dict("records"):
-                mean, cov = g.unpack(row["mean"], row["cov"])
+                mean, cov = unpack(row["mean"], row["cov"])
                 n = int(row["n"])
-                r = g.fit(mean, cov, n, range(k - 1))
+                r = fit(mean, cov, n, range(k - 1))
                 m = mean[:-1]
                 # (X'X)^-1 with the intercept, from the centred inverse.
                 bread = np.empty((k, k))
@@ -239,8 +240,8 @@ def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_la
         for batch in batches:
             parts = []
             for row in batch.to_dict("records"):
-                mean, cov = g.unpack(row["mean"], row["cov"])
-                r = g.fit(mean, cov, int(row["n"]), range(1 + int(row["lag"])))
+                mean, cov = unpack(row["mean"], row["cov"])
+                r = fit(mean, cov, int(row["n"]), range(1 + int(row["lag"])))
                 stat = float(r["slope"][0] / r["se"][0]) if r["se"][0] > 0 else None
                 parts.append([row[c] for c in keys] + [
                     int(row["lag"]), stat, None if stat is None else unit_root_p(stat)])
@@ -259,10 +260,10 @@ def _lag_chooser(keys: Sequence[str]):
         for batch in batches:
             parts = []
             for row in batch.to_dict("records"):
-                mean, cov = g.unpack(row["mean"], row["cov"])
+                mean, cov = unpack(row["mean"], row["cov"])
                 n, best = int(row["n"]), (math.inf, 0)
                 for lag in range(int(row["_limit"]) + 1):
-                    r = g.fit(mean, cov, n, range(1 + lag))
+                    r = fit(mean, cov, n, range(1 + lag))
                     aic = n * math.log(max(r["sse"], 1e-300) / n) + 2 * (r["rank"] + 1)
                     best = min(best, (aic, lag))
                 parts.append([row[c] for c in keys] + [best[1]])

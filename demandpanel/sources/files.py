@@ -6,11 +6,11 @@ own header line and each group is read with its own names, then united by name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ROW_FILE, ROW_BLOCK, ROW_ID = "_file", "_block", "_row"
 STEM = r"([^/]+)\.csv$"
@@ -29,14 +29,32 @@ def _existing(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return False
 
 
+def is_unicode(encoding: str) -> bool:
+    return encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "UTF-8-SIG")
+
+
+def decoded(raw: Column, encoding: str) -> Column:
+    """Bytes to text in an encoding the built-in ``decode`` does not know, Arrow batch by batch."""
+    @F.pandas_udf(T.StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode(encoding, errors="replace"))
+
+    return decode(raw)
+
+
 def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
-    """Lines with their file and an order inside the file."""
-    return (
+    """Lines with their file and an order inside the file.
+
+    The text source hands over bytes as they are, so other encodings are decoded afterwards.
+    """
+    lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("encoding", encoding).option("ignoreCorruptFiles", True).text(path)
-        .select("value", F.col("_metadata.file_path").alias(ROW_FILE),
-                F.col("_metadata.file_block_start").alias(ROW_BLOCK),
-                F.monotonically_increasing_id().alias(ROW_ID))
+        .option("ignoreCorruptFiles", True).text(path)
+    )
+    value = F.col("value") if is_unicode(encoding) else decoded(F.col("value").cast("binary"), encoding).alias("value")
+    return lines.select(
+        value, F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.file_block_start").alias(ROW_BLOCK),
+        F.monotonically_increasing_id().alias(ROW_ID),
     )
 
 
@@ -49,14 +67,26 @@ def header_groups(spark: SparkSession, path, pattern: str = "*.csv", encoding: s
 
 
 def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """One header group as text columns, with the file and row order kept."""
+    """One header group as text columns, with the file and row order kept.
+
+    Legacy encodings are read byte for byte and decoded per column; their trailing bytes never
+    collide with separators, quotes or line ends.
+    """
+    plain = is_unicode(encoding)
     raw = (
-        spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
+        spark.read.option("header", True).option("inferSchema", False)
+        .option("encoding", "UTF-8" if plain else "ISO-8859-1")
         .option("multiLine", multi_line).option("escape", '"').option("ignoreCorruptFiles", True).csv(list(files))
     )
-    clean = {c: c.lstrip("﻿").strip() for c in raw.columns}
+
+    def name(c: str) -> str:
+        return (c if plain else c.encode("latin-1").decode(encoding, errors="replace")).lstrip("\ufeff").strip()
+
+    def value(c: str) -> Column:
+        return F.col(f"`{c}`") if plain else decoded(F.encode(F.col(f"`{c}`"), "ISO-8859-1"), encoding)
+
     return raw.select(
-        *[F.col(f"`{c}`").alias(clean[c]) for c in raw.columns],
+        *[value(c).alias(name(c)) for c in raw.columns],
         F.col("_metadata.file_path").alias(ROW_FILE), F.monotonically_increasing_id().alias(ROW_ID),
     )
 
@@ -101,13 +131,12 @@ def station_name(stem: Column) -> Column:
 def detect_encodings(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
     """(file, encoding): utf-8, utf-8-sig or cp932.
 
-    Lines are read as single bytes and checked as UTF-8 one by one, so the whole file is
+    The text source does not decode, so each line is checked as it is: the whole file is
     judged and large files stay split over tasks.
     """
-    lines = text_lines(spark, path, pattern, "ISO-8859-1")
-    raw = F.encode("value", "ISO-8859-1")
-    valid = F.is_valid_utf8(raw.cast("string"))
-    marked = (F.col(ROW_BLOCK) == 0) & (F.hex(F.substring(raw, 1, 3)) == "EFBBBF")
+    lines = text_lines(spark, path, pattern)
+    valid = F.is_valid_utf8("value")
+    marked = (F.col(ROW_BLOCK) == 0) & (F.hex(F.substring(F.col("value").cast("binary"), 1, 3)) == "EFBBBF")
     return lines.groupBy(F.col(ROW_FILE).alias("file")).agg(
         F.bool_and(valid).alias("_valid"), F.bool_or(marked).alias("_bom"),
     ).select("file", F.when(F.col("_valid") & F.col("_bom"), "utf-8-sig")
@@ -115,14 +144,9 @@ def detect_encodings(spark: SparkSession, path, pattern: str = "*.csv") -> DataF
 
 
 def rows_per_file(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
-    """(file, rows, columns) of every CSV in one job; the header does not count as a row."""
+    """(file, rows, columns) of every CSV in one job; lines after the header count as rows."""
     lines = text_lines(spark, path, pattern)
     return lines.groupBy(F.col(ROW_FILE).alias("file")).agg(
         (F.count(F.lit(1)) - 1).alias("rows"),
         F.size(F.split(F.min_by("value", F.struct(ROW_BLOCK, ROW_ID)), ",")).alias("columns"),
     )
-
-
-def read_ascii(paths: Sequence[str]) -> list[str]:
-    """Paths sorted as the file system would list them."""
-    return sorted(paths, key=lambda p: re.sub(r"^file:/+", "/", p))

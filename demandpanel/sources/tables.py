@@ -18,7 +18,7 @@ INTENT_CANDIDATES = ("directions", "ルート検索", "route_searches")
 
 def intent_daily(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
     """Intent of all year folders, first row per date in path and row order, and its column."""
-    rows = read_by_header(spark, f"{root}/*/total_daily_metrics.csv", "total_daily_metrics.csv")
+    rows = read_by_header(spark, f"{root}/*/total_daily_metrics.csv")
     if rows is None:
         raise FileNotFoundError(f"no intent files under {root}")
     route = first_present(rows, INTENT_CANDIDATES)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions import fixed
 from ..functions.values import number, timestamp
 from ..operators.panel import daily_weather
-from .files import ROW_BLOCK, ROW_FILE, ROW_ID, _existing, file_name, read_by_header, station_name, text_lines
+from .files import (
+    ROW_BLOCK, ROW_FILE, ROW_ID, STEM, _existing, file_name, read_by_header, station_name, text_lines,
+)
 
 
 def panel_names(df: DataFrame) -> DataFrame:
@@ -19,34 +21,38 @@ def panel_names(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def hourly_weather(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame | None:
-    """Hourly rows of all stations: station from the file name, numbers and times parsed."""
+def hourly_weather(spark: SparkSession, path, pattern: str = "*.csv", stem: str = STEM) -> DataFrame | None:
+    """Hourly rows of all stations: station from the path, numbers and times parsed.
+
+    ``stem`` is the pattern whose first group is the name holding the station.
+    """
     rows = read_by_header(spark, path, pattern)
     if rows is None:
         return None
-    stem = F.regexp_replace(file_name(ROW_FILE), r"\.csv$", "")
-    parsed = rows.withColumn("station", station_name(stem)).withColumn("timestamp", timestamp("timestamp"))
+    name = station_name(F.regexp_extract(ROW_FILE, stem, 1))
+    time = "timestamp" if "timestamp" in rows.columns else rows.columns[0]
+    parsed = rows.withColumn("station", name).withColumn("timestamp", timestamp(f"`{time}`"))
     numbers = {c: number(c) for c in fixed.HOURLY_NUMBERS if c in parsed.columns}
     return parsed.withColumns(numbers).where("timestamp is not null").drop(ROW_FILE, ROW_ID)
 
 
-def station_weather(spark: SparkSession, path, pattern: str = "jma_*.csv") -> DataFrame | None:
+def station_weather(spark: SparkSession, path, pattern: str = "jma_*.csv", stem: str = STEM) -> DataFrame | None:
     """The multi-station table under its dashboard names."""
-    rows = hourly_weather(spark, path, pattern)
+    rows = hourly_weather(spark, path, pattern, stem)
     return None if rows is None else rows.withColumnsRenamed(fixed.WEATHER_DASHBOARD_NAMES)
 
 
-def weather_daily(spark: SparkSession, primary: str, legacy: str | None = None) -> DataFrame:
+def weather_daily(spark: SparkSession, primary: str, legacy: str | None = None, stem: str = STEM) -> DataFrame:
     """Daily weather of the primary file, else of the legacy file, else an error."""
     path = next((p for p in (primary, legacy) if p and _existing(spark, p)), None)
     if path is None:
         raise FileNotFoundError(f"no weather file at {primary}" + (f" or {legacy}" if legacy else ""))
-    return daily_weather(panel_names(hourly_weather(spark, path)), keys=())
+    return daily_weather(panel_names(hourly_weather(spark, path, stem=stem)), keys=())
 
 
-def node_weather_daily(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
+def node_weather_daily(spark: SparkSession, path, pattern: str = "*.csv", stem: str = STEM) -> DataFrame:
     """Daily temp, precip, wind and snow depth per station; no file gives an empty frame."""
-    rows = hourly_weather(spark, path, pattern)
+    rows = hourly_weather(spark, path, pattern, stem)
     if rows is None:
         return spark.createDataFrame(
             [], "station string, date date, temp double, precip double, wind double, snow_depth double")
@@ -62,7 +68,7 @@ def _cells(line: Column, width: int) -> Column:
     return F.transform(F.array(parsed), lambda s: F.array(*[F.coalesce(s[f"c{i}"], F.lit("")) for i in range(width)]))[0]
 
 
-def raw_exports(spark: SparkSession, path, encoding: str = "windows-31j", width: int = 48) -> DataFrame:
+def raw_exports(spark: SparkSession, path, encoding: str = "cp932", width: int = 48) -> DataFrame:
     """Raw station exports to hourly rows, all files of a folder at once.
 
     Each file has its own preamble and repeated labels. The three header lines of every file
