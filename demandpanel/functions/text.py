@@ -80,9 +80,13 @@ def drop_stop_words(tokens_: Column | str, stop_words: Sequence[str] = fixed.STO
 
 
 def vector_terms(tokens_: Column | str) -> Column:
-    """Tokens split again at characters that are neither letters nor digits, lower-cased."""
-    joined = F.lower(F.array_join(col(tokens_), " "))
-    return F.regexp_extract_all(joined, F.lit(WORD), F.lit(0))
+    """Tokens split again at characters that are neither letters nor digits.
+
+    Only kana runs can hold such characters; documents without them keep their tokens.
+    """
+    joined = F.array_join(col(tokens_), " ")
+    resplit = F.regexp_extract_all(joined, F.lit(WORD), F.lit(0))
+    return F.when(joined.rlike(r"[^\p{L}\p{N}_ ]"), resplit).otherwise(col(tokens_))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,18 +116,16 @@ def term_counts(tokens_: Column | str) -> Column:
             ),
         ))
 
-    return _let(F.array_sort(col(tokens_)), runs)
+    return _let(F.sort_array(col(tokens_)), runs)
 
 
 def ngrams(tokens_: Column | str, n: int) -> Column:
     """Space-joined runs of ``n`` neighbouring tokens."""
-    return _let(col(tokens_), lambda t: F.when(
-        F.size(t) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))),
-            lambda i: F.array_join(F.slice(t, i, n), " "),
-        ),
-    ))
+    def runs(t: Column) -> Column:
+        joined = F.transform(t, lambda x, i: F.concat_ws(" ", x, *[F.get(t, i + k) for k in range(1, n)]))
+        return F.slice(joined, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
+
+    return _let(col(tokens_), runs)
 
 
 def _matched(tokens_: Column, lexicon: dict[str, float], positive: bool) -> Column:
@@ -149,15 +151,20 @@ def sentiment(text: Column | str, lexicon: dict[str, float] = fixed.SENTIMENT_LE
             out = F.when(hit, F.lit(weight)) if out is None else out.when(hit, F.lit(weight))
         return F.coalesce(out, F.lit(0.0))
 
-    def score(t: Column) -> Column:
-        total = F.aggregate(t, F.lit(0.0), lambda acc, x: acc + weight_of(x))
-        polarity = total / F.greatest(F.size(t), F.lit(1))
+    def score(z: Column) -> Column:
+        hits = z["hits"]
+        total = F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + weight_of(x))
+        polarity = total / F.greatest(z["size"], F.lit(1))
         return F.struct(
             (polarity if digits is None else F.bround(polarity, digits)).alias("polarity"),
             F.when(polarity > 0.1, "Positive").when(polarity < -0.1, "Negative")
             .otherwise("Neutral").alias("label"),
-            _matched(t, lexicon, True).alias("positive_terms"),
-            _matched(t, lexicon, False).alias("negative_terms"),
+            _matched(hits, lexicon, True).alias("positive_terms"),
+            _matched(hits, lexicon, False).alias("negative_terms"),
         )
 
-    return _let(tokens(text), score)
+    def hits_of(t: Column) -> Column:
+        # Few tokens are in the lexicon: find them once, weigh only those.
+        return F.struct(F.size(t).alias("size"), F.filter(t, lambda x: x.isin(*lexicon)).alias("hits"))
+
+    return _let(_let(tokens(text), hits_of), score)

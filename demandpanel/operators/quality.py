@@ -40,26 +40,22 @@ def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
 def profile_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), z_limit: float = 3.5) -> DataFrame:
     """Per column: rows, missing, share, moments, quartiles and two outlier counts.
 
-    The raw rows are read once, into distinct values with counts; moments, exact quartiles
-    and outliers all come from that reduced table. All-missing columns report NULLs.
+    Moments come from one scan with partial aggregation; quartiles and outliers from the
+    distinct values with their counts. All-missing columns report NULLs.
     """
     groups = [*keys, "column"]
-    counted = melt(df, columns, keys).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
-    present = counted.where("value is not null")
+    long = melt(df, columns, keys)
+    present = long.where("value is not null").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = cumulative(present, "value", ["n"], groups)
     x, n = F.col("value"), F.col("n")
-    basic = counted.groupBy(*groups).agg(
-        F.sum("n").alias("n_total"),
-        F.coalesce(F.sum(F.when(x.isNull(), n)), F.lit(0)).alias("n_missing"),
+    basic = long.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(x.isNull()).alias("n_missing"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sum(F.when(x.isNotNull(), n)).alias("_n"), (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
     )
     quartiles = ranked.groupBy(*groups).agg(
         interpolated("value", 0.25).alias("q25"), interpolated("value", 0.75).alias("q75"))
     stats = basic.join(quartiles, groups, "left")
-    spread = present.join(basic.select(*groups, "mean", "_n"), groups).groupBy(*groups).agg(
-        F.sqrt(F.sum(n * F.pow(x - F.col("mean"), F.lit(2))) / F.nullif(F.max("_n") - 1, F.lit(0))).alias("std"))
-    stats = stats.join(spread, groups, "left")
     iqr = F.col("q75") - F.col("q25")
     beyond = (x < F.col("q25") - 1.5 * iqr) | (x > F.col("q75") + 1.5 * iqr)
     far = (F.col("std") > 0) & (F.abs(x - F.col("mean")) > z_limit * F.col("std"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA
@@ -38,46 +39,62 @@ def word_weights(df: DataFrame, top: int = 150, tokens: str = "tokens") -> DataF
     return best.withColumn("weight", F.col("n") / largest)
 
 
-def vocabulary(df: DataFrame, size: int = 500, tokens: str = "tokens") -> DataFrame:
-    """The ``size`` most frequent vector terms with their count and document count.
+def _term_totals(df: DataFrame, tokens: str, with_documents: bool) -> DataFrame:
+    """(term, n, docs) over the corpus from one scan and one small shuffle.
 
-    Each document is counted inside its own row, so one small shuffle gives both numbers.
+    Each document is counted inside its own row. ``with_documents`` adds a NULL term counting
+    the documents that have any term.
     """
-    counted = df.select(F.explode(tx.term_counts(tx.vector_terms(tokens))).alias("_t"))
+    counted = tx.term_counts(tx.vector_terms(tokens))
+    if with_documents:
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("n")))
+        counted = F.concat(counted, F.when(F.size(tokens) > 0, marker).otherwise(F.slice(marker, 1, 0)))
     return (
-        counted.groupBy("_t.term").agg(F.sum("_t.n").alias("n"), F.count(F.lit(1)).alias("docs"))
-        .orderBy(F.col("n").desc(), "term").limit(size)
+        df.select(F.explode(counted).alias("_t")).groupBy("_t.term")
+        .agg(F.sum("_t.n").alias("n"), F.count(F.lit(1)).alias("docs"))
     )
 
 
+def vocabulary(df: DataFrame, size: int = 500, tokens: str = "tokens") -> DataFrame:
+    """The ``size`` most frequent vector terms with their count and document count."""
+    return _term_totals(df, tokens, False).orderBy(F.col("n").desc(), "term").limit(size)
+
+
+def _leading_terms(df: DataFrame, size: int, tokens: str) -> tuple[list, int]:
+    """At most ``size`` vocabulary rows on the driver and the number of non-empty documents."""
+    order = [F.col("term").isNull().desc(), F.col("n").desc(), "term"]
+    rows = _term_totals(df, tokens, True).orderBy(*order).limit(size + 1).collect()
+    if not rows:
+        return [], 0
+    return rows[1:], rows[0]["docs"]
+
+
 def tfidf_keywords(df: DataFrame, top: int = 25, size: int = 500, tokens: str = "tokens") -> DataFrame:
     """Mean TF-IDF of the leading terms: idf ln((1+n)/(1+df))+1, unit length per document.
 
     The vocabulary (at most ``size`` terms) is read once; term vectors, weighting,
     normalising and the mean then stay inside each document's row. Fewer than two
-    non-empty documents give no keywords.
+    non-empty documents give no keywords. Two scans of the texts in all.
     """
     spark = df.sparkSession
-    docs = df.select(tx.vector_terms(tokens).alias("_terms")).where(F.size("_terms") > 0)
-    terms = vocabulary(df, size, tokens).collect()
-    n = docs.count()
-    schema = "term string, score double"
+    terms, n = _leading_terms(df, size, tokens)
     if n < 2 or not terms:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "term string, score double")
     names = [r["term"] for r in terms]
     idf = Vectors.dense([_idf(n, r["docs"]) for r in terms])
+    docs = df.select(tx.vector_terms(tokens).alias("_terms"))
     counts = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="_tf").transform(docs)
     weighted = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w").transform(counts)
     unit = Normalizer(p=2.0, inputCol="_w", outputCol="_u").transform(weighted)
-    mean = unit.agg(vector_to_array(Summarizer.mean(unit["_u"])).alias("_m"))
+    # Empty documents add a zero vector, so the sum over all is the sum over the n others.
+    total = unit.agg(vector_to_array(Summarizer.sum(unit["_u"])).alias("_m"))
     labels = F.array(*[F.lit(w) for w in names])
-    scored = mean.select(F.posexplode("_m").alias("_i", "score")).select(F.get(labels, F.col("_i")).alias("term"), "score")
+    scored = total.select(F.posexplode("_m").alias("_i", "s")).select(
+        F.get(labels, F.col("_i")).alias("term"), (F.col("s") / n).alias("score"))
     return scored.orderBy(F.col("score").desc(), "term").limit(top)
 
 
 def _idf(n: int, df: int) -> float:
-    import math
-
     return math.log((1 + n) / (1 + df)) + 1
 
 
@@ -89,10 +106,11 @@ def topics(df: DataFrame, k: int = 5, top_words: int = 8, size: int = 500, seed:
     """
     spark = df.sparkSession
     schema = "topic int, words array<string>, weight double"
-    docs = df.select(tx.vector_terms(tokens).alias("_terms")).where(F.size("_terms") > 0)
-    names = [r["term"] for r in vocabulary(df, size, tokens).collect()]
-    if docs.count() < max(k, 5) or len(names) < k:
+    terms, n = _leading_terms(df, size, tokens)
+    names = [r["term"] for r in terms]
+    if n < max(k, 5) or len(names) < k:
         return spark.createDataFrame([], schema), None
+    docs = df.where(F.size(tokens) > 0).select(tx.vector_terms(tokens).alias("_terms"))
     vectors = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="features").transform(docs)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectors)
     labels = F.array(*[F.lit(w) for w in names])
