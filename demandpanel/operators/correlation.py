@@ -13,10 +13,14 @@ from .ordered import average_ranks, cumulative
 CCF_LAGS = tuple(range(-3, 8))
 
 
-def safe_corr(a: Column | str, b: Column | str) -> Column:
-    """corr that is NULL, not NaN, when a side is constant."""
-    r = F.corr(a, b)
-    return F.when(~F.isnan(r), r)
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson r over complete pairs, NULL when a side is constant.
+
+    ``corr`` itself divides by zero there, which is an error in ANSI mode.
+    """
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
 
 def pair_count(a: str, b: str) -> Column:

@@ -229,11 +229,10 @@ def site_resilience(survey: DataFrame, site: str, *, min_per_day: int = 3, min_d
     daily = rows.where("date is not null and _score is not null").groupBy("site", "date").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_score").alias("mean_sat")).where(F.col("n") >= min_per_day)
     dense = relative_density(daily, ["site"])
-    link = spearman(dense, "rel_density", "mean_sat", ["site"], 1).select(
-        "site", F.col("n").alias("n_days"),
-        F.when(F.col("n") >= min_days, F.bround("r", 3)).alias("spearman_r"),
-    )
-    return shares.join(link, "site", "left")
+    link = spearman(dense, "rel_density", "mean_sat", ["site"], 1).select(F.struct(
+        F.col("n").alias("n_days"), F.when(F.col("n") >= min_days, F.bround("r", 3)).alias("spearman_r"),
+    )).scalar()
+    return shares.withColumn("_link", link).select(*shares.columns, "_link.n_days", "_link.spearman_r")
 
 
 def relative_density(daily: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:

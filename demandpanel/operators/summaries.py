@@ -58,7 +58,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (), la
         rows = rows.withColumn("_s", span).withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi")})
     width = (F.col("_hi") - F.col("_lo")) / bins
     step = F.floor((x - F.col("_lo")) / F.nullif(width, F.lit(0.0)))
-    binned = rows.withColumn("bin", F.coalesce(F.least(step, F.lit(bins - 1)), F.lit(0)).cast("bigint") + 1)
+    binned = rows.withColumn("bin", F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)).cast("bigint") + 1)
     return binned.groupBy(*groups, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("_lo") + (F.col("bin") - 1) * width).alias("left"),
     )
