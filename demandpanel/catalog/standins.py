@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.panel import master_panel, with_node
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -28,8 +30,8 @@ def node_counts(spark, folder) -> DataFrame:
 def counts(spark, folder) -> DataFrame:
     """(node, date, count) of one site called ``all``."""
     o = table(spark, folder, "orders")
-    return o.groupBy(F.lit("all").alias("node"), F.col("o_orderdate").cast("date").alias("date")).agg(
-        (F.sum(_cents("o_totalprice")) / F.lit(100000.0)).alias("count"))
+    return with_node(o.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
+        (F.sum(_cents("o_totalprice")) / F.lit(100000.0)).alias("count")))
 
 
 def intent(spark, folder) -> DataFrame:
@@ -51,7 +53,7 @@ def _weather_measures():
 
 def weather(spark, folder) -> DataFrame:
     li = table(spark, folder, "lineitem")
-    return li.groupBy(F.lit("all").alias("node"), F.col("l_shipdate").cast("date").alias("date")).agg(*_weather_measures())
+    return with_node(li.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(*_weather_measures()))
 
 
 def node_weather(spark, folder) -> DataFrame:
@@ -65,14 +67,10 @@ def node_weather(spark, folder) -> DataFrame:
 
 
 def panel(spark, folder) -> DataFrame:
-    from ..operators.panel import master_panel
-
     return master_panel(counts(spark, folder), weather(spark, folder), intent(spark, folder))
 
 
 def node_panel(spark, folder) -> DataFrame:
-    from ..operators.panel import master_panel
-
     return master_panel(node_counts(spark, folder), node_weather(spark, folder), intent(spark, folder))
 
 

@@ -58,7 +58,7 @@ def corr_features_with_count(spark, folder):
     AND b.node IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1, 2"""))
 def corr_stations(spark, folder):
     names = ["1-URGENT", "2-HIGH", "5-LOW"]
-    wide = pn.outer_align(st.node_weather(spark, folder), "node", "temp", names).withColumn("node", F.lit("all"))
+    wide = pn.outer_align(st.node_weather(spark, folder), "node", "temp", names).transform(pn.with_node)
     return rounded(co.pearson_pairs(wide, names).drop("node"))
 
 
@@ -70,7 +70,7 @@ def corr_prefectures_daily(spark, folder):
     names = ("de", "en", "fr")
     s = st.survey(spark, folder)
     wide = pn.pivot_counts(s.where(F.col("prefecture").isin(*names)), "date", "prefecture", names)
-    return rounded(co.pearson_pairs(wide.withColumn("node", F.lit("all")), names).drop("node"))
+    return rounded(co.pearson_pairs(wide.transform(pn.with_node), names).drop("node"))
 
 
 @register("lag_profile_intent", with_("node_panel", body="WITH " + ccf_sql("node_panel", "directions", "count", list(range(8)), 0)

@@ -13,9 +13,16 @@ from .ordered import panel_quantile
 NODE = "all"
 
 
-def with_node(df: DataFrame, name: str = NODE) -> DataFrame:
-    """Give a single-site frame the ``node`` key every operator expects."""
-    return df if "node" in df.columns else df.withColumn("node", F.lit(name))
+def with_node(df: DataFrame, name: str = NODE, of: str = "date") -> DataFrame:
+    """Give a single-site frame the ``node`` key every operator expects.
+
+    The key is written as a function of column ``of``: a plain literal would be folded out of
+    later join conditions and turn joins on ``node`` into cross products.
+    """
+    if "node" in df.columns:
+        return df
+    nothing = F.coalesce(F.substring(F.col(of).cast("string"), 1, 0), F.lit(""))
+    return df.select(F.concat(F.lit(name), nothing).alias("node"), *df.columns)
 
 
 def daily_weather(

@@ -36,7 +36,8 @@ def camera_daily_kept(spark: SparkSession, path, stem: str = STEM, node: str | N
     ``node`` is a pattern on the path whose first group names the site.
     """
     counts = camera_file_counts(spark, path, stem)
-    site = F.regexp_extract("file", node, 1) if node else F.lit("all")
+    # A function of the file even for a single site, so that it is not folded out of joins.
+    site = F.regexp_extract("file", node, 1) if node else F.concat(F.lit("all"), F.substring("file", 1, 0))
     return (
         counts.select(site.alias("node"), F.col("day").try_cast("date").alias("date"), "count")
         .where("date is not null").groupBy("node", "date").agg(F.sum("count").alias("count"))

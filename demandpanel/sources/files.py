@@ -29,6 +29,11 @@ def _existing(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return False
 
 
+def _path() -> Column:
+    """The file of a row as a plain path; the metadata column holds it percent-encoded."""
+    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
 def is_unicode(encoding: str) -> bool:
     return encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "UTF-8-SIG")
 
@@ -53,7 +58,7 @@ def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str
     )
     value = F.col("value") if is_unicode(encoding) else decoded(F.col("value").cast("binary"), encoding).alias("value")
     return lines.select(
-        value, F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.file_block_start").alias(ROW_BLOCK),
+        value, _path().alias(ROW_FILE), F.col("_metadata.file_block_start").alias(ROW_BLOCK),
         F.monotonically_increasing_id().alias(ROW_ID),
     )
 
@@ -87,7 +92,7 @@ def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8
 
     return raw.select(
         *[value(c).alias(name(c)) for c in raw.columns],
-        F.col("_metadata.file_path").alias(ROW_FILE), F.monotonically_increasing_id().alias(ROW_ID),
+        _path().alias(ROW_FILE), F.monotonically_increasing_id().alias(ROW_ID),
     )
 
 
@@ -129,18 +134,15 @@ def station_name(stem: Column) -> Column:
 
 
 def detect_encodings(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
-    """(file, encoding): utf-8, utf-8-sig or cp932.
+    """(file, encoding): utf-8 or cp932 (which covers shift_jis).
 
     The text source does not decode, so each line is checked as it is: the whole file is
-    judged and large files stay split over tasks.
+    judged and large files stay split over tasks. A byte order mark needs no encoding of its
+    own, the readers drop it.
     """
     lines = text_lines(spark, path, pattern)
-    valid = F.is_valid_utf8("value")
-    marked = (F.col(ROW_BLOCK) == 0) & (F.hex(F.substring(F.col("value").cast("binary"), 1, 3)) == "EFBBBF")
     return lines.groupBy(F.col(ROW_FILE).alias("file")).agg(
-        F.bool_and(valid).alias("_valid"), F.bool_or(marked).alias("_bom"),
-    ).select("file", F.when(F.col("_valid") & F.col("_bom"), "utf-8-sig")
-             .when(F.col("_valid"), "utf-8").otherwise("cp932").alias("encoding"))
+        F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("cp932").alias("encoding"))
 
 
 def rows_per_file(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
