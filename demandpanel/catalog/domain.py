@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.values import right_closed_bin
 from ..operators import economics as ec, nodes as nd, satisfaction as sa
 from ..plans import studies as pl
 from ..sources.sinks import metric_rows
@@ -369,5 +368,3 @@ def report_tables(spark, folder):
     coef = metric_rows(rounded(t["coefficients"].select("node", "term", "coef", "stars")), "coef", ["node", "term"])
     return beta.unionByName(coef).unionByName(t["metrics"])
 
-
-__all__ = ["right_closed_bin"]

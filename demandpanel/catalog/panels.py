@@ -208,7 +208,7 @@ def first_row_per_date(spark, folder):
     arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1""")
 def first_and_last_per_key(spark, folder):
     o = st.table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    first = pn.first_per_key(o, ["o_custkey"], [F.col("o_orderkey")]).select(
+    first = pn.first_per_key(o, ["o_custkey"], ["o_orderkey"]).select(
         "o_custkey", F.col("o_orderkey").alias("first_key"), F.col("o_totalprice").alias("first_price"))
     last = pn.last_per_key(o, ["o_custkey"], ["o_orderkey"]).select(
         "o_custkey", F.col("o_orderkey").alias("last_key"), F.col("o_totalprice").alias("last_price"))

@@ -101,6 +101,8 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min
     running totals, so neither a hot value nor a hot key lands in one task.
     """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    for k in () if panel else keys:
+        pairs = pairs.where(F.col(k).isNotNull())
     if panel:
         ranked = pairs.select(*keys, _panel_rank(a, keys).alias("_ra"), _panel_rank(b, keys).alias("_rb"))
         out = ranked.groupBy(*keys).agg(safe_corr("_ra", "_rb").alias("r"), F.count(F.lit(1)).alias("n"))

@@ -17,12 +17,16 @@ RESOLUTION = 4096
 
 
 def value_cell(value: Column, resolution: int = RESOLUTION) -> Column:
-    """Order-preserving cell number: ``resolution`` cells per doubling of the magnitude."""
-    return F.floor(
+    """Order-preserving cell number: ``resolution`` cells per doubling of the magnitude.
+
+    Never NULL, so that joins on it infer no extra filter and both sides keep one shared scan.
+    """
+    cell = F.floor(
         F.signum(value.cast("double"))
         * F.log2(F.abs(value.cast("double")) * 1e6 + 1.0)
         * resolution
     )
+    return F.coalesce(cell, F.lit(0))
 
 
 def cumulative(
@@ -57,9 +61,15 @@ def cumulative(
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n",
                  weight: str | None = None) -> DataFrame:
-    """Each (keys, value) once with its rows, or with the sum of ``weight``."""
+    """Each (keys, value) once with its rows, or with the sum of ``weight``.
+
+    Rows without a key are left out here, before the first shuffle: every later join would drop
+    them anyway, and only equal filters let the branches share one scan and one exchange.
+    """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias(n))
+    for c in (*keys, value):
+        df = df.where(F.col(c).isNotNull())
+    return df.groupBy(*keys, value).agg(rows.alias(n))
 
 
 def quantiles(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import number
 from .correlation import ks_two_sample, with_ks_p
-from .ordered import cumulative, interpolated
+from .ordered import cumulative, interpolated, value_counts
 from .panel import date_gaps
 
 PROFILE = ("mean", "std", "min", "max", "q25", "q75")
@@ -45,7 +45,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     """
     groups = [*keys, "column"]
     long = melt(df, columns, keys)
-    present = long.where("value is not null").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+    present = value_counts(long, "value", groups)
     ranked = cumulative(present, "value", ["n"], groups)
     x, n = F.col("value"), F.col("n")
     basic = long.groupBy(*groups).agg(

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed, text
 from ..functions.comfort import discomfort_index, wind_chill
-from ..functions.values import any_of, known, right_closed_bin
+from ..functions.values import known, right_closed_bin
 from .correlation import chi_square_2x2, spearman
-from .ordered import panel_quantile
 
 
 def daily_satisfaction(survey: DataFrame, keys: Sequence[str] = (), keyword: str | None = None) -> DataFrame:
@@ -95,9 +94,8 @@ def comfort_correlations(comfort: DataFrame, sat_daily: DataFrame, min_days: int
     pairs = [("di_satisfaction", "discomfort_index", "mean_satisfaction", 1),
              ("wc_satisfaction", "wind_chill", "mean_satisfaction", min_pairs + 1),
              ("di_nps", "discomfort_index", "mean_nps", min_pairs + 1)]
-    rows = joined.withColumn("_days", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where(
-        F.col("_days") > min_days
-    ).select(F.explode(F.array(*[
+    days = joined.select(F.count(F.lit(1))).scalar()
+    rows = joined.where(days > min_days).select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(need).alias("need"))
         for name, x, y, need in pairs
     ])).alias("_p")).select("_p.*")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import col, first_present, numeric_columns
 from .ordered import cumulative, interpolated, value_counts
 
 
@@ -24,7 +23,7 @@ def counts_by(df: DataFrame, keys: Sequence[str | Column], n: str = "n") -> Data
 def shares(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count and share of each label."""
     counted = counts_by(df.where(F.col(label).isNotNull()), [*keys, label])
-    total = F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
+    total = F.sum("n").over(Window.partitionBy(*keys)) if keys else counted.select(F.sum("n")).scalar()
     return counted.withColumn("share", F.col("n") / total)
 
 
@@ -128,9 +127,3 @@ def first_samples(df: DataFrame, key: str, text: str, n: int, chars: int) -> Dat
     """The first ``n`` rows in key order, their text cut to ``chars``."""
     return df.orderBy(key).limit(n).withColumn(text, F.substring(text, 1, chars))
 
-
-__all__ = [
-    "box_numbers", "col", "counts_by", "first_present", "first_samples", "group_means", "group_sizes",
-    "grouping_column", "histogram", "longest_text_column", "numeric_columns", "score_brackets",
-    "seeded_sample", "shares", "text_column_profile", "top_groups",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import calendar as cal, comfort as cf, fixed
 from ..operators import (
-    correlation as co, economics as ec, features as ft, gram as gm, nodes as nd, panel as pn, satisfaction as sa,
+    economics as ec, features as ft, gram as gm, nodes as nd, panel as pn, satisfaction as sa,
 )
 
 LOSS_FEATURES = ("directions", "directions_lag1", "directions_lag2", "directions_lag3", "directions_roll7",
@@ -92,5 +92,3 @@ def report_tables(panel: DataFrame, features: Sequence[str]) -> dict[str, DataFr
         "metrics": metric_rows(rg.effect_size(panel, "count", features), "ols", ["node"]),
     }
 
-
-__all__ = ["co", "comfort_panel", "comfort_study", "crowding_study", "demand_loss", "report_tables", "site_network"]
