@@ -1,6 +1,6 @@
 """Headline queries, timed. Prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4), BENCH_RUNS (default 3).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4), BENCH_RUNS (default 1).
 Each query runs once to warm up, then the median of the timed runs counts.
 """
 
@@ -29,7 +29,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "4"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cpus, partitions=max(cpus, 4))
     chosen = [a for a in sys.argv[1:] if a in QUERIES] or HEADLINE
     times: dict[str, float] = {}
