@@ -84,6 +84,11 @@ def audit_score_range(spark, folder):
     return qu.domain_violations(st.survey(spark, folder), {"score_outside_1_to_5": ("warning", (v < 1) | (v > 5))})
 
 
+# Two absent headings, date gaps if there are any, scores out of range if there are any.
+WARNINGS = """CAST(2 + (SELECT CAST(datediff('day', min(date), max(date)) + 1 > count(DISTINCT date) AS INT) FROM counts)
+    + (SELECT CAST(count(*) FILTER (nps_raw < 1 OR nps_raw > 5) > 0 AS INT) FROM survey) AS BIGINT)"""
+
+
 def findings(spark, folder):
     daily = st.counts(spark, folder).select("date", "count")
     camera = qu.audit_camera(daily, "camera")
@@ -102,8 +107,8 @@ def audit_findings(spark, folder):
     return findings(spark, folder).where("severity <> 'drift'")
 
 
-@register("audit_rollup", with_("counts", "hourly", "survey", body="""SELECT CAST(3 AS BIGINT) AS sources, CAST((SELECT count(*) FROM counts) + (SELECT count(*) FROM hourly) + (SELECT count(*) FROM survey) AS BIGINT) AS total_rows,
-    CAST(4 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS errors, true AS passed"""))
+@register("audit_rollup", with_("counts", "hourly", "survey", body=f"""SELECT CAST(3 AS BIGINT) AS sources, CAST((SELECT count(*) FROM counts) + (SELECT count(*) FROM hourly) + (SELECT count(*) FROM survey) AS BIGINT) AS total_rows,
+    {WARNINGS} AS warnings, (SELECT count(*) FILTER (precip_1h_mm < 0) FROM hourly) AS errors, (SELECT count(*) FILTER (precip_1h_mm < 0) FROM hourly) = 0 AS passed"""))
 def audit_rollup(spark, folder):
     return qu.audit_rollup(findings(spark, folder)).drop("drift_events")
 

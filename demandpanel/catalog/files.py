@@ -10,6 +10,7 @@ from ..session import shared_folder
 from ..sources import camera, files as fl, sinks, tables, weather as wx
 from ..streaming import feeds
 from . import standins as st
+from .audits import WARNINGS
 from .registry import q6, register, rounded
 from .standins import with_
 
@@ -203,7 +204,6 @@ def source_file_choice(spark, folder):
     root = _place(spark, "file_choice")
     _write(st.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey"), f"{root}/narrow")
     orders = st.table(spark, folder, "orders")
-    # Range chunks keep the staged files of similar size, whatever the table's size.
     _write(orders, f"{root}/wide")
     best = tables.choose_survey_file(spark, root)
     rows = fl.read_by_header(spark, best.rsplit("/", 1)[0])
@@ -218,7 +218,8 @@ def _raw_export_files(spark, folder, name: str) -> str:
     extra = ["", "", "", "", "", "", "", "", "", "", "風向", "", ""]
     quality = ["", "", "品質情報", "", "品質情報", "", "", "", "", "品質情報", "", "", ""]
     head = [(-5, "ダウンロードした時刻：2026/02/20"), (-3, ",".join(labels)), (-2, ",".join(extra)), (-1, ",".join(quality))]
-    lines = spark.createDataFrame(head, "ord bigint, line string").crossJoin(h.select("station").distinct())
+    top = F.array(*[F.struct(F.lit(n).cast("bigint").alias("ord"), F.lit(t).alias("line")) for n, t in head])
+    lines = h.select("station").distinct().select(F.explode(top).alias("_l"), "station").select("_l.*", "station")
     def text(c):
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
     data = h.select(F.col("event_id").alias("ord"), F.concat_ws(
@@ -269,7 +270,7 @@ def sink_monthly(spark, folder):
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("sink_report", with_("counts", "hourly", "survey", body="SELECT 'rows' AS severity, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'warning', 4"))
+@register("sink_report", with_("counts", "hourly", "survey", body=f"SELECT 'rows' AS severity, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'warning', {WARNINGS}"))
 def sink_report(spark, folder):
     from .audits import audit_findings
 
