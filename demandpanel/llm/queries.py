@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op1(spark, folder):
 @query("op2_sharding")
 def op2(spark, folder):
     return sharding.assign(read(spark, folder, "documents"))
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark, folder):
+    return near_dedup.assign(read(spark, folder, "documents"), width=3, percent=85)
