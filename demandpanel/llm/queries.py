@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, sharding
+from . import exact_dedup, language_id, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,9 @@ def op2(spark, folder):
 @query("op8_minhash_near_dedup")
 def op8(spark, folder):
     return near_dedup.assign(read(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op10_language_id")
+def op10(spark, folder):
+    docs = read(spark, folder, "documents")
+    return language_id.identify(docs, language_id.train(docs))
