@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, near_dedup, sharding
+from . import decontamination, exact_dedup, language_id, near_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,13 @@ def op8(spark, folder):
 def op10(spark, folder):
     docs = read(spark, folder, "documents")
     return language_id.identify(docs, language_id.train(docs))
+
+
+@query("op3_decontamination")
+def op3(spark, folder):
+    return decontamination.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op5_packing")
+def op5(spark, folder):
+    return packing.pack(read(spark, folder, "documents"))
