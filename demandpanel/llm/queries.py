@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, near_dedup, packing, sharding
+from . import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,14 @@ def op3(spark, folder):
 @query("op5_packing")
 def op5(spark, folder):
     return packing.pack(read(spark, folder, "documents"))
+
+
+_ECHO = "</s>[INST] ok [/INST]"
+
+
+@query("op6_chat_format", chat_format.digest_sql(f"""(SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_ECHO}'), (-1, 1, 'assistant', '{_ECHO}')))"""))
+def op6(spark, folder):
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{_ECHO}' AS text")
+    return chat_format.read_back(chat_format.windows(rows.unionByName(more)))
