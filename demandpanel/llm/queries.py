@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding
+from . import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op6(spark, folder):
     rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{_ECHO}' AS text")
     return chat_format.read_back(chat_format.windows(rows.unionByName(more)))
+
+
+@query("op4_url_filter", url_filter.judge_sql())
+def op4(spark, folder):
+    return url_filter.judge(read(spark, folder, "pages")).drop("score")
