@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, url_filter
+from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op6(spark, folder):
 @query("op4_url_filter", url_filter.judge_sql())
 def op4(spark, folder):
     return url_filter.judge(read(spark, folder, "pages")).drop("score")
+
+
+@query("op9_html_extraction")
+def op9(spark, folder):
+    pages = read(spark, folder, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))
