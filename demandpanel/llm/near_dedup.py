@@ -23,6 +23,7 @@ gives an empty result; other columns pass through ``deduplicate`` unchanged.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,9 @@ COMPONENTS, CHUNKS, BITS = 60, 10, 16
 PER_CHUNK = COMPONENTS // CHUNKS
 #: Distance up to which all pairs are guaranteed to share a key.
 GUARANTEED = 2 * CHUNKS - 1
-#: Distance above which a pair of different components isn't checked on full sets: at a
-#: similarity of 0.8, 12 of 60 differ on average, and over 27 in one pair of a million.
-FARTHEST = 27
+#: Standard deviations of the distance, above its mean at the wanted similarity, up to which
+#: a pair of different components is checked on full sets: one pair of a million is farther.
+SURE = 4.75
 #: Rows of one comparison in memory.
 BLOCK, WIDE_BLOCK = 512, 4096
 
@@ -138,36 +139,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.size("left") + F.size("right") - F.col("common"))).select("a", "b")
 
 
-def _close(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block in different components, at least one of them an outsider, within FARTHEST."""
+def farthest(percent: int) -> int:
+    """Largest signature distance that is checked on full sets."""
+    share = 1 - percent / 100
+    return math.ceil(COMPONENTS * share + SURE * math.sqrt(COMPONENTS * share * (1 - share)))
+
+
+def _close(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of one block in different components, one of them an outsider, that may be alike enough.
+
+    What a pair has in common can't exceed what either has that isn't its own alone;
+    pairs that this bound rules out are dropped before signatures are compared.
+    """
     signs = np.frombuffer(b"".join(frame["sign"]), np.uint16).reshape(-1, COMPONENTS)
-    ids, comps = frame["id"].to_numpy(), frame["comp"].to_numpy()
-    found = []
+    ids, comps, sizes, most = (frame[c].to_numpy() for c in ("id", "comp", "size", "most"))
+    found, limit = [], farthest(percent)
     for i in np.flatnonzero(frame["out"].to_numpy()):
-        near = np.flatnonzero((comps != comps[i]) & ((signs != signs[i]).sum(axis=1) <= FARTHEST))
+        common = np.minimum(most, most[i])
+        near = np.flatnonzero((comps != comps[i]) & (100 * common >= percent * (sizes + sizes[i] - common)))
+        near = near[(signs[near] != signs[i]).sum(axis=1) <= limit]
         found += [(min(ids[i], j), max(ids[i], j)) for j in ids[near]]
     return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"], dtype="int64")
 
 
-def _unsettled(shared: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
+def _unsettled(shared: DataFrame, comps: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Close pairs across components under a common key.
 
     Only documents outside a key's largest component are set against the others,
     in blocks; blocks grow in number with the key's documents, never in size.
+    Documents with too many shingles that no other document here has are out.
     """
     named = shared.join(comps, shared["id"] == comps["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    per = (named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-           .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-           .filter("most < all"))
-    blocked = named.join(per, "key").join(signs, "id").select(
-        "key", "id", "comp", "sign", (F.col("comp") != F.col("main")).alias("out"),
-        F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ob"), F.ceil(F.col("all") / WIDE_BLOCK).alias("wb"))
-    here = F.pmod(F.xxhash64("id"), F.col("ob")).cast("int")
-    there = F.pmod(F.xxhash64("id", F.lit(1)), F.col("wb")).cast("int")
-    outsiders = blocked.filter("out").select("key", "id", "comp", "sign", "out", here.alias("i"), F.explode(F.sequence(F.lit(0), (F.col("wb") - 1).cast("int"))).alias("j"))
-    members = blocked.select("key", "id", "comp", "sign", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), (F.col("ob") - 1).cast("int"))).alias("i"), there.alias("j"))
+    mixed_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    open_rows = staged(named.join(mixed_keys, "key", "left_semi"))
+    held = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
+    alone = held.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    bounds = held.select("id", F.size("shingles").alias("size")).join(alone, "id", "left").select(
+        "id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
+    able = staged(open_rows.join(bounds.join(signs, "id"), "id"))
+    per = (able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+           .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"))
+           .filter("largest < all"))
+    blocked = able.join(per, "key").withColumns({
+        "out": F.col("comp") != F.col("main"), "ob": F.ceil((F.col("all") - F.col("largest")) / BLOCK).cast("int"),
+        "wb": F.ceil(F.col("all") / WIDE_BLOCK).cast("int")})
+    own = ["key", "id", "comp", "sign", "size", "most"]
+    here, there = F.pmod(F.xxhash64("id"), F.col("ob")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("wb")).cast("int")
+    outsiders = blocked.filter("out").select(*own, "out", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wb") - 1)).alias("j"))
+    members = blocked.select(*own, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), there.alias("j"))
     return outsiders.unionByName(members).groupBy("key", "i", "j").applyInPandas(
-        lambda frame: _close(frame), "a long, b long").distinct()
+        lambda frame: _close(frame, percent), "a long, b long").distinct()
 
 
 def assign(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +211,7 @@ def assign(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     sets = staged(own.join(weight.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
     links = staged(_confirmed(best, sets, percent))
     first = staged(components(links))
-    rest = staged(_unsettled(shared.select("key", "id"), first, signs))
+    rest = staged(_unsettled(shared.select("key", "id"), first, signs, sets, percent))
     more = _confirmed(rest, sets, percent)
     named = components(links.unionByName(more))
 
