@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, url_filter
+from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,9 @@ def op4(spark, folder):
 def op9(spark, folder):
     pages = read(spark, folder, "pages")
     return html_extraction.extract(pages, html_extraction.train(pages))
+
+
+@query("op7_pii_surrogates")
+def op7(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.rewritten(docs, b"corpus surrogates").select("doc_id", "text", F.size("_entities").alias("n_entities"), F.col("_entities").alias("entities"))
