@@ -51,7 +51,7 @@ _TITLE = "|".join(sorted((re.escape(t) for titles in TITLES.values() for t in ti
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind → pattern; the entity is the group ``e``. Order decides overlaps.
 KINDS = {
-    "secret": re.compile(r"""\b(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d|pwd)\b["']?\s*[:=]\s*["']?(?P<e>(?=[^\s"'&#]*\d)[^\s"'&#]{8,})""", re.I),
+    "secret": re.compile(r"""\b(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d|pwd)\b["']?\s*[:=]\s*["']?(?P<e>(?=[^\s"'&#]*\d)[^\s"'&#]{7,}[\w=/+])""", re.I),
     "key": re.compile(r"(?<![A-Za-z0-9])(?P<e>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
     "email": re.compile(r"(?<![\w.+-])(?P<e>[\w][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})(?![\w@])"),
     "ip": re.compile(rf"(?<![\w.])(?P<e>(?:{_OCTET}\.){{3}}{_OCTET})(?![\w]|\.\d)"),
