@@ -45,9 +45,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _NAMED = re.compile(r"""\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>""", re.S)
 
-WORD = "#word"
-#: A tag costs BASE to three times BASE, by its share outside of content; PRIOR is the weight of the prior share.
-BASE, PRIOR, PRIOR_OUT = 0.2, 20.0, 0.3
+WORD, LINKED, CUT = "#word", "#linked", "#cut"
+#: A tag costs BASE to three times BASE, by its share outside of content; PRIOR is the weight of
+#: the prior shares, the second of them for words inside links.
+BASE, PRIOR, PRIOR_OUT, PRIOR_LINKED = 0.05, 20.0, 0.3, 0.5
 
 
 @dataclass(slots=True)
@@ -63,15 +64,16 @@ def parts(page: str) -> list[Part]:
     """Tags and decoded runs of text in page order."""
     out: list[Part] = []
     at, n, lower = 0, len(page), None
+    last = page.rfind(">") + 1  # beyond it no tag ends
 
     def words(piece: str) -> None:
         if piece:
             out.append(Part(None, False, False, html.unescape(piece)))
 
     while at < n:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at, last)
         if not found:
-            words(page[at:])
+            words(page[at:].partition("<!--")[0])
             break
         words(page[at:found.start()])
         at = found.end()
@@ -135,7 +137,7 @@ def content_parts(page: str) -> list[tuple[Part, bool]]:
                 end = next((b - 1 for b in bodies if b > i), len(found) - 1)
             if page_header and not p.noise and any(i < b < end for b in bodies):
                 end = i
-            out.append((Part("br", False, False, ""), inside > 0))
+            out.append((Part(CUT, False, False, ""), inside > 0))
             i = end + 1
             continue
         if p.name in CONTENT:
@@ -146,7 +148,21 @@ def content_parts(page: str) -> list[tuple[Part, bool]]:
 
 
 def _key(name: str) -> str:
-    return name if name in BLOCK or name in INLINE or name in CONTENT else "other"
+    return name if name in BLOCK or name in INLINE or name in CONTENT or name == CUT else "other"
+
+
+def _events(found: list[Part]) -> Iterator[tuple[str, int]]:
+    """(key, how many) of each part; words inside a link are a kind of their own."""
+    linked = False
+    for p in found:
+        if p.name is None:
+            yield (LINKED if linked else WORD), len(p.text.split())
+        else:
+            if p.name == "a":
+                linked = not p.closing
+            elif p.name not in INLINE:
+                linked = False
+            yield _key(p.name), 1
 
 
 def counted(page: str) -> dict[str, tuple[int, int]]:
@@ -155,30 +171,27 @@ def counted(page: str) -> dict[str, tuple[int, int]]:
     if not any(inside for _, inside in found):
         return {}
     held: tuple[Counter, Counter] = (Counter(), Counter())
-    for p, inside in found:
-        if p.name is None:
-            held[not inside][WORD] += len(p.text.split())
-        else:
-            held[not inside][_key(p.name)] += 1
+    for (key, n), (_, inside) in zip(_events([p for p, _ in found]), found, strict=True):
+        held[not inside][key] += n
     return {k: (held[0][k], held[1][k]) for k in held[0].keys() | held[1].keys()}
 
 
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Words: their share inside. Tags: minus BASE times one plus twice their share outside."""
+    """Words: their share inside, less for words in links. Tags: minus BASE times one plus twice their share outside."""
     out = {}
-    for key in {WORD, "other", *BLOCK, *INLINE, *CONTENT, *counts}:
+    for key in {WORD, LINKED, "other", *BLOCK, *INLINE, *CONTENT, *counts}:
         inside, outside = counts.get(key, (0, 0))
-        share = (outside + PRIOR * PRIOR_OUT) / (inside + outside + PRIOR)
-        out[key] = 1 - share if key == WORD else -BASE * (1 + 2 * share) * (0.5 if key in INLINE else 1.0)
-    return out
+        share = (outside + PRIOR * (PRIOR_LINKED if key == LINKED else PRIOR_OUT)) / (inside + outside + PRIOR)
+        out[key] = {WORD: 1 - share, LINKED: 1 - 2 * share, CUT: 0.0}.get(key, -BASE * (1 + 2 * share))
+    return {**out, CUT: 0.0}
 
 
 def main_text(page: str, weight: dict[str, float]) -> str:
     """The blocks of the best run, joined by blanks."""
     found = [p for p, _ in content_parts(page)]
     best, best_from, best_to, running, start = 0.0, 0, 0, 0.0, 0
-    for i, p in enumerate(found):
-        running += len(p.text.split()) * weight[WORD] if p.name is None else weight.get(_key(p.name), weight["other"])
+    for i, (key, n) in enumerate(_events(found)):
+        running += n * weight[key]
         if running <= 0:
             running, start = 0.0, i + 1
         elif running > best or (running == best and start == best_from):

@@ -48,12 +48,12 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts of hashed n-grams: (text, bucket, count), by text; runs of non-letters are one blank."""
-    points = np.frombuffer("\x00".join([t or "" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Sparse counts of hashed n-grams: (text, bucket, count), by text; a run of non-letters after a letter, and a text's end, is one blank."""
+    points = np.frombuffer("".join([(t or "") + "\x00" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t or "") for t in texts])
-    owner = np.repeat(np.arange(len(texts)), lengths + 1)[:len(points)]
+    owner = np.repeat(np.arange(len(texts)), lengths + 1)
     low = _letters()[points]
-    keep = (low > 0) | np.concatenate(([True], low[:-1] > 0)) if len(low) else np.zeros(0, bool)
+    keep = (low > 0) | np.concatenate(([False], low[:-1] > 0)) if len(low) else np.zeros(0, bool)
     low, owner = low[keep], owner[keep]
     totals = np.zeros(len(texts) * BUCKETS, np.int32)
     rolled = np.zeros(len(low), np.uint32)

@@ -106,13 +106,14 @@ def scores(urls: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The step that maximises the sum of both hit rates over (score, verdict, n); 0 without examples."""
+    """What maximises the sum of both hit rates over (score, verdict, n), halfway to the next lower score; 0 without examples."""
     steps = scored.select(F.floor(F.col("score") * STEPS).alias("step"), F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0).alias("good"),
                           F.when(F.col("verdict") == "block", F.col("n")).otherwise(0).alias("bad")).groupBy("step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     above, every = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
     gain = F.sum("good").over(above) / F.sum("good").over(every) - F.sum("bad").over(above) / F.sum("bad").over(every)
-    best = steps.select("step", gain.alias("gain")).filter("gain IS NOT NULL").orderBy(F.desc("gain"), "step").first()
-    return best["step"] / STEPS if best else 0.0
+    lower = F.lead("step").over(Window.orderBy(F.desc("step"))) + 1
+    best = steps.select("step", gain.alias("gain"), F.coalesce(lower, F.col("step")).alias("lower")).filter("gain IS NOT NULL").orderBy(F.desc("gain"), "step").first()
+    return (best["step"] + best["lower"]) / 2 / STEPS if best else 0.0
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -171,7 +172,7 @@ def judge_sql() -> str:
     {levels}, v AS ({values}),
     s AS (SELECT k.url, any_value(k.says) AS says, any_value(k.n) AS n, coalesce(sum(v.value), 0) / (length(k.url) + 1) AS score FROM k JOIN g USING (url) LEFT JOIN v USING (gram) GROUP BY k.url),
     b AS (SELECT floor(score * {STEPS}) AS step, sum(CASE WHEN says = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN says = 'block' THEN n ELSE 0 END) AS bad FROM s WHERE says IS NOT NULL AND {held} GROUP BY 1),
-    c AS (SELECT step, sum(good) OVER w / sum(good) OVER () - sum(bad) OVER w / sum(bad) OVER () AS gain FROM b WINDOW w AS (ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
-    th AS (SELECT coalesce((SELECT step FROM c WHERE gain IS NOT NULL AND NOT isnan(gain) ORDER BY gain DESC, step LIMIT 1), 0) / {STEPS} AS least)
+    c AS (SELECT step, coalesce(lead(step) OVER (ORDER BY step DESC) + 1, step) AS lower_, sum(good) OVER w / sum(good) OVER () - sum(bad) OVER w / sum(bad) OVER () AS gain FROM b WINDOW w AS (ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
+    th AS (SELECT coalesce((SELECT (step + lower_) / 2 FROM c WHERE gain IS NOT NULL AND NOT isnan(gain) ORDER BY gain DESC, step LIMIT 1), 0) / {STEPS} AS least)
     SELECT page_id, host, path, rule, coalesce(k.says, CASE WHEN s.score >= th.least THEN 'allow' ELSE 'block' END) AS verdict
     FROM pages JOIN k ON k.url = coalesce(pages.url, '') JOIN s ON s.url = k.url, th"""
