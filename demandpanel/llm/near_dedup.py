@@ -1,6 +1,6 @@
 """Near-duplicates by MinHash signatures and a multi-index Hamming join.
 
-A document's set of word shingles becomes COMPONENTS minima of BITS bits each.
+A document's set of word shingles becomes COMPONENTS minima of 16 bits each.
 The signature is split into CHUNKS parts. Two signatures that differ in at most
 ``2 * CHUNKS - 1`` components have, by the pigeonhole principle, a part with at
 most one differing component, so enumerating each part with each one component
@@ -27,26 +27,27 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .base import mixed, slices, staged, word_hashes
 from .components import components
 
-COMPONENTS, CHUNKS, BITS = 60, 10, 16
+COMPONENTS, CHUNKS = 60, 10
 PER_CHUNK = COMPONENTS // CHUNKS
 #: Distance up to which all pairs are guaranteed to share a key.
 GUARANTEED = 2 * CHUNKS - 1
-#: Standard deviations of the distance, above its mean at the wanted similarity, up to which
+#: Minima of one byte in the wider signature that settles which pairs are checked on full sets.
+WIDE = 256
+#: Standard deviations of a distance, above its mean at the wanted similarity, up to which
 #: a pair of different components is checked on full sets: one pair of a million is farther.
 SURE = 4.75
 #: Rows of one comparison in memory.
 BLOCK, WIDE_BLOCK = 512, 4096
 
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(0, 1 << 32, COMPONENTS, np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, COMPONENTS, np.uint32)
+_A = _rng.integers(0, 1 << 32, WIDE, np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, WIDE, np.uint32)
 _KEY = _rng.integers(0, 1 << 63, (CHUNKS, PER_CHUNK), np.uint64) | np.uint64(1)
 _SALT = _rng.integers(0, 1 << 63, (CHUNKS, PER_CHUNK), np.uint64)
 _ORDER = _rng.integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
@@ -73,16 +74,16 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, COMPONENTS) of 16-bit minima; all sets must hold something."""
+def signatures(sets: list[np.ndarray], number: int = COMPONENTS, kind=np.uint16) -> np.ndarray:
+    """(sets, number) of minima, cut to the bits of ``kind``; all sets must hold something."""
     if not sets:
-        return np.empty((0, COMPONENTS), np.uint16)
+        return np.empty((0, number), kind)
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), COMPONENTS), np.uint16)
-    for i in range(COMPONENTS):
+    out, bits = np.empty((len(sets), number), kind), 8 * np.dtype(kind).itemsize
+    for i in range(number):
         least = np.minimum.reduceat(x * _A[i] + _B[i], starts)
-        out[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        out[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     return out
 
 
@@ -139,27 +140,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.size("left") + F.size("right") - F.col("common"))).select("a", "b")
 
 
-def farthest(percent: int) -> int:
-    """Largest signature distance that is checked on full sets."""
+def farthest(percent: int, number: int = COMPONENTS) -> int:
+    """Largest distance, of ``number`` minima, that is checked on full sets."""
     share = 1 - percent / 100
-    return math.ceil(COMPONENTS * share + SURE * math.sqrt(COMPONENTS * share * (1 - share)))
+    return math.ceil(number * share + SURE * math.sqrt(number * share * (1 - share)))
 
 
-def _close(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one block in different components, one of them an outsider, that may be alike enough.
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            sets = [np.asarray(s.values).view(np.uint64) for s in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.tobytes() for w in signatures(sets, WIDE, np.uint8)], pa.binary())], ["id", "wide"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as whole blocks (key, i, j): the last block of a batch waits for the next."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *edges[:-1]], edges, strict=True) if len(edges) else ():
+            yield batch.slice(start, end - start)
+        held = batch.slice(edges[-1]) if len(edges) else batch
+    if held is not None:
+        yield held
+
+
+def _close(percent: int):
+    """Pairs of each block in different components, one of them an outsider, that may be alike enough.
 
     What a pair has in common can't exceed what either has that isn't its own alone;
-    pairs that this bound rules out are dropped before signatures are compared.
+    then the pair's own first common key must be the block's, so that other blocks
+    don't repeat it; then both signatures must be near.
     """
-    signs = np.frombuffer(b"".join(frame["sign"]), np.uint16).reshape(-1, COMPONENTS)
-    ids, comps, sizes, most = (frame[c].to_numpy() for c in ("id", "comp", "size", "most"))
-    found, limit = [], farthest(percent)
-    for i in np.flatnonzero(frame["out"].to_numpy()):
-        common = np.minimum(most, most[i])
-        near = np.flatnonzero((comps != comps[i]) & (100 * common >= percent * (sizes + sizes[i] - common)))
-        near = near[(signs[near] != signs[i]).sum(axis=1) <= limit]
-        found += [(min(ids[i], j), max(ids[i], j)) for j in ids[near]]
-    return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"], dtype="int64")
+    near, nearer = farthest(percent), farthest(percent, WIDE)
+
+    def pairs(block: pa.RecordBatch) -> Iterator[np.ndarray]:
+        key = block.column(0)[0].as_py()
+        ids, comps, sizes, most, out = (block.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6, 7))
+        outs = np.flatnonzero(out)
+        if not len(outs):
+            return
+        signs = np.frombuffer(b"".join(block.column(8).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+        wides = np.frombuffer(b"".join(block.column(9).to_pylist()), np.uint8).reshape(-1, WIDE)
+        step = max(1, 400_000 // len(ids))
+        for start in range(0, len(outs), step):
+            part = outs[start:start + step]
+            common = np.minimum(most[part][:, None], most)
+            a, b = np.nonzero((comps[part][:, None] != comps) & (100 * common >= percent * (sizes[part][:, None] + sizes - common)))
+            for at in range(0, len(a), 50_000):
+                x, y = part[a[at:at + 50_000]], b[at:at + 50_000]
+                same = signs[x] == signs[y]
+                x, y, same = (v[COMPONENTS - same.sum(axis=1) <= near] for v in (x, y, same))
+                wrong = ~same.reshape(-1, CHUNKS, PER_CHUNK)
+                chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
+                first = chunk * PER_CHUNK + wrong[np.arange(len(x)), chunk].argmax(axis=1)
+                here = chunk_keys(signs[x])[np.arange(len(x)), first] == key if len(x) else np.zeros(0, bool)
+                x, y = x[here], y[here]
+                hit = (wides[x] != wides[y]).sum(axis=1) <= nearer
+                yield np.stack([np.minimum(ids[x], ids[y])[hit], np.maximum(ids[x], ids[y])[hit]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for block in _blocks(batches):
+            for some in pairs(block):
+                found.append(some)
+                size += some.shape[1]
+            if size > 100_000:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["a", "b"])
+                found, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["a", "b"])
+    return run
 
 
 def _unsettled(shared: DataFrame, comps: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,21 +231,23 @@ def _unsettled(shared: DataFrame, comps: DataFrame, signs: DataFrame, sets: Data
     open_rows = staged(named.join(mixed_keys, "key", "left_semi"))
     held = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
     alone = held.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    bounds = held.select("id", F.size("shingles").alias("size")).join(alone, "id", "left").select(
+    bounds = held.select("id", F.size("shingles").cast("long").alias("size")).join(alone, "id", "left").select(
         "id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
-    able = staged(open_rows.join(bounds.join(signs, "id"), "id"))
+    marks = staged(bounds.join(signs, "id").join(held.mapInArrow(_wide, "id long, wide binary"), "id"))
+    able = open_rows.join(marks.select("id", "size", "most"), "id")
     per = (able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
            .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"))
            .filter("largest < all"))
     blocked = able.join(per, "key").withColumns({
         "out": F.col("comp") != F.col("main"), "ob": F.ceil((F.col("all") - F.col("largest")) / BLOCK).cast("int"),
-        "wb": F.ceil(F.col("all") / WIDE_BLOCK).cast("int")})
-    own = ["key", "id", "comp", "sign", "size", "most"]
+        "wb": F.ceil(F.col("all") / WIDE_BLOCK).cast("int")}).join(marks.select("id", "sign", "wide"), "id")
+    own = ["id", "comp", "size", "most"]
     here, there = F.pmod(F.xxhash64("id"), F.col("ob")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("wb")).cast("int")
-    outsiders = blocked.filter("out").select(*own, "out", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wb") - 1)).alias("j"))
-    members = blocked.select(*own, F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), there.alias("j"))
-    return outsiders.unionByName(members).groupBy("key", "i", "j").applyInPandas(
-        lambda frame: _close(frame, percent), "a long, b long").distinct()
+    outsiders = blocked.filter("out").select("key", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wb") - 1)).alias("j"), *own, "out", "sign", "wide")
+    members = blocked.select("key", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), there.alias("j"), *own, F.lit(False).alias("out"), "sign", "wide")
+    # A number of partitions of its own, since what costs time here is comparing, not bytes.
+    number = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return outsiders.unionByName(members).repartition(number, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_close(percent), "a long, b long").distinct()
 
 
 def assign(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
