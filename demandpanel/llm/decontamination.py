@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -108,38 +109,40 @@ class Index:
             return []
         words = [WORD.findall(t.lower()) for t in texts]
         counts = np.array([len(w) for w in words])
-        known = self.vocabulary.get
-        flat = np.fromiter((known(w, 0) for part in words for w in part), np.int64, int(counts.sum()))
+        flat = np.fromiter(map(self.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int64, int(counts.sum()))
+        del words
         if len(flat) < GRAM:
             return []
         ends = np.cumsum(counts)
-        first, second, third = flat[:-2], flat[1:-1], flat[2:]
-        likely = np.flatnonzero((first > 0) & (second > 0) & (third > 0))
-        codes = self._code(first[likely], second[likely], third[likely])
+        likely = flat > 0
+        likely = np.flatnonzero(likely[:-2] & likely[1:-1] & likely[2:])
+        codes = self._code(flat[likely], flat[likely + 1], flat[likely + 2])
         at = np.searchsorted(self.grams, codes)
-        seeds = likely[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == codes)]
+        seeds = likely[self.grams[np.minimum(at, len(self.grams) - 1)] == codes]
         owner = np.searchsorted(ends, seeds, side="right")
         seeds = seeds[seeds + GRAM <= ends[owner]]
+        # Only texts with a seed go on, side by side, so one array step serves the windows of all of them.
+        some = np.unique(np.searchsorted(ends, seeds, side="right"))
+        if not len(some):
+            return []
+        firsts, sizes = (ends - counts)[some], counts[some]
+        moved = np.concatenate(([0], np.cumsum(sizes)[:-1])) - firsts
+        flat = np.concatenate([flat[f:f + n] for f, n in zip(firsts, sizes, strict=True)])
+        seeds = seeds + moved[np.searchsorted(some, np.searchsorted(ends, seeds, side="right"))]
+        ends = np.cumsum(sizes)
+        places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for size in self.classes:
+            starts = size.starts(ends, seeds)
+            for item, start in size.candidates(flat, starts, ends[np.searchsorted(ends, starts, side="right")]):
+                places[int(np.searchsorted(ends, start, side="right")), item].add(start)
         out = []
-        for text in np.unique(np.searchsorted(ends, seeds, side="right")):
-            start, end = int(ends[text] - counts[text]), int(ends[text])
-            local = seeds[(seeds >= start) & (seeds < end)] - start
-            out += [(int(text), *hit) for hit in self._search_one(flat[start:end], local)]
+        for (text, item), found in sorted(places.items()):
+            begin = int(ends[text] - sizes[text])
+            hit = self._confirm(item, sorted(s - begin for s in found), flat[begin:int(ends[text])])
+            if hit:
+                out.append((int(some[text]), *hit))
         return out
 
-    def _search_one(self, words: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        for size in self.classes:
-            starts = size.starts(len(words), seeds)
-            if not len(starts):
-                continue
-            places: dict[int, list[int]] = defaultdict(list)
-            for item, start in size.candidates(words, starts):
-                places[item].append(start)
-            for item, found in sorted(places.items()):
-                hit = self._confirm(item, sorted(set(found)), words)
-                if hit:
-                    yield hit
-
     def _confirm(self, item: int, starts: list[int], words: np.ndarray):
         name, pattern = self.items[item]
         length, allowed = len(pattern), edits(len(pattern), self.share)
@@ -182,15 +185,18 @@ class SizeClass:
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.sorted = np.take_along_axis(keys, self.order, axis=0)
 
-    def starts(self, n: int, seeds: np.ndarray) -> np.ndarray:
-        """Window starts whose words hold enough of the benchmark's runs."""
-        if not len(seeds):
-            return seeds
-        marks = np.zeros(n + self.reach + 1, np.int32)
+    def starts(self, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """Window starts whose words, inside their text, hold enough of the benchmark's runs."""
+        n = int(ends[-1])
+        marks = np.zeros(n + 1, np.int32)
         marks[seeds + 1] = 1
-        held = np.cumsum(marks)
-        at = np.arange(n)
-        return np.flatnonzero(held[np.minimum(at + self.reach, n)] - held[at] >= self.needed)
+        held = np.cumsum(marks, dtype=np.int32)
+        near = np.zeros(n + 1, np.int32)  # starts within reach of a seed
+        np.add.at(near, np.maximum(seeds - self.reach, 0), 1)
+        np.add.at(near, seeds + 1, -1)
+        at = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        until = np.minimum(at + self.reach, ends[np.searchsorted(ends, at, side="right")])
+        return at[held[until] - held[at] >= self.needed]
 
     def keys(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(windows, WALKS * TABLES) keys: walk over each window, sample the string it writes."""
@@ -209,11 +215,11 @@ class SizeClass:
                 out[:, walk * TABLES + table] = mixed((picked * self.weigh[walk, table][:, None]).sum(axis=0, dtype=np.uint64))
         return out
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    def candidates(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, start) of every shared key."""
         for begin in range(0, len(starts), 20_000):
             part = starts[begin:begin + 20_000]
-            keys = self.keys(words, part, len(words) - part)
+            keys = self.keys(words, part, ends[begin:begin + 20_000] - part)
             for column in range(keys.shape[1]):
                 low = np.searchsorted(self.sorted[:, column], keys[:, column], side="left")
                 high = np.searchsorted(self.sorted[:, column], keys[:, column], side="right")
