@@ -156,7 +156,7 @@ def prefecture_labels(spark, folder):
     return s.where("label is not null").select("doc_id", "label")
 
 
-_PREFS = ("de", "en", "fr")
+_PREFS = ["de", "en", "es", "fr"]
 
 
 @register("pivot_month_prefecture", with_("survey", body="SELECT strftime(date, '%Y-%m') AS ym, " + ", ".join(

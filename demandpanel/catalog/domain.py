@@ -87,12 +87,11 @@ def ranking_chart_floor(spark, folder):
     return _sim_out(ec.ranking_what_if(ec.ranking_baseline(spark), totals=_totals(spark, folder), floor_rank=35))
 
 
-@register("ranking_monthly_losses", with_("node_counts", body=f"""WITH {_baseline_sql()}, m AS (SELECT node, CAST(month(date) AS BIGINT) AS month, sum(count) AS lost FROM node_counts
-    WHERE month(date) <= 6 GROUP BY 1, 2), nodes AS (SELECT DISTINCT node FROM m), totals AS (SELECT nodes.node, b.month AS mm, coalesce(m.lost, 0) AS total_lost
+@register("ranking_monthly_losses", with_("node_counts", body=f"""WITH {_baseline_sql()}, m AS (SELECT node, CAST(month(date) AS BIGINT) AS month, sum(count) AS lost FROM node_counts GROUP BY 1, 2), nodes AS (SELECT DISTINCT node FROM m), totals AS (SELECT nodes.node, b.month AS mm, coalesce(m.lost, 0) AS total_lost
     FROM nodes CROSS JOIN base b LEFT JOIN m ON m.node = nodes.node AND m.month = b.month),
     s AS (SELECT node, month, rank, gap_k, total_lost AS monthly_lost FROM totals JOIN base ON month = mm), {_sim_sql('0', 1).split('), sim AS', 1)[1].join(['sim AS', ''])} {_SIM_OUT}"""))
 def ranking_monthly_losses(spark, folder):
-    c = st.node_counts(spark, folder).where(F.month("date") <= 6)
+    c = st.node_counts(spark, folder)
     monthly = c.groupBy("node", F.month("date").alias("month")).agg(F.sum("count").alias("monthly_lost"))
     return _sim_out(ec.ranking_what_if(ec.ranking_baseline(spark), monthly=monthly))
 
@@ -134,36 +133,36 @@ _CROWD = f"""{SAT_DAILY}, exact AS (SELECT c.date, c.count * 7 AS count, mean_sa
     mc AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, avg(count * 7) AS count FROM counts GROUP BY 1),
     ms AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, avg(mean_satisfaction) AS mean_satisfaction, CAST(sum(n_responses) AS BIGINT) AS n_responses,
         avg(mean_nps) AS mean_nps FROM sat GROUP BY 1),
-    crowd AS MATERIALIZED (SELECT *, 'day' AS grain FROM exact WHERE (SELECT count(*) FROM exact) > {{days}}
-        UNION ALL SELECT mc.date, mc.count, mean_satisfaction, n_responses, mean_nps, 'month' FROM mc JOIN ms USING (date) WHERE (SELECT count(*) FROM exact) <= {{days}})"""
+    crowd AS MATERIALIZED (SELECT *, 'day' AS grain FROM exact WHERE '{{grain}}' = 'day'
+        UNION ALL SELECT mc.date, mc.count, mean_satisfaction, n_responses, mean_nps, 'month' FROM mc JOIN ms USING (date) WHERE '{{grain}}' = 'month')"""
 
 
-def _crowd(spark, folder, days=20):
+def _crowd(spark, folder, grain="day"):
     c = st.counts(spark, folder).withColumn("count", F.col("count") * 7)
-    return sa.crowding_join(c, sa.daily_satisfaction(st.survey(spark, folder)), min_days=days)
+    return sa.crowding_join(c, sa.daily_satisfaction(st.survey(spark, folder)), grain)
 
 
 _CROWD_OUT = f"SELECT date, {q6('count')} AS count, {q6('mean_satisfaction')} AS mean_satisfaction, n_responses, {q6('mean_nps')} AS mean_nps, grain FROM crowd"
 
 
-@register("crowding_join_by_day", with_("survey", "counts", body=f"WITH {_CROWD.format(days=20)} {_CROWD_OUT}"))
+@register("crowding_join_by_day", with_("survey", "counts", body=f"WITH {_CROWD.format(grain='day')} {_CROWD_OUT}"))
 def crowding_join_by_day(spark, folder):
     return rounded(_crowd(spark, folder))
 
 
-@register("crowding_join_by_month", with_("survey", "counts", body=f"WITH {_CROWD.format(days=100000)} {_CROWD_OUT}"))
+@register("crowding_join_by_month", with_("survey", "counts", body=f"WITH {_CROWD.format(grain='month')} {_CROWD_OUT}"))
 def crowding_join_by_month(spark, folder):
-    return rounded(_crowd(spark, folder, 100000))
+    return rounded(_crowd(spark, folder, "month"))
 
 
-@register("crowding_bins", with_("survey", "counts", body=f"""WITH {_CROWD.format(days=20)}, b AS (SELECT *, CASE WHEN count <= 5000 THEN '<5K' WHEN count <= 8000 THEN '5-8K'
+@register("crowding_bins", with_("survey", "counts", body=f"""WITH {_CROWD.format(grain='day')}, b AS (SELECT *, CASE WHEN count <= 5000 THEN '<5K' WHEN count <= 8000 THEN '5-8K'
     WHEN count <= 12000 THEN '8-12K' WHEN count <= 15000 THEN '12-15K' WHEN count <= 20000 THEN '15-20K' WHEN count <= 50000 THEN '>20K' END AS visitor_bin FROM crowd WHERE count > 0)
     SELECT visitor_bin, {q6('avg(mean_satisfaction)')} AS mean_satisfaction, {q6('avg(mean_nps)')} AS mean_nps, count(*) AS n FROM b WHERE visitor_bin IS NOT NULL GROUP BY 1"""))
 def crowding_bins(spark, folder):
     return rounded(sa.visitor_bins(_crowd(spark, folder)))
 
 
-@register("crowding_correlation", with_("survey", "counts", body=f"""WITH {_CROWD.format(days=20)}, pairs AS (SELECT 'satisfaction' AS measure, count AS x, mean_satisfaction AS y FROM crowd WHERE mean_satisfaction IS NOT NULL
+@register("crowding_correlation", with_("survey", "counts", body=f"""WITH {_CROWD.format(grain='day')}, pairs AS (SELECT 'satisfaction' AS measure, count AS x, mean_satisfaction AS y FROM crowd WHERE mean_satisfaction IS NOT NULL
     UNION ALL SELECT 'nps', count, coalesce(mean_nps, mean_satisfaction) FROM crowd WHERE mean_satisfaction IS NOT NULL), """
           + RANKED.format(keys="measure,", part="PARTITION BY measure", a="x", b="y", rel="SELECT * FROM pairs")
           + f" SELECT measure, {q6('corr(ra, rb)')} AS r, count(*) AS n FROM ranked GROUP BY 1 HAVING count(*) > 3"))
@@ -187,7 +186,7 @@ def comfort_assumed_humidity(spark, folder):
 @register("comfort_correlations", with_("weather", "survey", body=f"""WITH {_COMFORT}, {SAT_DAILY}, j AS MATERIALIZED (SELECT * FROM comfort JOIN sat USING (date)),
     pairs AS (SELECT 'di_satisfaction' AS measure, discomfort_index AS x, mean_satisfaction AS y FROM j UNION ALL SELECT 'wc_satisfaction', wind_chill, mean_satisfaction FROM j
     UNION ALL SELECT 'di_nps', discomfort_index, mean_nps FROM j), """ + RANKED.format(keys="measure,", part="PARTITION BY measure", a="x", b="y", rel="SELECT * FROM pairs")
-          + f" SELECT measure, {q6('corr(ra, rb)')} AS r, count(*) AS n FROM ranked WHERE (SELECT count(*) FROM j) > 20 GROUP BY 1 HAVING measure = 'di_satisfaction' OR count(*) > 10"))
+          + f" SELECT measure, CASE WHEN measure = 'di_satisfaction' OR count(*) > 10 THEN {q6('corr(ra, rb)')} END AS r, count(*) AS n FROM ranked GROUP BY 1"))
 def comfort_correlations(spark, folder):
     return rounded(pl.comfort_study(st.weather(spark, folder), st.survey(spark, folder))["correlations"])
 
@@ -241,7 +240,7 @@ def _classify(text):
 
 
 @register("complaint_drivers", with_("survey", body=f"""WITH d AS (SELECT doc_id, concat_ws(' ', CASE WHEN regexp_matches(reason, '\\S') THEN reason END, CASE WHEN regexp_matches(inconvenience, '\\S') THEN inconvenience END) AS t
-    FROM survey WHERE satisfaction <= 2), u AS (SELECT substr(t, 1, 512) AS t FROM d WHERE length(t) > 3 ORDER BY doc_id LIMIT 3000),
+    FROM survey WHERE satisfaction <= 2), u AS (SELECT t FROM d WHERE length(t) > 3),
     l AS (SELECT CASE WHEN contains(t, 'ering') THEN 'weather conditions' WHEN contains(t, 'ment') THEN 'poor transportation' WHEN contains(t, 'ung') THEN 'language barrier' ELSE 'pricing' END AS label FROM u)
     SELECT v.label, count(l.label) AS n, {q6('count(l.label) * 100.0 / (SELECT count(*) FROM l)')} AS pct
     FROM (VALUES ('weather conditions'), ('poor transportation'), ('language barrier'), ('lack of information'), ('pricing')) AS v(label) LEFT JOIN l ON l.label = v.label GROUP BY 1"""))

@@ -274,9 +274,6 @@ def family_ablation_linear(spark, folder):
     return rounded(rg.subset_ablation(st.node_panel(spark, folder), "count", FOUR, families))
 
 
-_TREES = {"numTrees": 60, "maxDepth": 8}
-
-
 def _forest_rows(spark, folder):
     df, names = features(spark, folder, by_node=False)
     return ft.mark_split(gm.complete(df, ["count", *names])), names
@@ -285,7 +282,7 @@ def _forest_rows(spark, folder):
 @register("forest_fit_and_importance")
 def forest_fit_and_importance(spark, folder):
     rows, names = _forest_rows(spark, folder)
-    model = rf.fit_forest(rows, "count", names, **_TREES)
+    model = rf.fit_forest(rows, "count", names)
     imp = rf.impurity_importance(model, rows, names)
     acc = gm.accuracy(rf.score_forest(model, rows, names), "count", "pred_random_forest")
     long = acc.select(F.explode(F.array(
@@ -297,7 +294,7 @@ def forest_fit_and_importance(spark, folder):
 @register("forest_cross_validation")
 def forest_cross_validation(spark, folder):
     rows, names = _forest_rows(spark, folder)
-    return rounded(rf.cross_validate(rows, "count", names, **_TREES))
+    return rounded(rf.cross_validate(rows, "count", names))
 
 
 @register("forest_folds", with_("counts", body=f"SELECT node, date, CAST(ntile(5) {W} AS BIGINT) AS fold FROM counts"))
@@ -308,7 +305,7 @@ def forest_folds(spark, folder):
 @register("forest_permutation_importance")
 def forest_permutation_importance(spark, folder):
     rows, names = _forest_rows(spark, folder)
-    model = rf.fit_forest(rows, "count", names, **_TREES)
+    model = rf.fit_forest(rows, "count", names)
     return rounded(rf.permutation_importance(model, rows, "count", names, repeats=10))
 
 
@@ -316,4 +313,4 @@ def forest_permutation_importance(spark, folder):
 def forest_benchmark_and_ablation(spark, folder):
     rows, names = _forest_rows(spark, folder)
     families = ft.feature_families(names, "directions")
-    return rounded(rf.family_ablation(rows, "count", names, families, **_TREES))
+    return rounded(rf.family_ablation(rows, "count", names, families))

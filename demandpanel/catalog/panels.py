@@ -242,10 +242,10 @@ def align_three_nodes(spark, folder):
 
 
 @register("align_stations_outer", with_("node_weather", body="SELECT date, " + ", ".join(
-    f"{q6(f'''max(temp) FILTER (node = '{n}')''')} AS t{i}" for i, n in enumerate(["1-URGENT", "2-HIGH", "5-LOW"], 1))
+    f"{q6(f'''max(temp) FILTER (node = '{n}')''')} AS t{i}" for i, n in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 1))
     + " FROM node_weather GROUP BY date"))
 def align_stations_outer(spark, folder):
-    names = ["1-URGENT", "2-HIGH", "5-LOW"]
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     wide = pn.outer_align(st.node_weather(spark, folder), "node", "temp", names)
     return rounded(wide.select("date", *[F.col(f"`{n}`").alias(f"t{i}") for i, n in enumerate(names, 1)]))
 

@@ -57,12 +57,12 @@ def weather(spark, folder) -> DataFrame:
 
 
 def node_weather(spark, folder) -> DataFrame:
-    """Station weather under the node it serves: line number n serves priority n."""
+    """Station weather under the node it serves: line number n serves priority (n - 1) mod 5 + 1."""
     li = table(spark, folder, "lineitem")
-    station = F.col("l_linenumber").cast("string")
+    station = ((F.col("l_linenumber") - 1) % 5 + 1).cast("string")
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     node = F.coalesce(*[F.when(station == x[0], F.lit(x)) for x in names])
-    return li.where(F.col("l_linenumber").between(1, 5)).groupBy(
+    return li.groupBy(
         node.alias("node"), F.col("l_shipdate").cast("date").alias("date")).agg(*_weather_measures())
 
 
@@ -119,9 +119,9 @@ SQL = {
     CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100000.0 AS count FROM orders GROUP BY 1, 2""",
     "intent": "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS directions FROM lineitem GROUP BY 1",
     "weather": f"SELECT 'all' AS node, CAST(l_shipdate AS DATE) AS date, {_MEASURES} FROM lineitem GROUP BY 1, 2",
-    "node_weather": f"""SELECT CASE l_linenumber WHEN 1 THEN '1-URGENT' WHEN 2 THEN '2-HIGH' WHEN 3 THEN '3-MEDIUM'
+    "node_weather": f"""SELECT CASE (l_linenumber - 1) % 5 + 1 WHEN 1 THEN '1-URGENT' WHEN 2 THEN '2-HIGH' WHEN 3 THEN '3-MEDIUM'
     WHEN 4 THEN '4-NOT SPECIFIED' WHEN 5 THEN '5-LOW' END AS node, CAST(l_shipdate AS DATE) AS date, {_MEASURES}
-    FROM lineitem WHERE l_linenumber BETWEEN 1 AND 5 GROUP BY 1, 2""",
+    FROM lineitem GROUP BY 1, 2""",
     "panel": """SELECT c.*, w.* EXCLUDE (node, date), i.directions FROM counts c
     LEFT JOIN weather w ON c.node = w.node AND c.date = w.date LEFT JOIN intent i ON c.date = i.date""",
     "node_panel": """SELECT c.*, w.* EXCLUDE (node, date), i.directions FROM node_counts c

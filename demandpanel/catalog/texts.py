@@ -81,14 +81,23 @@ def tfidf_vocabulary(spark, folder):
     return tm.vocabulary(docs(spark, folder))
 
 
-@register("tfidf_keywords", f"""WITH {_VOCAB}, nd AS (SELECT count(*) AS n FROM docs WHERE len(toks) > 0),
+def _tfidf_sql(vocabulary: str) -> str:
+    return f"""WITH {vocabulary}, nd AS (SELECT count(*) AS n FROM docs WHERE len(toks) > 0),
     w AS (SELECT doc_id, tf.term, tf * (ln((1 + nd.n) / (1.0 + vocab.docs)) + 1) AS w FROM tf JOIN vocab USING (term), nd),
     u AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w)
-    SELECT term, {q6('sum(u) / (SELECT n FROM nd)')} AS score FROM u GROUP BY 1 ORDER BY sum(u) DESC, term LIMIT 25""")
+    SELECT term, {q6('sum(u) / (SELECT n FROM nd)')} AS score FROM u GROUP BY 1 ORDER BY sum(u) DESC, term LIMIT 25"""
+
+
+@register("tfidf_keywords", _tfidf_sql(_VOCAB.replace(" LIMIT 500", "")))
 def tfidf_keywords(spark, folder):
     return rounded(tm.tfidf_keywords(docs(spark, folder)))
 
 
+@register("tfidf_keywords_500", _tfidf_sql(_VOCAB))
+def tfidf_keywords_500(spark, folder):
+    return rounded(tm.tfidf_keywords(docs(spark, folder), size=500))
+
+
 @register("topic_words")
 def topic_words(spark, folder):
     words, _ = tm.topics(docs(spark, folder), k=5, iterations=20)

@@ -31,16 +31,21 @@ def monthly_satisfaction(daily: DataFrame, keys: Sequence[str] = ()) -> DataFram
     )
 
 
-def crowding_join(panel: DataFrame, sat_daily: DataFrame, min_days: int = 20) -> DataFrame:
-    """Counts with satisfaction by exact day, or by month when at most ``min_days`` days meet.
+def crowding_join(panel: DataFrame, sat_daily: DataFrame, grain: str = "day", min_days: int = 20) -> DataFrame:
+    """Counts with satisfaction by exact ``day`` or by ``month``, as the caller says.
 
-    Both forms are daily aggregates; a scalar subquery on the exact join decides which rows pass.
+    ``grain="auto"`` takes days, or months when at most ``min_days`` days meet: a scalar
+    subquery on the exact join then decides which rows pass.
     """
     days = panel.select("date", F.col("count").cast("double").alias("count"))
     columns = ["date", "count", "mean_satisfaction", "n_responses", "mean_nps"]
     exact = days.join(sat_daily, "date").select(*columns)
     monthly_counts = days.groupBy(F.trunc("date", "MM").alias("date")).agg(F.avg("count").alias("count"))
     monthly = monthly_counts.join(monthly_satisfaction(sat_daily), "date").select(*columns)
+    if grain in ("day", "month"):
+        return (exact if grain == "day" else monthly).withColumn("grain", F.lit(grain))
+    if grain != "auto":
+        raise ValueError(f"unknown grain {grain!r}")
     met = exact.select(F.count(F.lit(1))).scalar()
     return (
         exact.where(met > min_days).withColumn("grain", F.lit("day"))
@@ -70,37 +75,41 @@ def crowding_correlation(joined: DataFrame, min_rows: int = 4) -> DataFrame:
     return spearman(rows, "count", "score", ["measure"], min_rows)
 
 
-def add_comfort(weather: DataFrame, *, min_humidity: int = 30, assumed: float = 60.0,
+def add_comfort(weather: DataFrame, *, humidity: str = "given", min_humidity: int = 30, assumed: float = 60.0,
                 coefficients: dict | None = None) -> DataFrame:
     """discomfort_index and, with wind, wind_chill.
 
-    With at most ``min_humidity`` humidity values in the whole frame the index assumes a fixed
-    humidity and the standard coefficients.
+    ``humidity`` is "given" (the column, where the frame has one), "assumed" (a fixed value and
+    the standard coefficients), or "auto": assumed when the whole frame has at most
+    ``min_humidity`` values.
     """
+    if humidity not in ("given", "assumed", "auto"):
+        raise ValueError(f"unknown humidity {humidity!r}")
     temp_only = discomfort_index("temp", F.lit(assumed))
-    if "humidity" in weather.columns:
-        seen = weather.select(F.count("humidity")).scalar()
-        index = F.when(seen > min_humidity, discomfort_index("temp", "humidity", **(coefficients or {}))).otherwise(temp_only)
-    else:
-        index = temp_only
+    index = temp_only
+    if "humidity" in weather.columns and humidity != "assumed":
+        index = discomfort_index("temp", "humidity", **(coefficients or {}))
+        if humidity == "auto":
+            index = F.when(weather.select(F.count("humidity")).scalar() > min_humidity, index).otherwise(temp_only)
     out = weather.withColumn("discomfort_index", index)
     return out.withColumn("wind_chill", wind_chill("temp", "wind")) if "wind" in weather.columns else out
 
 
-def comfort_correlations(comfort: DataFrame, sat_daily: DataFrame, min_days: int = 20,
-                         min_pairs: int = 10) -> DataFrame:
-    """Spearman of comfort with satisfaction and recommendation, all pairs in one pass."""
+def comfort_correlations(comfort: DataFrame, sat_daily: DataFrame, min_pairs: int = 10) -> DataFrame:
+    """Spearman of comfort with satisfaction and recommendation, all pairs in one pass.
+
+    Every measure keeps its row and n; r is NULL under its least number of pairs.
+    """
     joined = comfort.select("date", "discomfort_index", "wind_chill").join(sat_daily, "date")
     pairs = [("di_satisfaction", "discomfort_index", "mean_satisfaction", 1),
              ("wc_satisfaction", "wind_chill", "mean_satisfaction", min_pairs + 1),
              ("di_nps", "discomfort_index", "mean_nps", min_pairs + 1)]
-    days = joined.select(F.count(F.lit(1))).scalar()
-    rows = joined.where(days > min_days).select(F.explode(F.array(*[
+    rows = joined.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(need).alias("need"))
         for name, x, y, need in pairs
     ])).alias("_p")).select("_p.*")
     need = F.create_map(*[F.lit(v) for name, _, _, k in pairs for v in (name, k)])
-    return spearman(rows, "x", "y", ["measure"], 1).where(F.col("n") >= need[F.col("measure")])
+    return spearman(rows, "x", "y", ["measure"], 1).withColumn("r", F.when(F.col("n") >= need[F.col("measure")], F.col("r")))
 
 
 def comfort_peak(joined: DataFrame, value: str = "discomfort_index", score: str = "mean_satisfaction",
@@ -170,13 +179,13 @@ def complaint_examples(texts: DataFrame, order: str, keywords: Sequence[str] = f
 
 
 def complaint_drivers(survey: DataFrame, classify, order: str, *, labels: Sequence[str] = fixed.COMPLAINT_LABELS,
-                      max_samples: int | None = 3000, text_max_chars: int = 512,
+                      max_samples: int | None = None, text_max_chars: int | None = None,
                       parts: Sequence[str] = ("reason", "inconvenience", "freetext")) -> DataFrame:
     """Share of each complaint label among detractors (score ≤ 2).
 
     ``classify`` is the caller's Column function, usually a ``pandas_udf`` that loads its
-    model once per task. Sample cap and text cut are the feature's own settings; labels
-    nobody got stay with 0.
+    model once per task. All detractors and whole texts are read, unless the caller sets a
+    sample size or a text length; labels nobody got stay with 0.
     """
     present = [c for c in parts if c in survey.columns]
     rows = survey.where(F.col("satisfaction") <= 2).withColumn(
@@ -184,7 +193,8 @@ def complaint_drivers(survey: DataFrame, classify, order: str, *, labels: Sequen
     rows = rows.where(F.length("_text") > 3)
     if max_samples is not None:
         rows = rows.orderBy(order).limit(max_samples)
-    found = rows.select(classify(F.substring("_text", 1, text_max_chars)).alias("label"))
+    shown = F.col("_text") if text_max_chars is None else F.substring("_text", 1, text_max_chars)
+    found = rows.select(classify(shown).alias("label"))
     known_labels = survey.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     counts = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))

@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
 
@@ -69,13 +69,28 @@ def _leading_terms(df: DataFrame, size: int, tokens: str) -> tuple[list, int]:
     return rows[1:], rows[0]["docs"]
 
 
-def tfidf_keywords(df: DataFrame, top: int = 25, size: int = 500, tokens: str = "tokens") -> DataFrame:
+def _all_terms_keywords(df: DataFrame, top: int, tokens: str) -> DataFrame:
+    """TF-IDF over every term, as joins: no vocabulary reaches the driver."""
+    totals = _term_totals(df, tokens, True)
+    documents = totals.where("term is null").select(F.col("docs").alias("_n"))
+    n = documents.scalar()
+    idf = totals.where("term is not null").select(
+        "term", (F.log((1 + n) / (1 + F.col("docs"))) + 1).alias("_idf"), n.alias("_n")).where("_n >= 2")
+    held = df.withColumn("_d", F.monotonically_increasing_id()).select("_d", F.explode(tx.term_counts(tx.vector_terms(tokens))).alias("_t"))
+    weighted = held.select("_d", "_t.term", F.col("_t.n").alias("_tf")).join(idf, "term").withColumn("_w", F.col("_tf") * F.col("_idf"))
+    unit = weighted.withColumn("_u", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_d"))))
+    return unit.groupBy("term").agg((F.sum("_u") / F.max("_n")).alias("score")).orderBy(F.col("score").desc(), "term").limit(top)
+
+
+def tfidf_keywords(df: DataFrame, top: int = 25, size: int | None = None, tokens: str = "tokens") -> DataFrame:
     """Mean TF-IDF of the leading terms: idf ln((1+n)/(1+df))+1, unit length per document.
 
-    The vocabulary (at most ``size`` terms) is read once; term vectors, weighting,
-    normalising and the mean then stay inside each document's row. Fewer than two
-    non-empty documents give no keywords. Two scans of the texts in all.
+    With ``size`` only that many most frequent terms make the vectors: they are read once;
+    weighting, normalising and the mean then stay inside each document's row, with two scans
+    of the texts in all. Fewer than two non-empty documents give no keywords.
     """
+    if size is None:
+        return _all_terms_keywords(df, top, tokens)
     spark = df.sparkSession
     terms, n = _leading_terms(df, size, tokens)
     if n < 2 or not terms:
@@ -112,7 +127,10 @@ def topics(df: DataFrame, k: int = 5, top_words: int = 8, size: int = 500, seed:
         return spark.createDataFrame([], schema), None
     docs = df.where(F.size(tokens) > 0).select(tx.vector_terms(tokens).alias("_terms"))
     vectors = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="features").transform(docs)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectors)
+    # Every iteration reads every document; the vectors are kept while it does.
+    kept = vectors.persist()
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(kept)
+    kept.unpersist()
     labels = F.array(*[F.lit(w) for w in names])
     words = model.describeTopics(top_words).select(
         "topic", F.transform("termIndices", lambda i: F.get(labels, i)).alias("words"),

@@ -12,11 +12,11 @@ FILE_SCHEMA = "day string, count double, file string"
 
 
 def camera_file_counts(spark: SparkSession, path, stem: str = STEM) -> DataFrame:
-    """(day, count, file): total per file; files without the needed columns are left out.
+    """(day, count, file): total per file; files without the needed columns, and unreadable ones, are left out.
 
     ``stem`` is the pattern whose first group is the day, by default the file's stem.
     """
-    rows = read_by_header(spark, path, required=REQUIRED)
+    rows = read_by_header(spark, path, required=REQUIRED, skip_unreadable=True)
     if rows is None:
         return spark.createDataFrame([], FILE_SCHEMA)
     return rows.groupBy(F.col(ROW_FILE).alias("file")).agg(

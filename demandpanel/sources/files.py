@@ -47,14 +47,16 @@ def decoded(raw: Column, encoding: str) -> Column:
     return decode(raw)
 
 
-def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8", skip_unreadable: bool = False) -> DataFrame:
     """Lines with their file and an order inside the file.
 
+    An unreadable file stops the read, unless ``skip_unreadable``.
+
     The text source hands over bytes as they are, so other encodings are decoded afterwards.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", True).text(path)
+        .option("ignoreCorruptFiles", skip_unreadable).text(path)
     )
     value = F.col("value") if is_unicode(encoding) else decoded(F.col("value").cast("binary"), encoding).alias("value")
     return lines.select(
@@ -63,15 +65,16 @@ def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str
     )
 
 
-def header_groups(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8") -> dict[str, list[str]]:
+def header_groups(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8", skip_unreadable: bool = False) -> dict[str, list[str]]:
     """Header line → files. Only lines at the start of a file take part in the aggregate."""
-    lines = text_lines(spark, path, pattern, encoding).where(F.col(ROW_BLOCK) == 0)
+    lines = text_lines(spark, path, pattern, encoding, skip_unreadable).where(F.col(ROW_BLOCK) == 0)
     first = lines.groupBy(ROW_FILE).agg(F.min_by("value", ROW_ID).alias("header"))
     groups = first.groupBy("header").agg(F.sort_array(F.collect_list(ROW_FILE)).alias("files"))
     return {r["header"]: r["files"] for r in groups.orderBy("header").collect()}
 
 
-def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8", multi_line: bool = False,
+               skip_unreadable: bool = False) -> DataFrame:
     """One header group as text columns, with the file and row order kept.
 
     Legacy encodings are read byte for byte and decoded per column; their trailing bytes never
@@ -81,7 +84,7 @@ def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8
     raw = (
         spark.read.option("header", True).option("inferSchema", False)
         .option("encoding", "UTF-8" if plain else "ISO-8859-1")
-        .option("multiLine", multi_line).option("escape", '"').option("ignoreCorruptFiles", True).csv(list(files))
+        .option("multiLine", multi_line).option("escape", '"').option("ignoreCorruptFiles", skip_unreadable).csv(list(files))
     )
 
     def name(c: str) -> str:
@@ -102,13 +105,13 @@ def header_names(header: str) -> list[str]:
 
 
 def read_by_header(spark: SparkSession, path, pattern: str = "*.csv", required: Sequence[str] = (),
-                   encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame | None:
+                   encoding: str = "UTF-8", multi_line: bool = False, skip_unreadable: bool = False) -> DataFrame | None:
     """All files as one frame; files lacking a required column are left out. None if none remain."""
     if not _existing(spark, path):
         return None
     frames = [
-        read_group(spark, files, encoding, multi_line)
-        for header, files in header_groups(spark, path, pattern, encoding).items()
+        read_group(spark, files, encoding, multi_line, skip_unreadable)
+        for header, files in header_groups(spark, path, pattern, encoding, skip_unreadable).items()
         if set(required) <= set(header_names(header))
     ]
     if not frames:
