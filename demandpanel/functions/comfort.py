@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
+from . import fixed
 from .values import clipped, col, flag
 
 
-def discomfort_index(
-    temp: Column | str,
-    humidity: Column | str,
-    *,
-    coeff_temp: float = 0.81,
-    coeff_humidity: float = 0.01,
-    inner_temp: float = 0.99,
-    inner_offset: float = -14.3,
-    constant: float = 46.3,
-) -> Column:
+def discomfort_index(temp: Column | str, humidity: Column | str, terms: Mapping[str, float] | None = None) -> Column:
+    """The index as a polynomial 1, t, h, t·h; ``terms`` replaces some of its coefficients."""
     t, h = col(temp), col(humidity)
-    return coeff_temp * t + coeff_humidity * h * (inner_temp * t + inner_offset) + constant
+    c = {**fixed.DISCOMFORT_TERMS, **(terms or {})}
+    return F.lit(c["1"]) + t * c["t"] + h * c["h"] + t * h * c["th"]
 
 
 def wind_chill(temp: Column | str, wind_ms: Column | str) -> Column:

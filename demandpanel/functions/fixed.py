@@ -222,3 +222,13 @@ YEN_PER_DOLLAR = 164.7
 UNIT_ROOT_MAX, UNIT_ROOT_MIN, UNIT_ROOT_SPLIT = 2.74, -18.83, -1.61
 UNIT_ROOT_SMALL = (2.1659, 1.4412, 0.038269)
 UNIT_ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+# Discomfort index, coefficients of 1, t, h and t·h (fixed values): 0.81 t + 0.01 h (0.99 t - 14.3) + 46.3.
+DISCOMFORT_TERMS = {"1": 46.3, "t": 0.81, "h": -0.143, "th": 0.0099}
+
+# Names of the model's features; {0} is the intent column (fixed values).
+MODEL_FEATURES = (
+    "{0}", "{0}_lag1", "{0}_lag2", "{0}_lag3", "{0}_roll7", "precip", "temp", "sun", "wind", "precip_lag1",
+    "is_weekend_or_holiday", "weather_severity", "dow_mean_count", "weekend_x_severity", "weekend_x_intent", "month",
+)

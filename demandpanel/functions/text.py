@@ -15,7 +15,7 @@ PHONE = r"(?U)\b0\d{1,4}(?:[-()\s]?\d{1,4}){1,2}\b"
 EMAIL_MARK, PHONE_MARK = "[REDACTED_EMAIL]", "[REDACTED_PHONE]"
 
 # Token patterns (fixed values).
-CJK_RUN = "[一-鿿぀-ゟ゠-ヿ]{2,}"
+CJK_RUN = "[\\u4e00-\\u9fff\\u3040-\\u309f\\u30a0-\\u30ff]{2,}"
 LATIN_WORD = "[a-zA-Z]{3,}"
 WORD = r"[\p{L}\p{N}_]+"
 

@@ -93,13 +93,7 @@ def naive_previous(df: DataFrame, value: str = "count", keys: Sequence[str] = ("
 
 def model_columns(intent: str, available: Sequence[str]) -> list[str]:
     """The model feature names that are present."""
-    names = [
-        intent, f"{intent}_lag1", f"{intent}_lag2", f"{intent}_lag3", f"{intent}_roll7",
-        "precip", "temp", "sun", "wind", "precip_lag1",
-        "is_weekend_or_holiday", "weather_severity", "dow_mean_count",
-        "weekend_x_severity", "weekend_x_intent", "month",
-    ]
-    return [n for n in names if n in available]
+    return [n for n in (pattern.format(intent) for pattern in fixed.MODEL_FEATURES) if n in available]
 
 
 def build_features(

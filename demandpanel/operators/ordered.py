@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 RESOLUTION = 4096
 
@@ -61,7 +62,7 @@ def cumulative(
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n",
                  weight: str | None = None) -> DataFrame:
-    """Each (keys, value) once with its rows, or with the sum of ``weight``.
+    """Each (keys, value) once with its rows, or with the sum of ``weight``; NaN is missing.
 
     Rows without a key are left out here, before the first shuffle: every later join would drop
     them anyway, and only equal filters let the branches share one scan and one exchange.
@@ -69,6 +70,8 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n",
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     for c in (*keys, value):
         df = df.where(F.col(c).isNotNull())
+        if df.schema[c].dataType in (FloatType(), DoubleType()):
+            df = df.where(~F.isnan(c))
     return df.groupBy(*keys, value).agg(rows.alias(n))
 
 

@@ -88,7 +88,7 @@ def add_comfort(weather: DataFrame, *, humidity: str = "given", min_humidity: in
     temp_only = discomfort_index("temp", F.lit(assumed))
     index = temp_only
     if "humidity" in weather.columns and humidity != "assumed":
-        index = discomfort_index("temp", "humidity", **(coefficients or {}))
+        index = discomfort_index("temp", "humidity", coefficients)
         if humidity == "auto":
             index = F.when(weather.select(F.count("humidity")).scalar() > min_humidity, index).otherwise(temp_only)
     out = weather.withColumn("discomfort_index", index)

@@ -24,7 +24,7 @@ def test_discomfort_index_goldens(spark, t, h, expected):
 
 def test_discomfort_index_coefficients(spark):
     row = spark.createDataFrame([(20.0, 70.0)], "t double, h double")
-    got = row.select(cf.discomfort_index("t", "h", coeff_temp=.8, coeff_humidity=.02, inner_temp=1, inner_offset=-15, constant=45)).first()[0]
+    got = row.select(cf.discomfort_index("t", "h", {"1": 45.0, "t": .8, "h": -.3, "th": .02})).first()[0]
     assert got == pytest.approx(.8 * 20 + .02 * 70 * (20 - 15) + 45)
 
 

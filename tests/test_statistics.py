@@ -168,3 +168,10 @@ def test_comfort_peak_bins(spark):
     want = pdf.groupby(bins, observed=True).mean_satisfaction.mean().idxmax()
     assert got.high == pytest.approx(want.right, abs=1e-2) and got.low == pytest.approx(want.left, abs=1e-2)
     assert got.n == int((bins == want).sum())
+
+
+def test_not_a_number_is_missing_in_order_statistics(spark):
+    from demandpanel.operators import ordered as od
+    df = spark.createDataFrame([("k", v) for v in (-5.0, -4.0, 10.0, 20.0, float("nan"), None)], "k string, v double")
+    r = od.quantiles(df, "v", {"median": 0.5}, ["k"]).first()
+    assert (r["n"], r["median"]) == (4, 3.0)
