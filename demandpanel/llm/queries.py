@@ -41,7 +41,19 @@ def op2(spark, folder):
     return sharding.assign(read(spark, folder, "documents"))
 
 
-@query("op8_minhash_near_dedup")
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+
+@query("op8_minhash_near_dedup", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] FOR i IN range(1, len(w) - 1)])
+        WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END AS sh FROM d),
+    e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+    r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+    k AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN k ON k.a = s.doc_id""")
 def op8(spark, folder):
     return near_dedup.assign(read(spark, folder, "documents"), width=3, percent=85)
 
