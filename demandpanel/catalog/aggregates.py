@@ -285,7 +285,7 @@ def nps_digits_and_buckets(spark, folder):
     return st.table(spark, folder, "events").select("event_id", sv.digits("props").alias("digits"))
 
 
-@register("seeded_sample")
+@register("seeded_sample", "SELECT doc_id, n_chars FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 10")
 def seeded_sample(spark, folder):
     return sm.seeded_sample(st.table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id", 10)
 

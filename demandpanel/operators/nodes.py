@@ -89,7 +89,8 @@ def normalise_by_max(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
         w = Window.partitionBy(*keys)
         top = {c: F.max(c).over(w) for c in columns}
     else:
-        top = {c: df.select(F.max(c)).scalar() for c in columns}
+        maxima = df.select(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
+        top = {c: maxima.getField(c) for c in columns}
     return df.withColumns({
         f"{c}_norm": F.col(c) / F.when(top[c] == 0, F.lit(1.0)).otherwise(top[c]) for c in columns
     })

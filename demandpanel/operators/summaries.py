@@ -23,7 +23,7 @@ def counts_by(df: DataFrame, keys: Sequence[str | Column], n: str = "n") -> Data
 def shares(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count and share of each label."""
     counted = counts_by(df.where(F.col(label).isNotNull()), [*keys, label])
-    total = F.sum("n").over(Window.partitionBy(*keys)) if keys else counted.select(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(1)])))  # over labels, not rows
     return counted.withColumn("share", F.col("n") / total)
 
 
@@ -119,8 +119,8 @@ def grouping_column(df: DataFrame, candidates: Sequence[str], min_rows: int = 5,
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable random sample: the ``n`` smallest hashes of the key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """A repeatable random sample: the ``n`` smallest digests of the key with the seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def first_samples(df: DataFrame, key: str, text: str, n: int, chars: int) -> DataFrame:

@@ -35,8 +35,7 @@ def ngram_counts(df: DataFrame, n: int = 2, top: int = 20, tokens: str = "tokens
 def word_weights(df: DataFrame, top: int = 150, tokens: str = "tokens") -> DataFrame:
     """The most frequent words with their count as a share of the largest count."""
     best = term_frequencies(df, tokens).orderBy(F.col("n").desc(), "term").limit(top)
-    largest = best.select(F.max("n")).scalar()
-    return best.withColumn("weight", F.col("n") / largest)
+    return best.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(1))))  # at most ``top`` rows
 
 
 def _term_totals(df: DataFrame, tokens: str, with_documents: bool) -> DataFrame:
@@ -156,8 +155,8 @@ def redact_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def full_analysis(df: DataFrame, text: str, k: int = 5) -> dict[str, DataFrame]:
-    """All corpus results; texts are tokenised once and kept."""
-    docs = tokenise(df.where(F.col(text).isNotNull()), text).persist()
+    """All corpus results, each its own query; a caller that runs many may persist ``df``."""
+    docs = tokenise(df.where(F.col(text).isNotNull()), text)
     words, counts = topics(docs, k)
     return {
         "keywords": tfidf_keywords(docs), "topics": words, "topic_counts": counts,

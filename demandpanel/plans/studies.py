@@ -68,10 +68,10 @@ def site_network(counts: DataFrame, weather: DataFrame, intent: DataFrame, route
                  spend: float = fixed.SPEND_PER_VISITOR) -> dict[str, DataFrame]:
     """All sites in one run: models, totals, snow ranking, wind nudge, heat table, outside signal.
 
-    The joined node frame is read by several results, so it is kept.
+    Each result is a query of its own; a caller that runs many may persist the three inputs.
     """
-    frame = nd.node_frame(counts, weather, intent, route).persist()
-    models = nd.node_models(frame, route, spend).persist()
+    frame = nd.node_frame(counts, weather, intent, route)
+    models = nd.node_models(frame, route, spend)
     valid = frame.join(models.select("node"), "node", "left_semi")
     return {
         "frame": frame, "models": models, "totals": nd.loss_over_nodes(models, spend),
