@@ -6,6 +6,7 @@ own header line and each group is read with its own names, then united by name.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -100,8 +101,8 @@ def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8
 
 
 def header_names(header: str) -> list[str]:
-    """Names of a header line (fields are not quoted with separators inside)."""
-    return [c.strip().strip('"') for c in (header or "").lstrip("﻿").split(",")]
+    """Names of a header line; separators inside quotes belong to the name."""
+    return [c.strip() for c in next(csv.reader([(header or "").lstrip("\ufeff")]), [""])]
 
 
 def read_by_header(spark: SparkSession, path, pattern: str = "*.csv", required: Sequence[str] = (),
@@ -149,9 +150,15 @@ def detect_encodings(spark: SparkSession, path, pattern: str = "*.csv") -> DataF
 
 
 def rows_per_file(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
-    """(file, rows, columns) of every CSV in one job; lines after the header count as rows."""
-    lines = text_lines(spark, path, pattern)
-    return lines.groupBy(F.col(ROW_FILE).alias("file")).agg(
-        (F.count(F.lit(1)) - 1).alias("rows"),
-        F.size(F.split(F.min_by("value", F.struct(ROW_BLOCK, ROW_ID)), ",")).alias("columns"),
+    """(file, rows, columns) of every CSV: records after the header, however many lines they take,
+    and the fields of the header line."""
+    # One column of the schema is enough to parse records; the rest of each is skipped.
+    records = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .option("multiLine", True).option("escape", '"').schema("first string").csv(path)
     )
+    counted = records.groupBy(_path().alias("file")).agg((F.count(F.lit(1)) - 1).alias("rows"))
+    lines = text_lines(spark, path, pattern).where(F.col(ROW_BLOCK) == 0)
+    header = lines.groupBy(F.col(ROW_FILE).alias("file")).agg(F.min_by("value", ROW_ID).alias("header"))
+    plain = F.regexp_replace("header", '"[^"]*"', "")
+    return counted.join(header, "file").select("file", "rows", F.size(F.split(plain, ",")).alias("columns"))

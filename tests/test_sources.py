@@ -166,3 +166,15 @@ def test_sinks(spark, tmp_path, rows):
     assert rows(m, "key") == [("ols", "a.p", None), ("ols", "a.r2", "0.5")]
     sinks.write_metrics(m, str(tmp_path / "k"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "k/section=ols")).collect()) == ["a.p=", "a.r2=0.5"]
+
+
+def test_records_with_line_breaks_and_quoted_headers_count_once(spark, tmp_path):
+    from demandpanel.sources import files as fl, tables
+    for name in ("long", "short"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "long" / "a.csv").write_text("a,b,c,d,e,f\n" + "".join(f"{i},x,x,x,x,x\n" for i in range(50)))
+    (tmp_path / "short" / "b.csv").write_text('a,"b,\'2\'",c,d,e,f\n' + "".join(f'{i},"one\ntwo\nthree\nfour",x,x,x,x\n' for i in range(20)))
+    got = {r["file"].rsplit("/", 1)[1]: (r["rows"], r["columns"]) for r in fl.rows_per_file(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (50, 6), "b.csv": (20, 6)}
+    assert tables.choose_survey_file(spark, str(tmp_path)).endswith("/long/a.csv")
+    assert fl.header_names('﻿"x, y",z ,"w"') == ["x, y", "z", "w"]
