@@ -44,8 +44,8 @@ def lost_visitors_by_month(spark, folder):
     return rounded(ec.monthly_loss(pl.demand_loss(st.node_panel(spark, folder))), 4)
 
 
-def _baseline_sql(weights=fixed.SEASON_WEIGHTS) -> str:
-    rows = ", ".join(f"({m + 1}, {fixed.RANK_BY_MONTH[m]}, {fixed.GAP_K_BY_MONTH[m]}.0::DOUBLE, {weights[m]}::DOUBLE)" for m in range(12))
+def _baseline_sql(weights=fixed.SEASON_WEIGHTS, ranks=fixed.RANK_BY_MONTH) -> str:
+    rows = ", ".join(f"({m + 1}, {ranks[m]}, {fixed.GAP_K_BY_MONTH[m]}.0::DOUBLE, {weights[m]}::DOUBLE)" for m in range(12))
     return f"base AS (SELECT month::BIGINT AS month, rank::BIGINT AS rank, gap_k, weight, weight / sum(weight) OVER () AS share FROM (VALUES {rows}) AS t(month, rank, gap_k, weight))"
 
 
@@ -96,11 +96,11 @@ def ranking_monthly_losses(spark, folder):
     return _sim_out(ec.ranking_what_if(ec.ranking_baseline(spark), monthly=monthly))
 
 
-@register("ranking_flat_winter", with_("node_counts", body=f"""WITH {_baseline_sql(fixed.FLAT_WINTER_WEIGHTS)}, {_TOTALS}, s AS (SELECT node, month, rank,
+@register("ranking_flat_winter", with_("node_counts", body=f"""WITH {_baseline_sql(fixed.FLAT_WINTER_WEIGHTS, fixed.FLAT_WINTER_RANKS)}, {_TOTALS}, s AS (SELECT node, month, rank,
     round_even(total_lost * share, 0) AS monthly_lost FROM totals, base), g AS (SELECT *, CAST(least(floor(monthly_lost / 1000 * 12.0), 10) AS BIGINT) AS ranks_gained FROM s)
     SELECT node, month, rank, monthly_lost, ranks_gained, greatest(rank - ranks_gained, 1) AS hypo_rank FROM g"""))
 def ranking_flat_winter(spark, folder):
-    base = ec.ranking_baseline(spark, weights=fixed.FLAT_WINTER_WEIGHTS)
+    base = ec.ranking_baseline(spark, ranks=fixed.FLAT_WINTER_RANKS, weights=fixed.FLAT_WINTER_WEIGHTS)
     sim = ec.ranking_what_if(base, totals=_totals(spark, folder), cap=10, factor=12.0, whole_visitors=True)
     return rounded(sim.select("node", "month", "rank", "monthly_lost", "ranks_gained", "hypo_rank"))
 

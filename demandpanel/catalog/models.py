@@ -231,9 +231,9 @@ _BENCH_SQL = f"""WITH base AS (SELECT *, lag(count, 1) {W} AS naive, avg(count)
     UNION ALL SELECT node, 'ols', count, yhat, is_train FROM scored)"""
 
 
-def benchmark_frame(spark, folder):
+def benchmark_frame(spark, folder, panel=st.node_panel):
     """Rows with the split flag and one prediction column per simple model."""
-    rows = gm.complete(st.node_panel(spark, folder), ["count", *FOUR])
+    rows = gm.complete(panel(spark, folder), ["count", *FOUR])
     rows = ft.mark_split(ft.causal_mean(ft.naive_previous(rows)))
     coefs = gm.wide_coefficients(gm.gram(rows.where("is_train"), "count", FOUR), FOUR)
     return gm.predict(rows, coefs, FOUR, out="pred_ols")
@@ -259,6 +259,17 @@ def generalisation_gap(spark, folder):
     return rounded(rg.generalisation_gap(inside, outside, ["node", "model"]))
 
 
+@register("benchmark_four_models")
+def benchmark_four_models(spark, folder):
+    """The simple models and the forest on one split, inside and outside of the training days."""
+    frame = benchmark_frame(spark, folder, st.panel)
+    forest = rf.fit_forest(frame.where("is_train"), "count", FOUR)
+    scored = rf.score_forest(forest, frame, FOUR)
+    models = {**_MODELS, "random_forest": "pred_random_forest"}
+    inside, outside = (rg.compare_models(scored.where(f), "count", models) for f in ("is_train", "not is_train"))
+    return rounded(rg.generalisation_gap(inside, outside, ["node", "model"]))
+
+
 def _ablation_sql() -> str:
     keep = {"full": FOUR, "no_weather": ["directions"], "no_intent": ["temp", "precip", "wind"]}
     rows = _complete("node_panel", ["count", *FOUR])

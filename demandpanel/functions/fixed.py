@@ -213,6 +213,7 @@ GAP_K_BY_MONTH = (232, 309, 274, 310, 325, 301, 235, 178, 216, 316, 236, 405)
 # Seasonal weights of the ranking study, January first (fixed values).
 SEASON_WEIGHTS = (6.26, 6.26, 2.5, 2.5, 2.5, 1.0, 1.0, 1.0, 1.0, 2.5, 2.5, 6.26)
 FLAT_WINTER_WEIGHTS = (1.5, 1.5, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.5)
+FLAT_WINTER_RANKS = (47, 47, 47, 46, 47, 47, 45, 35, 46, 47, 47, 47)
 
 # Money (fixed values).
 SPEND_PER_VISITOR = 13811.0
