@@ -32,7 +32,7 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def slices(texts: list[str], most: int = 2_000_000):
+def slices(texts: list[str], most: int = 500_000):
     """Runs of ``texts`` of about ``most`` characters, as (start, end): bounds the memory of a task."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -43,6 +43,9 @@ WALKS, TABLES, SAMPLED = 4, 10, 3
 #: Lengths of items of one size class differ by this factor at most.
 CLASS_RATIO = 1.5
 
+#: Characters searched side by side.
+SLICE = 2_000_000
+
 HITS = "doc_id long, item_id long, edits int, item_words int, start_word int, end_word int"
 
 
@@ -248,7 +251,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for start, end in slices(texts):
+                for start, end in slices(texts, SLICE):
                     hits = np.array(shared.value.search(texts[start:end]), np.int64).reshape(-1, 6)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(hits[:, 0] + start)), pa.array(hits[:, 1]), *(pa.array(hits[:, c].astype(np.int32)) for c in range(2, 6))],
@@ -269,7 +272,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share:
             for batch in batches:
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 keep = np.ones(len(texts), bool)
-                for start, end in slices(texts):
+                for start, end in slices(texts, SLICE):
                     for hit in shared.value.search(texts[start:end]):
                         keep[start + hit[0]] = False
                 yield batch.filter(pa.array(keep))

@@ -54,8 +54,9 @@ def heavy_hitters(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     rows = digests.count()
     least = max(2, int(rows * (support - 1 / (COUNTERS + 1))))
-    named = (digests.select("_digest").mapInArrow(_summaries, "_digest binary, _seen long")
-             .groupBy("_digest").agg(F.sum("_seen").alias("_seen")).filter(F.col("_seen") >= least).select("_digest"))
+    # Staged, so that no broadcast waits for the pass over all rows.
+    named = staged(digests.select("_digest").mapInArrow(_summaries, "_digest binary, _seen long")
+                   .groupBy("_digest").agg(F.sum("_seen").alias("_seen")).filter(F.col("_seen") >= least).select("_digest"))
     return digests.join(F.broadcast(named), "_digest").groupBy("_digest").agg(
         F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
 

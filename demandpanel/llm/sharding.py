@@ -166,7 +166,7 @@ def shard_rows(rows: DataFrame, plan: Plan, counted: DataFrame | None = None) ->
     ranges = (counted if counted is not None else rows).withColumns(place).groupBy("shard", "_cell").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("_hash", "_key")).alias("_from"))
     before = Window.partitionBy("shard").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = staged(ranges.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     inside = Window.partitionBy("shard", "_cell").orderBy("_hash", "_key")
     ranked = rows.withColumns(place).withColumn("_rank", F.row_number().over(inside))
     # At most FIRST_PROBES + PROBES per probed interval + shards rows, whatever the input.

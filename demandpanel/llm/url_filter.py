@@ -101,7 +101,7 @@ def model(known: DataFrame) -> DataFrame:
 def scores(urls: DataFrame, values: DataFrame) -> DataFrame:
     """(url, score) of distinct URLs: log-likelihood difference for each character."""
     # At most ORDERS * MOST rows of a few characters and one number each.
-    return _grams(urls.select("url"), "url").join(F.broadcast(values), "gram").groupBy("url").agg(F.sum("value").alias("total")).select(
+    return _grams(urls.select("url").filter("url <> ''"), "url").join(F.broadcast(values), "gram").groupBy("url").agg(F.sum("value").alias("total")).select(
         "url", (F.col("total") / (F.length("url") + 1)).alias("score"))
 
 
@@ -170,7 +170,7 @@ def judge_sql() -> str:
             ceil(coalesce(sum(n * (length(url) + 1)), 0) / {MOST}) AS least FROM k WHERE says IS NOT NULL AND NOT {held}),
     kept AS ({kept}), ctx AS (SELECT gram, good, bad FROM kept UNION ALL SELECT chr(2), good, bad FROM tot),
     {levels}, v AS ({values}),
-    s AS (SELECT k.url, any_value(k.says) AS says, any_value(k.n) AS n, coalesce(sum(v.value), 0) / (length(k.url) + 1) AS score FROM k JOIN g USING (url) LEFT JOIN v USING (gram) GROUP BY k.url),
+    s AS (SELECT k.url, any_value(k.says) AS says, any_value(k.n) AS n, CASE WHEN k.url = '' THEN 0 ELSE coalesce(sum(v.value), 0) / (length(k.url) + 1) END AS score FROM k JOIN g USING (url) LEFT JOIN v USING (gram) GROUP BY k.url),
     b AS (SELECT floor(score * {STEPS}) AS step, sum(CASE WHEN says = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN says = 'block' THEN n ELSE 0 END) AS bad FROM s WHERE says IS NOT NULL AND {held} GROUP BY 1),
     c AS (SELECT step, coalesce(lead(step) OVER (ORDER BY step DESC) + 1, step) AS lower_, sum(good) OVER w / sum(good) OVER () - sum(bad) OVER w / sum(bad) OVER () AS gain FROM b WINDOW w AS (ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
     th AS (SELECT coalesce((SELECT (step + lower_) / 2 FROM c WHERE gain IS NOT NULL AND NOT isnan(gain) ORDER BY gain DESC, step LIMIT 1), 0) / {STEPS} AS least)
