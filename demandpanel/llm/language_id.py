@@ -242,8 +242,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``least`` probability, unchanged."""
+def identified(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with at least ``least`` probability, unchanged.
+
+    By default only texts without a letter go: a short text in a learned language may have a low probability.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
