@@ -6,6 +6,15 @@ in one task, on a sample bounded by PER_LANGUAGE documents of each label, drawn
 by a hash of the text; a fifth of it sets the temperature. Predicting is a map
 over whole texts, without a shuffle.
 
+``identified`` also rejects texts that are in none of the learned languages. A
+text's evidence is its surprise: the mean -log probability of its n-grams, each in
+the label of the sample where it is likeliest (a text may mix learned languages),
+once over all n-grams and once over the distinct ones (a text may repeat an odd
+word). The bounds are set for each label and band of n-gram count from the sample
+itself, whole texts and pieces of them, each without its own counts: above the
+median by SLACK times what all but TAIL of them reach. A text goes that exceeds
+both. Where too few texts tell, nothing is rejected.
+
 Defined results: null text, text without a letter, and every text when nothing
 could be learned, is ``und`` with score 0; null labels are not learned from;
 ties go to the label first in order; equal texts get equal results; texts are
@@ -31,6 +40,10 @@ BUCKETS, ORDERS = 1 << 14, 3
 PER_LANGUAGE = 1500
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.05, 3
+#: Pseudo count of a bucket in a label's n-grams, share of the labelled texts above the quantile, how far beyond it the bound is, texts that a bound needs.
+PSEUDO, TAIL, SLACK, NEEDED = 0.05, 0.005, 2.0, 10
+#: Letters of the pieces that stand for short texts, and bands of n-gram counts (powers of two).
+PIECES, BANDS = (8, 16, 32, 64, 128, 256, 512), 32
 _STEP = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _SLICE = 128
 
@@ -82,9 +95,18 @@ def _pieces(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[in
 def _weighted(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit-length TF-IDF rows as (text, bucket, value)."""
     row, bucket, count = ngrams(texts)
+    return row, bucket, _unit(row, bucket, count, len(texts), idf)
+
+
+def _unit(row, bucket, count, rows: int, idf: np.ndarray) -> np.ndarray:
     value = (1 + np.log(count)) * idf[bucket]
-    norm = np.sqrt(np.bincount(row, value * value, len(texts)))
-    return row, bucket, value / np.maximum(norm, 1e-12)[row]
+    norm = np.sqrt(np.bincount(row, value * value, rows))
+    return value / np.maximum(norm, 1e-12)[row]
+
+
+def _band(size) -> np.ndarray:
+    """Band of an n-gram count."""
+    return np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), BANDS - 1)
 
 
 @dataclass
@@ -94,22 +116,40 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    #: Of each bucket and label, -log probability; of each label, the most surprise of a text in a learned language: by band over all n-grams, then by band over distinct ones.
+    surprise: np.ndarray | None = None
+    bounds: np.ndarray | None = None
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Label and calibrated probability of each text."""
-        labels, scores = [], []
+        labels, scores, _ = self.judge(texts, False)
+        return labels, scores
+
+    def judge(self, texts: list[str | None], bounded: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label and calibrated probability of each text, and whether it is in a learned language."""
+        labels, scores, within = [], [np.zeros(0)], [np.zeros(0, bool)]
         for start, end in _pieces(texts):
             part = texts[start:end]
             if not self.labels:
                 labels += [UNKNOWN] * len(part)
                 scores.append(np.zeros(len(part)))
+                within.append(np.zeros(len(part), bool))
                 continue
-            row, bucket, value = _weighted(part, self.idf)
+            row, bucket, count = ngrams(part)
+            value = _unit(row, bucket, count, len(part), self.idf)
             p = _softmax(_logits(row, bucket, value, len(part), self.weights, self.bias) / self.temperature)
-            best, known = p.argmax(axis=1), np.bincount(row, minlength=len(part)) > 0
+            size = np.bincount(row, count, len(part))
+            best, known = p.argmax(axis=1), size > 0
             labels += [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             scores.append(np.where(known, p.max(axis=1), 0.0))
-        return labels, np.concatenate(scores) if scores else np.zeros(0)
+            if bounded and self.bounds is not None:
+                least, distinct = self.surprise.min(axis=1)[bucket], np.bincount(row, minlength=len(part))
+                every = np.bincount(row, least * count, len(part)) / np.maximum(size, 1)
+                once = np.bincount(row, least, len(part)) / np.maximum(distinct, 1)
+                within.append(known & ((every <= self.bounds[best, _band(size)]) | (once <= self.bounds[best, BANDS + _band(distinct)])))
+            else:
+                within.append(known)
+        return labels, np.concatenate(scores), np.concatenate(within)
 
 
 def _logits(row, bucket, value, rows: int, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -156,7 +196,47 @@ def fit(texts: list[str], labels: list[str], held: np.ndarray, idf: np.ndarray,
     weights, bias = lead.weights(), base.weights()[0]
     check = np.flatnonzero(held) if held.any() else order
     logits = np.array([value_bucket[1] @ weights[value_bucket[0]] + bias for value_bucket in (rows[i] for i in check)]).reshape(len(check), len(names))
-    return Model(names, idf, weights, bias, _temperature(logits, y[check]))
+    model = Model(names, idf, weights, bias, _temperature(logits, y[check]))
+    model.surprise, model.bounds = _typical(model, texts, y)
+    return model
+
+
+def _typical(model: Model, texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Surprise of each (bucket, label), and the two bounds of each (label, band), each text and its pieces judged without its own counts."""
+    names = len(model.labels)
+    grams = [ngrams([t])[1:] for t in texts]
+    counts = np.zeros((BUCKETS, names))
+    for (bucket, count), label in zip(grams, y, strict=True):
+        counts[bucket, label] += count
+    totals = counts.sum(axis=0)
+    seen: list[list[list[float]]] = [[[] for _ in range(2 * BANDS)] for _ in range(names)]
+    for i, (text, label) in enumerate(zip(texts, y, strict=True)):
+        own, own_count = grams[i]
+        others = np.zeros(BUCKETS)
+        others[own] = own_count
+        sizes = (PIECES[i % len(PIECES)], PIECES[(i + 3) % len(PIECES)])
+        start = i * 97 % max(1, len(text) - max(sizes) + 1)
+        for bucket, count in [grams[i], *(ngrams([text[start:start + n]])[1:] for n in sizes if n < len(text))]:
+            if not len(bucket):
+                continue
+            size = count.sum()
+            held, total = counts[bucket].copy(), totals.copy()
+            held[:, label] -= others[bucket]
+            total[label] -= own_count.sum()
+            least = -np.log(((held + PSEUDO) / (total + PSEUDO * BUCKETS)).max(axis=1))
+            seen[label][_band(size)].append(float(count @ least / size))
+            seen[label][BANDS + _band(len(bucket))].append(float(least.mean()))
+    bounds = np.full((names, 2 * BANDS), np.inf)
+    for label in range(names):
+        for at in range(2 * BANDS):
+            first, band = at - at % BANDS, at % BANDS
+            near = [x for b in range(max(0, band - 1), min(BANDS, band + 2)) for x in seen[label][first + b]]
+            if len(near) >= NEEDED:
+                middle, high = np.quantile(near, (0.5, 1 - TAIL), method="higher")
+                bounds[label, at] = middle + SLACK * (high - middle)
+            elif band:
+                bounds[label, at] = bounds[label, at - 1]
+    return -np.log((counts + PSEUDO) / (totals + PSEUDO * BUCKETS)), bounds
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -221,11 +301,14 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["label", "text"], kind="stable")
         m = fit(frame["text"].tolist(), frame["label"].tolist(), frame["held"].to_numpy(bool), idf)
-        return pd.DataFrame({"label": m.labels, "bias": m.bias, "temperature": m.temperature, "weights": [w.tobytes() for w in m.weights.T]})
+        return pd.DataFrame({"label": m.labels, "bias": m.bias, "temperature": m.temperature, "weights": [w.tobytes() for w in m.weights.T],
+                             "surprise": [w.tobytes() for w in m.surprise.T], "bounds": [w.tobytes() for w in m.bounds]})
 
-    rows = sample.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(learn, "label string, bias double, temperature double, weights binary").toPandas()
+    rows = sample.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(
+        learn, "label string, bias double, temperature double, weights binary, surprise binary, bounds binary").toPandas()
     rows = rows.sort_values("label")
-    return Model(rows["label"].tolist(), idf, np.stack([np.frombuffer(w) for w in rows["weights"]], axis=1), rows["bias"].to_numpy(), float(rows["temperature"].iloc[0]))
+    weights, surprise, bounds = (np.stack([np.frombuffer(w) for w in rows[c]]) for c in ("weights", "surprise", "bounds"))
+    return Model(rows["label"].tolist(), idf, weights.T, rows["bias"].to_numpy(), float(rows["temperature"].iloc[0]), surprise.T, bounds)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,15 +326,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known, with at least ``least`` probability, unchanged.
+    """The rows of ``docs`` whose language is a learned one, with at least ``least`` probability, unchanged.
 
-    By default only texts without a letter go: a short text in a learned language may have a low probability.
+    Texts without a letter go, and texts more surprising than the labelled ones of their label and size.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([a != UNKNOWN and s >= least for a, s in zip(labels, scores, strict=True)], pa.bool_()))
+            labels, scores, within = shared.value.judge(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([a != UNKNOWN and w and s >= least for a, s, w in zip(labels, scores, within, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

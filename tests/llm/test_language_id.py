@@ -77,3 +77,17 @@ def test_a_texts_counts_do_not_depend_on_its_neighbours():
 def test_elastic_net_leaves_most_weights_zero(spark):
     model = li.train(frame(spark))
     assert (model.weights == 0).mean() > 0.9 and model.temperature > 0
+
+
+def test_noise_and_unlearned_languages_go_and_short_clean_texts_stay(spark):
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz   ") for _ in range(n)) for n in (80, 300, 3000)]
+    other = [" ".join("".join(rng.choice("vry dze lgy ubw ofp yhm".split()) for _ in range(3)) for _ in range(n)) for n in (10, 60, 400)]
+    script = ["мы все идём домой и там поём " * n for n in (3, 20)]
+    clean = [text(c, n, 7000 + k) for c in ("aa", "bb") for n in (1, 2, 5, 200) for k in range(40)]
+    bad = [(2000 + i, t, None, "s", 0) for i, t in enumerate(noise + other + script)]
+    good = [(3000 + i, t, None, "s", 0) for i, t in enumerate(clean)]
+    docs = frame(spark, bad + good)
+    kept = {r["doc_id"] for r in li.identified(docs, li.train(docs)).collect()}
+    assert not kept & {b[0] for b in bad}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {b[0] for b in bad}
