@@ -2,8 +2,8 @@
 
 Document frequencies come from all labelled documents. The weights are fitted by
 follow-the-regularised-leader with elastic-net penalties (McMahan et al., 2013)
-in one task, on a sample bounded by PER_LANGUAGE documents of each label, drawn
-by a hash of the text; a fifth of it sets the temperature. Predicting is a map
+in one task, on a sample bounded by PER_LANGUAGE distinct texts of each label, drawn
+by a hash of the text, one at least; copies count once in it; a fifth of it sets the temperature. Predicting is a map
 over whole texts, without a shuffle.
 
 ``identified`` also rejects texts that are in none of the learned languages. A
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 UNKNOWN = "und"
 #: Hashed n-grams of one to ORDERS characters.
 BUCKETS, ORDERS = 1 << 14, 3
-#: Sampled documents of a label, at most about so many.
+#: Sampled distinct texts of a label, at most about so many.
 PER_LANGUAGE = 1500
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.05, 3
@@ -289,23 +289,31 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     idf = np.full(BUCKETS, np.log(1.0 + documents) + 1)
     seen = counted[counted["bucket"] >= 0]
     idf[seen["bucket"].to_numpy()] = np.log((1.0 + documents) / (1.0 + seen["n"].to_numpy())) + 1
-    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    if not sizes:
-        return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, min(1.0, per_language / n)).otherwise(share)
-    sample = known.filter(place < share).withColumn("held", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0)
+    distinct = known.select("label", F.xxhash64("text").alias("hash"), place.alias("place")).distinct()
+    sizes = {r["label"]: r for r in distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("lowest")).collect()}
+    nothing = Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
+    if not sizes:
+        return nothing
+    share = F.lit(-1.0)
+    for label, r in sizes.items():
+        # The text placed lowest is always in, so no label is without one.
+        share = F.when(F.col("label") == label, max(min(1.0, per_language / r["n"]), r["lowest"])).otherwise(share)
+    sample = known.filter(place <= share).groupBy("label", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text")).select(
+        "label", "text", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0).alias("held"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["label", "text"], kind="stable")
-        m = fit(frame["text"].tolist(), frame["label"].tolist(), frame["held"].to_numpy(bool), idf)
+        # A label whose texts are all held would not be learned.
+        held = frame["held"] & ~frame.groupby("label")["held"].transform("all")
+        m = fit(frame["text"].tolist(), frame["label"].tolist(), held.to_numpy(bool), idf)
         return pd.DataFrame({"label": m.labels, "bias": m.bias, "temperature": m.temperature, "weights": [w.tobytes() for w in m.weights.T],
                              "surprise": [w.tobytes() for w in m.surprise.T], "bounds": [w.tobytes() for w in m.bounds]})
 
     rows = sample.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(
         learn, "label string, bias double, temperature double, weights binary, surprise binary, bounds binary").toPandas()
+    if rows.empty:
+        return nothing
     rows = rows.sort_values("label")
     weights, surprise, bounds = (np.stack([np.frombuffer(w) for w in rows[c]]) for c in ("weights", "surprise", "bounds"))
     return Model(rows["label"].tolist(), idf, weights.T, rows["bias"].to_numpy(), float(rows["temperature"].iloc[0]), surprise.T, bounds)

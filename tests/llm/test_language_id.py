@@ -91,3 +91,19 @@ def test_noise_and_unlearned_languages_go_and_short_clean_texts_stay(spark):
     kept = {r["doc_id"] for r in li.identified(docs, li.train(docs)).collect()}
     assert not kept & {b[0] for b in bad}
     assert kept == {r["doc_id"] for r in docs.collect()} - {b[0] for b in bad}
+
+
+def test_labels_of_copies_are_learned_from_distinct_texts(spark):
+    # Of each text 300 copies; texts whose hash places them highest, so a share of the rows would draw none.
+    high = {}
+    rows = spark.createDataFrame([(c, text(c, 30, k)) for c in ("aa", "bb") for k in range(40)], "label string, text string")
+    for r in rows.selectExpr("label", "text", "pmod(xxhash64(text), 1 << 30) AS place").orderBy("place").collect():
+        high[r["label"]] = r["text"]
+    copies = [(i, high["aa" if i % 2 else "bb"], "aa" if i % 2 else "bb", "s", 0) for i in range(600)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for frame_, labels in ((docs, ["aa", "bb"]), (docs.filter("lang = 'aa'"), ["aa"])):
+        model = li.train(frame_, per_language=1)
+        assert model.labels == labels
+        said = {(r["lang"], r["lang_pred"]) for r in li.identify(frame_, model).join(frame_, "doc_id").select("lang", "lang_pred").collect()}
+        assert said == {(c, c) for c in labels}
+    assert li.identified(docs, li.train(docs, per_language=1)).count() == 600
