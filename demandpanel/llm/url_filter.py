@@ -1,14 +1,17 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
 URLs that a rule allows or blocks teach two variable-order Markov models. A
-character's context is used as far as it is kept: of each order, n-grams with at
-least one MOST-th of all counted positions, so at most MOST n-grams of an order
-whatever the input (that bounds what is broadcast). Probabilities are smoothed
-from order to order (Dirichlet). An n-gram's value is what it adds to the
+character's context is used as far as it was seen: ``judge`` keeps every n-gram,
+so the models grow with the input. Probabilities are smoothed from order to order
+(Dirichlet). An n-gram's value is what it adds to the
 log-likelihood difference over its shorter form, so a URL's difference is the sum
 over the n-grams it holds, divided by its length. The threshold maximises the
 mean of both classes' hit rates on a held-out fifth of the ruled URLs.
 
+``model`` alone can prune, to n-grams with at least one MOST-th of all positions.
+``judge_sql`` still has that floor: it is one, and drops nothing, up to MOST
+positions, and above that the SQL differs from ``judge``.
+
 All work is DataFrame functions. URLs are scored once however often they occur.
 
 Defined results: a null URL is empty; without ``://`` host and path are empty; an
@@ -64,8 +67,8 @@ def _is_held(url: str = "url") -> Column:
     return F.conv(F.substring(F.md5(F.col(url)), 1, 4), 16, 10).cast("long") % 5 == 0
 
 
-def model(known: DataFrame) -> DataFrame:
-    """(gram, value) from URLs (url, verdict, n): what each n-gram adds to log P(accepted) - log P(rejected)."""
+def model(known: DataFrame, whole: bool = False) -> DataFrame:
+    """(gram, value) from URLs (url, verdict, n): what each n-gram adds to log P(accepted) - log P(rejected); all n-grams if ``whole``."""
     good, bad = F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0), F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)
     counts = _grams(known.select("url", good.alias("good"), bad.alias("bad")), "good", "bad").groupBy("gram").agg(
         F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("order", F.length("gram"))
@@ -73,7 +76,7 @@ def model(known: DataFrame) -> DataFrame:
                        F.coalesce(F.sum(bad * (F.length("url") + 1)), F.lit(0)).alias("all_bad"),
                        F.coalesce(F.sum(good), F.lit(0)).alias("urls_good"), F.coalesce(F.sum(bad), F.lit(0)).alias("urls_bad")).first()
     least = -(-(totals["all_good"] + totals["all_bad"]) // MOST)
-    kept = staged(counts.filter(F.col("good") + F.col("bad") >= least))
+    kept = staged(counts if whole else counts.filter(F.col("good") + F.col("bad") >= least))
     symbols = kept.filter("order = 1").count()
 
     def first(n: str, whole: int) -> Column:
@@ -100,8 +103,8 @@ def model(known: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame, values: DataFrame) -> DataFrame:
     """(url, score) of distinct URLs: log-likelihood difference for each character."""
-    # At most ORDERS * MOST rows of a few characters and one number each.
-    return _grams(urls.select("url").filter("url <> ''"), "url").join(F.broadcast(values), "gram").groupBy("url").agg(F.sum("value").alias("total")).select(
+    # The planner broadcasts few values; of many, the adaptive join splits the n-grams that most URLs hold.
+    return _grams(urls.select("url").filter("url <> ''"), "url").join(values, "gram").groupBy("url").agg(F.sum("value").alias("total")).select(
         "url", (F.col("total") / (F.length("url") + 1)).alias("score"))
 
 
@@ -124,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rule, says = ruled(F.col("host"), F.col("path"), rules)
     urls = staged(distinct.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": says}))
     known = urls.filter("rule IS NOT NULL")
-    values = model(known.filter(~_is_held()))
+    values = model(known.filter(~_is_held()), whole=True)
     wanted = urls.filter(F.col("rule").isNull() | _is_held())
     scored = staged(wanted.join(scores(wanted, values).withColumnRenamed("url", "u"), F.col("url") == F.col("u"), "left").select(
         "url", "verdict", "rule", "n", F.coalesce("score", F.lit(0.0)).alias("score")))

@@ -87,3 +87,12 @@ def test_ties_of_equal_rules_go_to_the_first(spark, text, says):
     host, path = uf.host_path(row["u"])
     rule, verdict = uf.ruled(host, path)
     assert tuple(row.select(rule, verdict).first()) == (text, says)
+
+
+def test_judging_keeps_rare_ngrams(spark, monkeypatch):
+    pages = frame(spark)
+    whole = {r["page_id"]: r["score"] for r in uf.judge(pages).collect()}
+    monkeypatch.setattr(uf, "MOST", 50)
+    got = {r["page_id"]: r["score"] for r in uf.judge(pages).collect()}
+    assert got.keys() == whole.keys()
+    assert all(got[i] == pytest.approx(x) if x is not None else got[i] is None for i, x in whole.items())
