@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter
+from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op9(spark, folder):
 def op7(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return surrogates.rewritten(docs, b"corpus surrogates").select("doc_id", "text", F.size("_entities").alias("n_entities"), F.col("_entities").alias("entities"))
+
+
+@query("op13_vector_codes", vector_codes.compress_sql())
+def op13(spark, folder):
+    return vector_codes.compress(read(spark, folder, "embeddings"))

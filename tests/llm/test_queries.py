@@ -8,7 +8,7 @@ import pytest
 from demandpanel.llm import queries as q
 
 FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "pages", "benchmark", "conversations")
+TABLES = ("documents", "pages", "benchmark", "conversations", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con():
 
 
 def test_one_query_of_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11)) and set(q.ORACLES) <= set(q.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 14)) and set(q.ORACLES) <= set(q.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
