@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, exact_dedup, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter, vector_codes
+from . import chat_format, decontamination, exact_dedup, fingerprints, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op7(spark, folder):
 @query("op13_vector_codes", vector_codes.compress_sql())
 def op13(spark, folder):
     return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
+@query("op12_fingerprints")
+def op12(spark, folder):
+    return fingerprints.compare_edited(read(spark, folder, "documents"))

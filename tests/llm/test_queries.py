@@ -40,6 +40,7 @@ COLUMNS = {
     "op7_pii_surrogates": ["doc_id", "text", "n_entities", "entities"],
     "op8_minhash_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op12_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
 }
 
