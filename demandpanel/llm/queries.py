@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, exact_dedup, fingerprints, html_extraction, language_id, near_dedup, packing, sharding, surrogates, url_filter, vector_codes
+from . import chat_format, decontamination, exact_dedup, fingerprints, html_extraction, language_id, near_dedup, packing, sharding, spelling_variants, surrogates, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,8 @@ def op13(spark, folder):
 @query("op12_fingerprints")
 def op12(spark, folder):
     return fingerprints.compare_edited(read(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants", spelling_variants.variants_sql())
+def op11(spark, folder):
+    return spelling_variants.variants(read(spark, folder, "documents"))
