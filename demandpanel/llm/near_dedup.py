@@ -9,9 +9,9 @@ left out gives both a common key: every pair within that distance meets.
 Of the documents under one key only pairs with the key's heaviest document are
 checked first, one per document; the links join what is alike. Keys whose
 documents still lie in different components are then compared across components,
-blockwise in memory, and only pairs close enough in signature leave the task.
-Every link is confirmed on the full sets. So a group of many copies never
-becomes all its pairs, and no pair of different texts under the distance is lost.
+blockwise in memory and on the full sets, and a block hands on a spanning forest of
+its links only. So a group of many copies never becomes all its pairs, whether they
+are alike or only nearly so, and no pair of different texts under the distance is lost.
 
 Defined results: null text or text without words has an empty set and no links;
 with fewer words than a shingle the whole sequence is one shingle; equal sets
@@ -44,6 +44,8 @@ WIDE = 256
 SURE = 4.75
 #: Rows of one comparison in memory.
 BLOCK, WIDE_BLOCK = 512, 4096
+#: Shingles on either side of a comparison in memory, about.
+SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 32, WIDE, np.uint32) | np.uint32(1)
@@ -171,83 +173,93 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _close(percent: int):
-    """Pairs of each block in different components, one of them an outsider, that may be alike enough.
+def _forest(percent: int):
+    """Links (a, b) that join the components of each block: of all pairs alike enough, a spanning forest.
 
-    What a pair has in common can't exceed what either has that isn't its own alone;
-    then the pair's own first common key must be the block's, so that other blocks
-    don't repeat it; then both signatures must be near.
+    An outsider's possible partners lie in other components, could share enough by
+    what either has that isn't its own alone, and are near in both signatures. They
+    are settled here, on the full sets, so that pairs that turn out unlike, or that
+    join what is joined already, never leave the task.
     """
     near, nearer = farthest(percent), farthest(percent, WIDE)
 
-    def pairs(block: pa.RecordBatch) -> Iterator[np.ndarray]:
-        key = block.column(0)[0].as_py()
+    def links(block: pa.RecordBatch) -> list[tuple[int, int]]:
         ids, comps, sizes, most, out = (block.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6, 7))
         outs = np.flatnonzero(out)
         if not len(outs):
-            return
+            return []
         signs = np.frombuffer(b"".join(block.column(8).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
         wides = np.frombuffer(b"".join(block.column(9).to_pylist()), np.uint8).reshape(-1, WIDE)
-        step = max(1, 400_000 // len(ids))
-        for start in range(0, len(outs), step):
-            part = outs[start:start + step]
-            common = np.minimum(most[part][:, None], most)
-            a, b = np.nonzero((comps[part][:, None] != comps) & (100 * common >= percent * (sizes[part][:, None] + sizes - common)))
-            for at in range(0, len(a), 50_000):
-                x, y = part[a[at:at + 50_000]], b[at:at + 50_000]
-                same = signs[x] == signs[y]
-                x, y, same = (v[COMPONENTS - same.sum(axis=1) <= near] for v in (x, y, same))
-                wrong = ~same.reshape(-1, CHUNKS, PER_CHUNK)
-                chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
-                first = chunk * PER_CHUNK + wrong[np.arange(len(x)), chunk].argmax(axis=1)
-                here = chunk_keys(signs[x])[np.arange(len(x)), first] == key if len(x) else np.zeros(0, bool)
-                x, y = x[here], y[here]
-                hit = (wides[x] != wides[y]).sum(axis=1) <= nearer
-                yield np.stack([np.minimum(ids[x], ids[y])[hit], np.maximum(ids[x], ids[y])[hit]])
+        column = block.column(10)
+        offsets, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)  # sorted as such
+        names, comps = np.unique(comps, return_inverse=True)
+        tops = np.arange(len(names))  # the component each one is joined to so far
+        found = []
+        for x in outs:
+            able = (tops[comps] != tops[comps[x]]) & (100 * np.minimum(most[x], most) >= percent * (sizes[x] + sizes - np.minimum(most[x], most)))
+            some = np.flatnonzero(able)
+            some = some[(signs[some] != signs[x]).sum(axis=1) <= near]
+            some = some[(wides[some] != wides[x]).sum(axis=1) <= nearer]
+            if not len(some):
+                continue
+            own, lengths = flat[offsets[x]:offsets[x + 1]], offsets[some + 1] - offsets[some]
+            step = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum(), 1_000_000), side="right")
+            common = np.concatenate([_common(own, [flat[offsets[y]:offsets[y + 1]] for y in part]) for part in np.split(some, step[1:]) if len(part)])
+            for y in some[100 * common >= percent * (sizes[x] + sizes[some] - common)]:
+                if tops[comps[x]] != tops[comps[y]]:
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    tops[tops == tops[comps[y]]] = tops[comps[x]]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
         for block in _blocks(batches):
-            for some in pairs(block):
-                found.append(some)
-                size += some.shape[1]
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["a", "b"])
-                found, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["a", "b"])
+            found = np.array(links(block), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
     return run
 
 
+def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``others`` shares with the sorted set ``own``."""
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    starts = np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1]))
+    return np.add.reduceat((own[at] == values).astype(np.int64), starts)
+
+
 def _unsettled(shared: DataFrame, comps: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Close pairs across components under a common key.
+    """Links across the components that still meet under a common key.
 
     Only documents outside a key's largest component are set against the others,
     in blocks; blocks grow in number with the key's documents, never in size.
-    Documents with too many shingles that no other document here has are out.
+    Documents with too many shingles that no other document here has are out. Of keys
+    with the same documents one is enough.
     """
     named = shared.join(comps, shared["id"] == comps["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     open_rows = staged(named.join(mixed_keys, "key", "left_semi"))
     held = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
     alone = held.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    bounds = held.select("id", F.size("shingles").cast("long").alias("size")).join(alone, "id", "left").select(
-        "id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most")).filter(100 * F.col("most") >= percent * F.col("size"))
+    bounds = held.select("id", "shingles", F.size("shingles").cast("long").alias("size")).join(alone, "id", "left").select(
+        "id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"), "shingles").filter(100 * F.col("most") >= percent * F.col("size"))
     marks = staged(bounds.join(signs, "id").join(held.mapInArrow(_wide, "id long, wide binary"), "id"))
-    able = open_rows.join(marks.select("id", "size", "most"), "id")
-    per = (able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-           .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"))
-           .filter("largest < all"))
+    able = open_rows.join(marks.select("id", F.size("shingles").cast("long").alias("weight")), "id")
+    per = (able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)])
+           .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("all"),
+                               F.sum("w").alias("weight"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+           .filter("largest < all").groupBy("all", "h1", "h2").agg(F.min_by(F.struct("key", "main", "largest", "weight"), "key").alias("k"))
+           .select("k.key", "k.main", (F.col("all") - F.col("k.largest")).alias("outside"), "all", F.col("k.weight").alias("in_key")))
     blocked = able.join(per, "key").withColumns({
-        "out": F.col("comp") != F.col("main"), "ob": F.ceil((F.col("all") - F.col("largest")) / BLOCK).cast("int"),
-        "wb": F.ceil(F.col("all") / WIDE_BLOCK).cast("int")}).join(marks.select("id", "sign", "wide"), "id")
+        "out": F.col("comp") != F.col("main"),
+        "wb": F.greatest(F.ceil(F.col("all") / WIDE_BLOCK), F.ceil(F.col("in_key") / SHINGLES)).cast("int"),
+        "ob": F.greatest(F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("in_key") / SHINGLES)).cast("int")}).join(marks, "id")
     own = ["id", "comp", "size", "most"]
     here, there = F.pmod(F.xxhash64("id"), F.col("ob")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("wb")).cast("int")
-    outsiders = blocked.filter("out").select("key", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wb") - 1)).alias("j"), *own, "out", "sign", "wide")
-    members = blocked.select("key", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), there.alias("j"), *own, F.lit(False).alias("out"), "sign", "wide")
+    outsiders = blocked.filter("out").select("key", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wb") - 1)).alias("j"), *own, "out", "sign", "wide", "shingles")
+    members = blocked.select("key", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), there.alias("j"), *own, F.lit(False).alias("out"), "sign", "wide", "shingles")
     # A number of partitions of its own, since what costs time here is comparing, not bytes.
     number = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return outsiders.unionByName(members).repartition(number, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_close(percent), "a long, b long").distinct()
+    return outsiders.unionByName(members).repartition(number, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_forest(percent), "a long, b long").distinct()
 
 
 def assign(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,8 +282,7 @@ def assign(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     sets = staged(own.join(weight.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
     links = staged(_confirmed(best, sets, percent))
     first = staged(components(links))
-    rest = staged(_unsettled(shared.select("key", "id"), first, signs, sets, percent))
-    more = _confirmed(rest, sets, percent)
+    more = staged(_unsettled(shared.select("key", "id"), first, signs, sets, percent))
     named = components(links.unionByName(more))
 
     labels = classes.join(named, classes["id"] == named["node"], "left").select("mark", F.coalesce("component", "id").alias("label"))

@@ -105,3 +105,27 @@ def test_signatures_estimate_similarity(prose):
     true = len(set(sets[0]) & set(sets[1])) / len(set(sets[0]) | set(sets[1]))
     signs = nd.signatures(sets)
     assert abs((signs[0] == signs[1]).mean() - true) < 0.2
+
+
+def test_a_long_chain_of_near_copies(docs, prose):
+    """Copies each near to the next only: no one document is near to them all, and each link counts."""
+    rng = random.Random(12)
+    words, rows = prose(160, "chain"), []
+    for i in range(400):
+        rows.append((i, " ".join(words)))
+        words = changed(words, 2, rng)
+    got = {r["doc_id"]: r["component_id"] for r in nd.assign(docs(*rows), 5, 80).collect()}
+    assert got == {i: 0 for i in range(400)}
+
+
+def test_blocks_hand_on_a_forest_only(prose):
+    """Of a block of mutual near copies at most one link a component comes out, however many pairs are alike."""
+    import numpy as np
+    import pyarrow as pa
+    rng, base, n = random.Random(5), prose(300, "f"), 60
+    sets = nd.shingle_sets([" ".join(changed(base, 2, rng)) for _ in range(n)], 5)
+    marks = [pa.array([v] * n) for v in (1, 0, 0)] + [pa.array(range(n)), pa.array(range(n))] + [pa.array([len(s) for s in sets])] * 2 + [pa.array([True] * n)]
+    marks += [pa.array([w.tobytes() for w in nd.signatures(sets, *kind)], pa.binary()) for kind in ((), (nd.WIDE, np.uint8))]
+    batch = pa.RecordBatch.from_arrays([*marks, pa.array([s.view(np.int64) for s in sets])], ["key", "i", "j", "id", "comp", "size", "most", "out", "sign", "wide", "shingles"])
+    links = [row for b in nd._forest(80)(iter([batch])) for row in b.to_pylist()]
+    assert len(links) == n - 1
