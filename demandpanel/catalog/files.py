@@ -61,13 +61,14 @@ def source_camera_by_node(spark, folder):
     return rounded(camera.camera_daily_kept(spark, _camera_files(spark, folder, "camera_nodes"), stem=_DAY, node=r"node=([^/]+)/"))
 
 
-@register("source_camera_preview", "SELECT CAST(count(*) AS BIGINT) AS rows FROM (SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) FROM events WHERE day(ts) % 2 = 1 GROUP BY 1, 2)")
+@register("source_camera_preview", """WITH slots AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day, time_bucket(INTERVAL 5 MINUTE, ts) AS slot FROM events),
+    f AS (SELECT CASE WHEN day(day) % 2 = 1 THEN 'a' ELSE 'b' END AS layout, event_type, day, count(*) AS n FROM slots GROUP BY 1, 2, 3
+        UNION ALL SELECT 'c', event_type, day, count(*) FROM slots GROUP BY 1, 2, 3)
+    SELECT layout, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT * FROM f ORDER BY layout, event_type, day LIMIT 50) GROUP BY 1""")
 def source_camera_preview(spark, folder):
-    root = _camera_files(spark, folder, "camera_preview")
-    groups = fl.header_groups(spark, f"{root}/a")
-    paths = [p for files in groups.values() for p in files]
-    preview = camera.camera_preview(spark, paths, n=len(paths))
-    return preview.agg(F.count(F.lit(1)).alias("rows"))
+    """The first fifty files over all layouts, in the order of their paths."""
+    preview = camera.camera_preview(spark, _camera_files(spark, folder, "camera_preview"))
+    return preview.groupBy(F.regexp_extract(fl.ROW_FILE, "/([abc])/node=", 1).alias("layout")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _weather_files(spark, folder, name: str) -> str:
@@ -114,9 +115,7 @@ def source_intent(spark, folder):
     i = st.intent(spark, folder).withColumn("year", F.year("date"))
     later = i.withColumns({"year": F.col("year") + 1, "directions": F.lit(-1.0)})
     root = _place(spark, "intent")
-    years = [r["year"] for r in i.unionByName(later).select("year").distinct().orderBy("year").collect()]
-    for y in years:
-        _write(i.unionByName(later).where(F.col("year") == y).select("date", "directions"), f"{root}/{y}/total_daily_metrics.csv")
+    _write(i.unionByName(later).withColumn("file", F.lit("total_daily_metrics.csv")).select("year", "file", "date", "directions"), root, "year", "file")
     daily, route = tables.intent_daily(spark, root)
     return daily.select("date", F.col(route).alias("directions"))
 

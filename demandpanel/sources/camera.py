@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import number
-from .files import ROW_FILE, STEM, read_by_header
+from .files import ROW_FILE, STEM, _existing, first_files, read_by_header
 
 REQUIRED = ("aggregate from", "total count")
 FILE_SCHEMA = "day string, count double, file string"
@@ -44,6 +44,9 @@ def camera_daily_kept(spark: SparkSession, path, stem: str = STEM, node: str | N
     )
 
 
-def camera_preview(spark: SparkSession, paths: list[str], n: int = 50) -> DataFrame | None:
-    """The first ``n`` files as they are (a preview, so the cut is the feature)."""
-    return read_by_header(spark, list(paths)[:n])
+def camera_preview(spark: SparkSession, path, n: int = 50) -> DataFrame | None:
+    """The first ``n`` files of a folder, in the order of their paths, as they are (a preview, so the cut is the feature)."""
+    if not _existing(spark, path):
+        return None
+    paths = first_files(spark, path, n)
+    return read_by_header(spark, paths) if paths else None

@@ -1,19 +1,18 @@
 """CSV files whose headers differ, file names as data, encodings.
 
-Spark gives every file of one read the header of the first. Here files are grouped by their
-own header line and each group is read with its own names, then united by name.
+Spark gives every file of one read the header of the first. Here records are cut by
+``records`` and each file's fields are taken by the positions of its own header.
 """
 
 from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .records import FILE as ROW_FILE, NUMBER as ROW_ID, by_header, file_path, headers, records
 
-ROW_FILE, ROW_BLOCK, ROW_ID = "_file", "_block", "_row"
 STEM = r"([^/]+)\.csv$"
 
 
@@ -30,94 +29,27 @@ def _existing(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return False
 
 
-def _path() -> Column:
-    """The file of a row as a plain path; the metadata column holds it percent-encoded."""
-    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-
-
-def is_unicode(encoding: str) -> bool:
-    return encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "UTF-8-SIG")
-
-
-def decoded(raw: Column, encoding: str) -> Column:
-    """Bytes to text in an encoding the built-in ``decode`` does not know, Arrow batch by batch."""
-    @F.pandas_udf(T.StringType())
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode(encoding, errors="replace"))
-
-    return decode(raw)
-
-
-def text_lines(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8", skip_unreadable: bool = False) -> DataFrame:
-    """Lines with their file and an order inside the file.
-
-    An unreadable file stops the read, unless ``skip_unreadable``.
-
-    The text source hands over bytes as they are, so other encodings are decoded afterwards.
-    """
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", skip_unreadable).text(path)
-    )
-    value = F.col("value") if is_unicode(encoding) else decoded(F.col("value").cast("binary"), encoding).alias("value")
-    return lines.select(
-        value, _path().alias(ROW_FILE), F.col("_metadata.file_block_start").alias(ROW_BLOCK),
-        F.monotonically_increasing_id().alias(ROW_ID),
-    )
-
-
-def header_groups(spark: SparkSession, path, pattern: str = "*.csv", encoding: str = "UTF-8", skip_unreadable: bool = False) -> dict[str, list[str]]:
-    """Header line → files. Only lines at the start of a file take part in the aggregate."""
-    lines = text_lines(spark, path, pattern, encoding, skip_unreadable).where(F.col(ROW_BLOCK) == 0)
-    first = lines.groupBy(ROW_FILE).agg(F.min_by("value", ROW_ID).alias("header"))
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list(ROW_FILE)).alias("files"))
-    return {r["header"]: r["files"] for r in groups.orderBy("header").collect()}
-
-
-def read_group(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8", multi_line: bool = False,
-               skip_unreadable: bool = False) -> DataFrame:
-    """One header group as text columns, with the file and row order kept.
-
-    Legacy encodings are read byte for byte and decoded per column; their trailing bytes never
-    collide with separators, quotes or line ends.
-    """
-    plain = is_unicode(encoding)
-    raw = (
-        spark.read.option("header", True).option("inferSchema", False)
-        .option("encoding", "UTF-8" if plain else "ISO-8859-1")
-        .option("multiLine", multi_line).option("escape", '"').option("ignoreCorruptFiles", skip_unreadable).csv(list(files))
-    )
-
-    def name(c: str) -> str:
-        return (c if plain else c.encode("latin-1").decode(encoding, errors="replace")).lstrip("\ufeff").strip()
-
-    def value(c: str) -> Column:
-        return F.col(f"`{c}`") if plain else decoded(F.encode(F.col(f"`{c}`"), "ISO-8859-1"), encoding)
-
-    return raw.select(
-        *[value(c).alias(name(c)) for c in raw.columns],
-        _path().alias(ROW_FILE), F.monotonically_increasing_id().alias(ROW_ID),
-    )
-
-
 def header_names(header: str) -> list[str]:
     """Names of a header line; separators inside quotes belong to the name."""
     return [c.strip() for c in next(csv.reader([(header or "").lstrip("\ufeff")]), [""])]
 
 
-def read_by_header(spark: SparkSession, path, pattern: str = "*.csv", required: Sequence[str] = (),
-                   encoding: str = "UTF-8", multi_line: bool = False, skip_unreadable: bool = False) -> DataFrame | None:
-    """All files as one frame; files lacking a required column are left out. None if none remain."""
+def read_by_header(spark: SparkSession, path, pattern: str = "*.csv", required: Sequence[str] = (), encoding: str = "UTF-8",
+                   skip_unreadable: bool = False, leading: Sequence[str] = ()) -> DataFrame | None:
+    """All files as one frame of text columns, with the file and the record's number in it.
+
+    Files lacking a required column are left out; None if none remain. ``leading`` names
+    additional columns for the first fields of every file, taken by position.
+    """
     if not _existing(spark, path):
         return None
-    frames = [
-        read_group(spark, files, encoding, multi_line, skip_unreadable)
-        for header, files in header_groups(spark, path, pattern, encoding, skip_unreadable).items()
-        if set(required) <= set(header_names(header))
-    ]
-    if not frames:
-        return None
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return by_header(records(spark, path, pattern, encoding, skip_unreadable), required, leading)
+
+
+def first_files(spark: SparkSession, path, n: int, pattern: str = "*.csv") -> list[str]:
+    """The first ``n`` files in the order of their paths; only paths are read, ``n`` of them come back."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return [r["path"] for r in found.select("path").orderBy("path").limit(n).collect()]
 
 
 def file_name(c: Column | str = ROW_FILE) -> Column:
@@ -144,21 +76,14 @@ def detect_encodings(spark: SparkSession, path, pattern: str = "*.csv") -> DataF
     judged and large files stay split over tasks. A byte order mark needs no encoding of its
     own, the readers drop it.
     """
-    lines = text_lines(spark, path, pattern)
-    return lines.groupBy(F.col(ROW_FILE).alias("file")).agg(
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    return lines.groupBy(file_path().alias("file")).agg(
         F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("cp932").alias("encoding"))
 
 
 def rows_per_file(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
     """(file, rows, columns) of every CSV: records after the header, however many lines they take,
-    and the fields of the header line."""
-    # One column of the schema is enough to parse records; the rest of each is skipped.
-    records = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("multiLine", True).option("escape", '"').schema("first string").csv(path)
-    )
-    counted = records.groupBy(_path().alias("file")).agg((F.count(F.lit(1)) - 1).alias("rows"))
-    lines = text_lines(spark, path, pattern).where(F.col(ROW_BLOCK) == 0)
-    header = lines.groupBy(F.col(ROW_FILE).alias("file")).agg(F.min_by("value", ROW_ID).alias("header"))
-    plain = F.regexp_replace("header", '"[^"]*"', "")
-    return counted.join(header, "file").select("file", "rows", F.size(F.split(plain, ",")).alias("columns"))
+    and the fields of the header."""
+    rows = records(spark, path, pattern, skip_unreadable=True)
+    counted = rows.groupBy(ROW_FILE).agg((F.max(ROW_ID) - 1).alias("rows"))
+    return counted.join(headers(rows), ROW_FILE).select(F.col(ROW_FILE).alias("file"), "rows", F.size("names").alias("columns"))

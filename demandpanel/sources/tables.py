@@ -18,7 +18,7 @@ INTENT_CANDIDATES = ("directions", "ルート検索", "route_searches")
 
 def intent_daily(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
     """Intent of all year folders, first row per date in path and row order, and its column."""
-    rows = read_by_header(spark, f"{root}/*/total_daily_metrics.csv")
+    rows = read_by_header(spark, f"{root}/*/*total_daily_metrics.csv")
     if rows is None:
         raise FileNotFoundError(f"no intent files under {root}")
     route = first_present(rows, INTENT_CANDIDATES)
@@ -36,12 +36,17 @@ def first_intent(df: DataFrame, values: Sequence[str], order: Sequence[str]) ->
     return df.where("date is not null").groupBy("date").agg(first.alias("_r")).select("date", "_r.*")
 
 
+#: Names for the first two fields of a survey file: its prefecture and its day, whatever the header says.
+FIRST, SECOND = "_first", "_second"
+
+
 def _survey(spark: SparkSession, path, pattern: str) -> DataFrame | None:
-    return read_by_header(spark, path, pattern, multi_line=True)
+    return read_by_header(spark, path, pattern, leading=(FIRST, SECOND))
 
 
 def _by_position(df: DataFrame) -> tuple[str, str]:
-    return f"`{df.columns[0]}`", f"`{df.columns[1]}`"
+    """The first two fields by position, of each file where they are known apart."""
+    return (FIRST, SECOND) if FIRST in df.columns else (f"`{df.columns[0]}`", f"`{df.columns[1]}`")
 
 
 def survey_prefectures(spark: SparkSession, path, pattern: str = "*.csv") -> DataFrame:
@@ -119,14 +124,15 @@ def raw_survey(spark: SparkSession, path: str) -> DataFrame | None:
     if not _existing(spark, path):
         return None
     rows = _survey(spark, path, "*.csv")
-    return None if rows is None else with_spending(rows.drop(ROW_FILE, ROW_ID))
+    return None if rows is None else with_spending(rows.drop(ROW_FILE, ROW_ID, FIRST, SECOND))
 
 
 def choose_survey_file(spark: SparkSession, folder: str, preferred: str = "all.csv",
                        min_rows: int = 10, min_columns: int = 5) -> str | None:
     """``preferred`` if it has more than ``min_rows`` rows, else the longest wide CSV.
 
-    Rows of all files are counted in one job; one row comes back.
+    The rule is the data's own: a main file that holds almost nothing is a stub. Records
+    of all files are counted in one job; one row comes back.
     """
     if not _existing(spark, folder):
         return None

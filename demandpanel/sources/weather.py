@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..functions.values import number, timestamp
 from ..operators.panel import daily_weather
-from .files import (
-    ROW_BLOCK, ROW_FILE, ROW_ID, STEM, _existing, file_name, read_by_header, station_name, text_lines,
-)
+from .files import ROW_FILE, ROW_ID, STEM, _existing, file_name, read_by_header, station_name
+from .records import RECORD, cells, records
 
 
 def panel_names(df: DataFrame) -> DataFrame:
@@ -62,52 +61,44 @@ def node_weather_daily(spark: SparkSession, path, pattern: str = "*.csv", stem:
     return daily.select("station", "date", "temp", "precip", "wind", "snow_depth")
 
 
-def _cells(line: Column, width: int) -> Column:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    parsed = F.from_csv(line, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    return F.transform(F.array(parsed), lambda s: F.array(*[F.coalesce(s[f"c{i}"], F.lit("")) for i in range(width)]))[0]
-
-
-def raw_exports(spark: SparkSession, path, encoding: str = "cp932", width: int = 48) -> DataFrame:
+def raw_exports(spark: SparkSession, path, encoding: str = "cp932") -> DataFrame:
     """Raw station exports to hourly rows, all files of a folder at once.
 
-    Each file has its own preamble and repeated labels. The three header lines of every file
-    become one row of column positions; data lines join it by file. Value columns are the
-    ones whose quality cell is empty; of the wind columns the one not marked as direction.
+    Each file has its own preamble, repeated labels and width. Its header is its first
+    record that begins with the time's label; that one and the two after it, found by
+    their numbers, become one row of field positions that data records join by file.
+    Value columns are the ones whose quality cell is empty; of the wind columns the
+    one not marked as direction. Blank lines don't count as records.
     """
-    lines = text_lines(spark, path, "*.csv", encoding).withColumn(
-        "value", F.regexp_replace("value", "\r$", ""))
-    in_file = Window.partitionBy(ROW_FILE).orderBy(ROW_BLOCK, ROW_ID)
-    numbered = lines.withColumns({
-        "_n": F.row_number().over(in_file), "_next": F.lead("value", 1).over(in_file),
-        "_after": F.lead("value", 2).over(in_file),
-    })
-    is_header = F.regexp_replace("value", '^"?([^",]*)"?(,.*)?$', "$1") == fixed.RAW_EXPORT_TIME
-    heads = numbered.where(is_header)
-    first = heads.groupBy(ROW_FILE).agg(F.min_by(F.struct("_n", "value", "_next", "_after"), "_n").alias("_h"))
-    parts = first.select(
-        ROW_FILE, F.col("_h._n").alias("_head"), _cells(F.col("_h.value"), width).alias("_labels"),
-        _cells(F.col("_h._next"), width).alias("_extra"), _cells(F.col("_h._after"), width).alias("_quality"),
-    )
-    index = F.sequence(F.lit(0), F.lit(width - 1))
+    rows = records(spark, path, "*.csv", encoding).select(ROW_FILE, ROW_ID, cells(RECORD, "").alias("_c"))
+    heads = rows.filter(F.get("_c", F.lit(0)) == fixed.RAW_EXPORT_TIME).groupBy(ROW_FILE).agg(F.min(ROW_ID).alias("_head"))
+    top = rows.join(heads, ROW_FILE).withColumn("_n", F.col(ROW_ID) - F.col("_head"))
+
+    def line(n: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_n") == n, F.col("_c"))), F.array().cast("array<string>"))
+
+    parts = top.filter(F.col("_n").between(0, 2)).groupBy(ROW_FILE, "_head").agg(
+        line(0).alias("_labels"), line(1).alias("_extra"), line(2).alias("_quality"))
+    index = F.sequence(F.lit(0), F.size("_labels") - 1)
 
     def matching(label: str) -> Column:
         return F.filter(index, lambda i: (F.get("_labels", i) == label) & (F.get("_quality", i) == ""))
 
     wind = matching(fixed.RAW_EXPORT_WIND)
-    speed = F.filter(wind, lambda i: F.get("_extra", i) != fixed.RAW_EXPORT_WIND_DIRECTION)
+    speed = F.filter(wind, lambda i: F.coalesce(F.get("_extra", i), F.lit("")) != fixed.RAW_EXPORT_WIND_DIRECTION)
     where = {name: F.get(matching(label), F.lit(0)) for label, name in fixed.RAW_EXPORT_LABELS.items()}
     where["wind_speed_ms"] = F.coalesce(F.get(speed, F.lit(0)), F.get(wind, F.lit(0)))
     positions = parts.select(
-        ROW_FILE, "_head", (F.array_position("_labels", fixed.RAW_EXPORT_TIME) - 1).alias("_time"),
+        ROW_FILE, "_head", (F.array_position("_labels", fixed.RAW_EXPORT_TIME) - 1).cast("int").alias("_time"),
         *[p.alias(f"_p_{name}") for name, p in where.items()],
     )
-    rows = numbered.select(ROW_FILE, "_n", _cells(F.col("value"), width).alias("_c")).join(positions, ROW_FILE)
-    rows = rows.where(F.col("_n") >= F.col("_head") + 3)
-    def cell(name):
+    data = rows.join(positions, ROW_FILE).where(F.col(ROW_ID) >= F.col("_head") + 3)
+
+    def cell(name: str) -> Column:
         return F.get("_c", F.col(f"_p_{name}"))
-    return rows.select(
-        timestamp(F.get("_c", F.col("_time").cast("int"))).alias("timestamp"),
+
+    return data.select(
+        timestamp(F.get("_c", F.col("_time"))).alias("timestamp"),
         *[(F.nullif(F.trim(cell(c)), F.lit("")) if c == "weather_type" else number(cell(c))).alias(c)
           for c in fixed.HOURLY_COLUMNS if c != "timestamp"],
         file_name(ROW_FILE).alias("source_file"),
