@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import quality as qu
 from . import standins as st
-from .registry import q6, register, rounded
+from .registry import ks_tails, q6, register, rounded
 from .standins import with_
 
 
@@ -61,7 +61,8 @@ def audit_drift(spark, folder):
     return rounded(qu.drift(o, "o_orderdate", ["o_totalprice"], keys=["node"]), 4)
 
 
-@register("audit_drift_flags")
+@register("audit_drift_flags", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT o_orderpriority AS node, date_trunc('month', o_orderdate) AS m, o_totalprice AS x FROM orders), {_DRIFT}, {ks_tails('SELECT * FROM ks')}
+    SELECT node, CAST(pair AS BIGINT) AS pair, {q6('ks_pvalue')} AS ks_pvalue, ks_pvalue < 0.05 AS drift_detected FROM ks_p""")
 def audit_drift_flags(spark, folder):
     """Drift with p-values and flags; the tail is checked in tests."""
     o = st.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("node"), "o_orderdate", "o_totalprice")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft, forest as rf, gram as gm, regression as rg
 from . import standins as st
 from .panels import FEATURES, features, features_sql
-from .registry import q6, r6, register, rounded
+from .registry import normal_tail, q6, r6, register, rounded, t_tail
 from .standins import fitted, least_squares, with_
 
 FOUR = ["directions", "temp", "precip", "wind"]
@@ -38,9 +38,17 @@ def ols_coefficients(spark, folder):
     return rounded(out.select("node", "term", "coef", "std_err", "t"))
 
 
-@register("ols_coefficients_with_p")
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
+
+
+def _with_p_sql() -> str:
+    return ("WITH " + least_squares(PANEL, "count", FOUR, ["node"]) + f", t AS ({_terms('fit', FOUR)}), "
+            f"p AS (SELECT node, term, coef, {t_tail('(coef / std_err)', f'(n - {K4})')} AS p FROM t) SELECT node, term, {q6('coef')} AS coef, {q6('p')} AS p, {_STARS} AS stars FROM p")
+
+
+@register("ols_coefficients_with_p", with_("node_panel", recursive=True, body=_with_p_sql()))
 def ols_coefficients_with_p(spark, folder):
-    """p-values and stars of the same fit; the t tail is checked in tests."""
+    """p-values and stars of the same fit."""
     return rounded(rg.coefficient_table(st.node_panel(spark, folder), "count", FOUR).select("node", "term", "coef", "p", "stars"))
 
 
@@ -155,7 +163,24 @@ def newey_west_errors(spark, folder):
     return rounded(out.where("term <> 'const'").select("node", "term", "bandwidth", "coef", "std_err"))
 
 
-@register("newey_west_significance")
+def _newey_west_significance_sql() -> str:
+    """Each coefficient's weight of every day's residual, and the weighted sum of its lagged products."""
+    k, lags = len(FEATURES), range(1, 15)
+    inner = f"-list_sum([fit.a[i][j] / fit.n * (x[j] - mean[j]) FOR j IN range(1, {k + 1})])"
+    slopes = f"[e * ({inner}) FOR i IN range(1, {k + 1})]"
+    rows = _complete("feat", ["count", *FEATURES])
+    lagged = " + ".join(f"greatest(0, 1 - {lag} / (band + 1)) * coalesce(lag(s, {lag}) OVER w, 0)" for lag in lags)
+    return (features_sql("panel") + ", " + least_squares("SELECT * FROM feat", "count", FEATURES, ["node"]) + f""",
+        res AS (SELECT p.node, p.date, count - ({fitted('fit', FEATURES)}) AS e, [{', '.join(FEATURES)}] AS x FROM ({rows}) p JOIN fit USING (node)),
+        infl AS (SELECT res.node, date, e / fit.n AS own, {slopes} AS s, mean[1:{k}] AS m, greatest(1, floor(0.75 * pow(fit.n, 1.0 / 3))) AS band FROM res JOIN fit USING (node)),
+        terms AS (SELECT node, date, band, unnest([own - list_sum([m[i] * s[i] FOR i IN range(1, {k + 1})])] || s) AS s, unnest(range(0, {k + 1})) AS term FROM infl),
+        parts AS (SELECT node, term, band, s, {lagged} AS l FROM terms WINDOW w AS (PARTITION BY node, term ORDER BY date)),
+        se AS (SELECT node, term, max(band) AS band, sqrt(sum(s * s + 2 * s * l)) AS std_err FROM parts GROUP BY 1, 2),
+        z AS (SELECT node, band, (CASE WHEN term = 0 THEN intercept ELSE a[term][{k + 1}] END) / std_err AS z FROM se JOIN fit USING (node))
+        SELECT node, CAST(count(*) FILTER ({normal_tail('z')} < 0.05) AS BIGINT) AS significant, CAST(max(band) AS BIGINT) AS bandwidth FROM z GROUP BY 1""")
+
+
+@register("newey_west_significance", with_("panel", recursive=True, body=_newey_west_significance_sql()))
 def newey_west_significance(spark, folder):
     """Number of significant terms at 5 % with robust errors, full feature set."""
     df, names = features(spark, folder, by_node=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import correlation as co, features as ft, nodes as nd, panel as pn
 from . import standins as st
 from .panels import features, features_sql
-from .registry import q6, r6, register, rounded
+from .registry import ks_tails, normal_tail, q6, r6, register, rounded, t_tail
 from .standins import with_
 
 LAGS = list(range(-3, 8))
@@ -146,15 +146,22 @@ def spearman_raw_rows(spark, folder):
     return rounded(co.spearman(li, "l_extendedprice", "l_quantity", ["l_returnflag"], panel=False))
 
 
-@register("ks_two_sample_raw", f"""WITH v AS (SELECT o_orderpriority AS node, o_totalprice AS x, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b
+_PRICES = """v AS (SELECT o_orderpriority AS node, o_totalprice AS x, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b
     FROM orders GROUP BY 1, 2), c AS (SELECT node, sum(a) OVER w / sum(a) OVER (PARTITION BY node) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY node) AS fb,
     sum(a) OVER (PARTITION BY node) AS n_a, sum(b) OVER (PARTITION BY node) AS n_b FROM v WINDOW w AS (PARTITION BY node ORDER BY x))
-    SELECT node, {q6('max(abs(fa - fb))')} AS ks_statistic, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b FROM c GROUP BY 1""")
+    SELECT node, max(abs(fa - fb)) AS ks_statistic, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b FROM c GROUP BY 1"""
+
+
+@register("ks_two_sample_raw", f"SELECT node, {q6('ks_statistic')} AS ks_statistic, n_a, n_b FROM (WITH {_PRICES})")
 def ks_two_sample_raw(spark, folder):
+    return rounded(_order_prices(spark, folder))
+
+
+def _order_prices(spark, folder):
     o = st.table(spark, folder, "orders")
     counted = o.groupBy(F.col("o_orderpriority").alias("node"), F.col("o_totalprice").alias("x")).agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("n_a"), F.count_if(F.col("o_orderstatus") == "O").alias("n_b"))
-    return rounded(co.ks_two_sample(counted, "x", ["node"]))
+    return co.ks_two_sample(counted, "x", ["node"])
 
 
 @register("chi_square_two_by_two", f"""WITH t AS (SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal > 5000 AND c_nationkey < 10) AS a, count(*) FILTER (c_acctbal <= 5000 AND c_nationkey < 10) AS b,
@@ -162,10 +169,14 @@ def ks_two_sample_raw(spark, folder):
     SELECT segment, {q6('''(a + b + c + d) * pow(greatest(abs(a * d - b * c) - least(abs(a * d - b * c), (a + b + c + d) / 2.0), 0), 2)
     / nullif(CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d), 0)''')} AS chi2 FROM t""")
 def chi_square_two_by_two(spark, folder):
+    return rounded(_two_by_two(spark, folder))
+
+
+def _two_by_two(spark, folder):
     rich, near = F.col("c_acctbal") > 5000, F.col("c_nationkey") < 10
     cells = [F.count_if(c) for c in (rich & near, ~rich & near, rich & ~near, ~rich & ~near)]
     c = st.table(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("segment"))
-    return c.agg(r6(co.chi_square_2x2(*cells)).alias("chi2"))
+    return c.agg(co.chi_square_2x2(*cells).alias("chi2"))
 
 
 @register("proxy_check", with_("survey", "node_counts", body=f"""WITH v AS (SELECT date, count(*) AS survey_count FROM survey GROUP BY 1)
@@ -175,11 +186,21 @@ def proxy_check(spark, folder):
     return rounded(nd.proxy_check(st.node_counts(spark, folder), volume, "survey_count"))
 
 
-@register("p_values")
+_CHI = """WITH t AS (SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal > 5000 AND c_nationkey < 10) AS a, count(*) FILTER (c_acctbal <= 5000 AND c_nationkey < 10) AS b,
+    count(*) FILTER (c_acctbal > 5000 AND c_nationkey >= 10) AS c, count(*) FILTER (c_acctbal <= 5000 AND c_nationkey >= 10) AS d FROM customer GROUP BY 1)
+    SELECT segment, (a + b + c + d) * pow(greatest(abs(a * d - b * c) - least(abs(a * d - b * c), (a + b + c + d) / 2.0), 0), 2) / nullif(CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d), 0) AS chi2 FROM t"""
+_R_P = "CASE WHEN abs(r) >= 1 THEN 0 ELSE " + t_tail("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)") + " END"
+
+
+@register("p_values", with_("node_panel", recursive=True, body="WITH " + RANKED.format(keys="node,", part="PARTITION BY node", a="count", b="directions", rel="SELECT * FROM node_panel")
+          + f""", rs AS (SELECT node, 'pearson' AS test, corr(count, directions) AS r, count(*) AS n FROM node_panel WHERE count IS NOT NULL AND directions IS NOT NULL GROUP BY 1
+        UNION ALL SELECT node, 'spearman', corr(ra, rb), count(*) FROM ranked GROUP BY 1),
+    {ks_tails("WITH " + _PRICES)}, chi AS ({_CHI})
+    SELECT node, test, {q6(_R_P)} AS p FROM rs UNION ALL SELECT node, 'ks', {q6('ks_pvalue')} FROM ks_p UNION ALL SELECT segment, 'chi2', {q6(normal_tail('sqrt(chi2)'))} FROM chi"""))
 def p_values(spark, folder):
-    """Correlation, chi-square and Kolmogorov–Smirnov tails; checked against textbook values in tests."""
+    """Correlation, chi-square and Kolmogorov–Smirnov tails."""
     r = co.pearson_test(st.node_panel(spark, folder), "count", "directions").select("node", F.lit("pearson").alias("test"), "p")
     s = co.with_p(co.spearman(st.node_panel(spark, folder), "count", "directions")).select("node", F.lit("spearman").alias("test"), "p")
-    k = co.with_ks_p(ks_two_sample_raw(spark, folder)).select("node", F.lit("ks").alias("test"), F.col("ks_pvalue").alias("p"))
-    c = co.with_chi_p(chi_square_two_by_two(spark, folder)).select(F.col("segment").alias("node"), F.lit("chi2").alias("test"), F.col("chi2_p").alias("p"))
+    k = co.with_ks_p(_order_prices(spark, folder)).select("node", F.lit("ks").alias("test"), F.col("ks_pvalue").alias("p"))
+    c = co.with_chi_p(_two_by_two(spark, folder)).select(F.col("segment").alias("node"), F.lit("chi2").alias("test"), F.col("chi2_p").alias("p"))
     return rounded(r.unionByName(s).unionByName(k).unionByName(c))

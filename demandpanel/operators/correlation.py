@@ -143,6 +143,7 @@ def ks_two_sample(counted: DataFrame, value: str, keys: Sequence[str], n_a: str
 
 
 def with_ks_p(df: DataFrame) -> DataFrame:
+    """Its tail: exact for samples of up to ``tails.EXACT_ROWS`` rows, the limiting distribution beyond."""
     p = ks_p(F.col("ks_statistic"), F.col("n_a").cast("double"), F.col("n_b").cast("double"))
     return df.withColumn("ks_pvalue", p)
 

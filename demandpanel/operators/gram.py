@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.tails import t_two_sided
+from ..functions.tails import t_p
 
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -174,7 +174,7 @@ def coefficients(
     schema = [
         T.StructField("model", T.StringType()), T.StructField("term", T.StringType()),
         T.StructField("position", T.LongType()),
-        _f("coef"), _f("std_err"), _f("t"), _f("p"), _f("beta"), _f("beta_z"),
+        _f("coef"), _f("std_err"), _f("t"), _f("dof"), _f("beta"), _f("beta_z"),
     ]
 
     def build(mean, cov, n):
@@ -189,11 +189,12 @@ def coefficients(
                 beta = coef * sd / y_sd if sd is not None and y_sd > 0 else np.nan
                 yield {
                     "model": model, "term": term, "position": pos, "coef": coef, "std_err": se,
-                    "t": t, "p": t_two_sided(t, r["dof"]), "beta": beta,
+                    "t": t, "dof": r["dof"], "beta": beta,
                     "beta_z": beta if regular else np.nan,
                 }
 
-    return _per_row(gram_rows, keys, schema, build)
+    rows = _per_row(gram_rows, keys, schema, build)
+    return rows.select(*keys, "model", "term", "position", "coef", "std_err", "t", t_p(F.col("t"), F.col("dof")).alias("p"), "beta", "beta_z")
 
 
 def fit_summary(

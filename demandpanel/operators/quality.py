@@ -132,7 +132,7 @@ def drift(df: DataFrame, date: str, columns: Sequence[str], keys: Sequence[str]
 
 
 def drift_report(df: DataFrame, date: str, columns: Sequence[str], keys: Sequence[str] = (), **options) -> DataFrame:
-    """Drift with its asymptotic p-value and the flag p < 0.05."""
+    """Drift with its p-value and the flag p < 0.05."""
     return with_ks_p(drift(df, date, columns, keys, **options)).withColumn(
         "drift_detected", F.col("ks_pvalue") < 0.05)
 

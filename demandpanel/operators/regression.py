@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.calendar import SUMMER, WINTER
-from ..functions.tails import normal_two_sided, unit_root_p
+from ..functions.tails import normal_p, unit_root_p
 from ..functions.values import effect_size_label, significance_stars
 from . import gram as g
 from .features import add_differences, mark_split
@@ -140,7 +140,6 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], keys: Sequen
     schema = [
         T.StructField("term", T.StringType()), T.StructField("bandwidth", T.LongType()),
         T.StructField("coef", T.DoubleType()), T.StructField("std_err", T.DoubleType()),
-        T.StructField("p", T.DoubleType()), T.StructField("is_significant", T.BooleanType()),
     ]
     out_schema = T.StructType([moments.schema[c] for c in keys] + schema)
 
@@ -162,13 +161,11 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], keys: Sequen
                 coefs = [r["intercept"], *r["slope"]]
                 for i, term in enumerate(["const", *features]):
                     se = math.sqrt(max(sandwich[i, i], 0.0))
-                    p = normal_two_sided(coefs[i] / se) if se > 0 else None
-                    parts.append([row[c] for c in keys] + [
-                        term, int(row["bandwidth"]), float(coefs[i]), se, p,
-                        bool(p is not None and p < alpha)])
+                    parts.append([row[c] for c in keys] + [term, int(row["bandwidth"]), float(coefs[i]), se])
             yield pd.DataFrame(parts, columns=out_schema.names)
 
-    return moments.mapInPandas(solve, out_schema)
+    out = moments.mapInPandas(solve, out_schema).withColumn("p", F.when(F.col("std_err") > 0, normal_p(F.col("coef") / F.col("std_err"))))
+    return out.withColumn("is_significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
 
 
 def _sum_outer(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -233,7 +230,7 @@ def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_la
     )
     second = g.gram_of_array(
         design.join(chosen, list(keys)).where(F.col("_pos") > F.col("lag") + 1), "_x", width, [*keys, "lag"])
-    schema = [T.StructField("adf", T.DoubleType()), T.StructField("p", T.DoubleType())]
+    schema = [T.StructField("adf", T.DoubleType())]
     out_schema = T.StructType([second.schema[c] for c in [*keys, "lag"]] + schema)
 
     def statistic(batches):
@@ -243,12 +240,11 @@ def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("node",), max_la
                 mean, cov = unpack(row["mean"], row["cov"])
                 r = fit(mean, cov, int(row["n"]), range(1 + int(row["lag"])))
                 stat = float(r["slope"][0] / r["se"][0]) if r["se"][0] > 0 else None
-                parts.append([row[c] for c in keys] + [
-                    int(row["lag"]), stat, None if stat is None else unit_root_p(stat)])
+                parts.append([row[c] for c in keys] + [int(row["lag"]), stat])
             yield pd.DataFrame(parts, columns=out_schema.names)
 
     return (
-        second.mapInPandas(statistic, out_schema)
+        second.mapInPandas(statistic, out_schema).withColumn("p", unit_root_p(F.col("adf")))
         .join(limits.select(*keys, F.col("rows").alias("n")), list(keys))
         .withColumn("is_stationary", F.col("p") < 0.05)
     )

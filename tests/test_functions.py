@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,20 +164,49 @@ def test_score_ladder(spark, values, expected):
     assert [r.score for r in sv.coerce_scores(df, "s").orderBy("i").collect()] == expected
 
 
-def test_tail_probabilities_against_tables():
-    assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
-    assert tails.t_two_sided(2.0, 60) == pytest.approx(0.05, abs=5e-4)
-    assert tails.t_two_sided(0.0, 5) == pytest.approx(1.0)
-    assert tails.t_two_sided(1.0, 1) == pytest.approx(0.5)
-    assert tails.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
-    assert tails.chi2_one_dof(3.841459) == pytest.approx(0.05, abs=1e-6)
+def _tail(spark, fn, *values):
+    frame = spark.createDataFrame([tuple(None if v is None else float(v) for v in values)], ", ".join(f"c{i} double" for i in range(len(values))))
+    return frame.select(fn(*[F.col(c) for c in frame.columns])).first()[0]
+
+
+def test_tail_probabilities_against_tables(spark):
+    for t, dof, p in ((2.228139, 10, 0.05), (2.000298, 60, 0.05), (0.0, 5, 1.0), (1.0, 1, 0.5), (-31.820516, 1, 0.02), (1.959988, 100_000, 0.05), (2.575834, 10 ** 9, 0.0099999)):
+        assert _tail(spark, tails.t_p, t, dof) == pytest.approx(p, rel=2e-5)
+    assert _tail(spark, tails.t_p, 40, 30) == pytest.approx(1.1e-27, rel=0.2) and _tail(spark, tails.t_p, float("inf"), 3) == 0.0
+    assert _tail(spark, tails.t_p, 1, 0) is None and _tail(spark, tails.t_p, None, 3) is None and _tail(spark, tails.t_p, float("nan"), 3) is None
+    for z in (0.0, 0.3, 1.0, 1.959964, 5.0, 12.0):
+        assert _tail(spark, tails.normal_p, z) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-10)
+        assert _tail(spark, tails.normal_cdf, -z) == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-10)
+    assert _tail(spark, tails.chi2_p, 3.841459) == pytest.approx(0.05, abs=1e-7) and _tail(spark, tails.chi2_p, 0) == 1.0
     # Limiting distribution: K(1.358) = 0.95, K(1.628) = 0.99.
-    assert tails.ks_asymptotic(1.3581 / math.sqrt(50), 100, 100) == pytest.approx(0.05, abs=1e-3)
-    assert tails.ks_asymptotic(1.6276 / math.sqrt(50), 100, 100) == pytest.approx(0.01, abs=1e-3)
-    assert tails.ks_asymptotic(0.0, 10, 10) == 1.0
+    assert _tail(spark, tails.ks_limit, 1.3581 / math.sqrt(50), 100, 100) == pytest.approx(0.05, abs=1e-3)
+    assert _tail(spark, tails.ks_limit, 1.6276 / math.sqrt(50), 100, 100) == pytest.approx(0.01, abs=1e-3)
+    assert _tail(spark, tails.ks_limit, 0.0, 10, 10) == 1.0
     # Published critical values with a constant: −3.43 (1 %), −2.86 (5 %), −2.57 (10 %).
     for stat, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
-        assert tails.unit_root_p(stat) == pytest.approx(p, abs=2e-3)
+        assert _tail(spark, tails.unit_root_p, stat) == pytest.approx(p, abs=2e-3)
+
+
+def _paths(m, n, most):
+    """Share of the orders of two samples whose largest |i n - j m| is at least ``most``, path by path."""
+    row = [[0] * (n + 1) for _ in range(m + 1)]
+    row[0][0] = 1
+    for i in range(m + 1):
+        for j in range(n + 1):
+            if i or j:
+                row[i][j] = 0 if abs(i * n - j * m) >= most else (row[i - 1][j] if i else 0) + (row[i][j - 1] if j else 0)
+    return 1 - row[m][n] / math.comb(m + n, m) if most > 0 else 1.0
+
+
+def test_two_sample_tail_is_exact(spark):
+    rng = random.Random(2)
+    cases = [(1, 1, 1), (5, 5, 20), (7, 4, 14), (100, 100, 1900), (100, 99, 1300), (60, 100, 0)]
+    cases += [(m, n, rng.randint(1, m * n)) for m, n in ((3, 8), (20, 31), (50, 50), (100, 37))]
+    for m, n, most in cases:
+        assert _tail(spark, tails.ks_p, most / (m * n), m, n) == pytest.approx(_paths(m, n, most), abs=1e-12)
+    # Tied values take the same form: the distance is what counts. Large samples follow the limit closely.
+    assert _tail(spark, tails.ks_p, 0.03, 9000, 9500) == pytest.approx(_tail(spark, tails.ks_limit, 0.03, 9000, 9500), rel=0.05)
+    assert _tail(spark, tails.ks_p, 0.9, 9000, 9500) == 0.0 and _tail(spark, tails.ks_p, 0.1, 0, 5) is None
 
 
 def test_labels(spark):
