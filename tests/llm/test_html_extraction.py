@@ -61,7 +61,35 @@ def test_weights_follow_the_labelled_pages(spark):
     rows = [(i, "u", page(f"<div>x</div><article><p>{LOREM}</p></article><div>y</div>")) for i in range(60)] + [(99, "u", None), (98, "u", page("<p>no label</p>"))]
     learned = hx.train(spark.createDataFrame(rows, PAGES).repartition(3))
     assert learned["div"] < PRIOR["div"] < PRIOR["p"] * 0.9 or learned["div"] < learned["p"]
-    assert learned[hx.WORD] > 0 and all(v < 0 for k, v in learned.items() if k not in (hx.WORD, hx.CUT))
+    assert learned[hx.WORD] > 0 and learned["#word:p"] > 0 > learned[hx.LINKED]
+    assert all(v < 0 for k, v in learned.items() if not k.startswith(hx.WORD) and k != hx.CUT)
+
+
+MARKED = {
+    "article bearing a listed class": "<div class='menu'>a b</div><article class='banner'><p>T one two</p></article>",
+    "article bearing a listed id": "<article id='share'><p>T one two</p></article>",
+    "article under a listed class": "<div class='login'><article><p>T one two</p></article></div>",
+    "article in a form": "<form action='x'><article><p>T one two</p></article></form>",
+    "unnamed parts around the article": f"<div class='top'>Slogan {LOREM}</div><article><p>T one two</p></article><div class='replies'><p>Great post {LOREM}</p></div>",
+    "comments as articles": "<article><p>T one two</p></article><div id='comments'><article class='comment'><p>me too</p></article></div>",
+    "heading with a listed id": "<article><h2 id='comments'>T one</h2><p>two</p></article>",
+    "unclosed advert": "<article><p class='ad'>buy<p>T one</p><ul><li class='promo'>deal<li>two</ul></article>",
+    "unclosed advert at the end of its box": "<article><div><p class='ad'>buy</div>T one two</article>",
+}
+
+
+@pytest.mark.parametrize("name", MARKED)
+def test_marked_articles_are_whole(name):
+    assert hx.main_text(page(MARKED[name]), PRIOR) == "T one two"
+
+
+def test_without_marks_and_names_the_scan_decides(spark):
+    """Pages teach that words of bare boxes and links lie outside; a page without marks or listed names is cut by the scan."""
+    boxes = f"<div>{LOREM}</div><ul><li><a href='x'>{LOREM}</a></li></ul>"
+    rows = [(i, "u", page(f"<nav>{boxes}</nav>{boxes}<article><h1>Head line</h1><p>{LOREM}</p><p>{LOREM}</p></article>{boxes}")) for i in range(40)]
+    learned = hx.train(spark.createDataFrame(rows, PAGES))
+    html = page(f"<div class='zone7'>Slogan and other words here</div><div class='q'><h1>Head line</h1><p>{LOREM}</p><p>{LOREM}</p></div><div class='zone9'>More for you to read</div>")
+    assert hx.main_text(html, learned) == f"Head line {LOREM} {LOREM}"
 
 
 def test_query_rows_nulls_repeats_empty_and_long(spark):
