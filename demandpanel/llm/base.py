@@ -27,6 +27,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as make it differ from ``columns`` in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

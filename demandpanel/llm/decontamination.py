@@ -1,13 +1,19 @@
 """Benchmark decontamination: documents that hold a benchmark item, a few edits apart.
 
-Words are compared, lower-cased, without punctuation; an item is found where some
-run of the document is at most ``edits(L)`` word edits from its L words (a fifth).
-
-Windows of the size of the items slide over a document's words. Each is carried
+Words are compared, lower-cased, without punctuation; a character of a script that is
+written without spaces is a word. An item is found where some run of the document is
+at most ``edits(L)`` word edits from its L words (a fifth).
+
+An item is searched for by its parts: up to PART words it is one part, else parts of
+half that size to that size that follow and overlap one another. If the whole is
+within its edits, so is one of the parts that follow one another, by counting.
+Windows of the size of the parts slide over a document's words. Each is carried
 by CGK random walks (Chakraborty, Goldenberg, Koucky, 2016) into strings whose
 Hamming distance follows the edit distance, and samples of their positions are
-the keys of a locality-sensitive hash; WALKS x TABLES keys reach the target
-recall. Windows that hold too few of the benchmark's three-word runs to be within
+the keys of a locality-sensitive hash. Walks rejoin less often the more edits
+there are, which is why parts are short; WALKS x TABLES keys find nearly all parts
+at their largest number of edits (a test asks for 0.98 of the items at every size
+from 15 to 400 words). Windows that hold too few of the benchmark's three-word runs to be within
 the edits of any item (the q-gram lemma) are not embedded. A shared key makes a
 candidate; an exact approximate-match automaton confirms it.
 
@@ -15,8 +21,8 @@ The benchmark is the query set: its items are dealt into blocks of BLOCK_WORDS,
 and each block's index travels to the tasks; documents stay where they are.
 
 Defined results: null or empty text holds nothing; an item of fewer than three
-words names no passage and is never found; a null item likewise; equal items are
-found each; rows that repeat a doc_id give their hits each; an empty benchmark
+words names no passage and is never found; an item without text likewise; a null
+item id stays null; equal items are found each; rows that repeat a doc_id give their hits each; an empty benchmark
 leaves every document; extra columns pass through ``clean`` unchanged.
 """
 
@@ -33,13 +39,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from .base import mixed, slices, text_of
 
-WORD = re.compile(r"[^\W_]+")
+#: Characters of scripts written without spaces: kana, ideographs, Thai, Lao, Myanmar, Khmer.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
 GRAM = 3
 SHARE = 0.2
 #: Words of items in one block of the benchmark, about.
 BLOCK_WORDS = 200_000
 #: Random walks, hash tables of each, and positions sampled for a table.
 WALKS, TABLES, SAMPLED = 4, 10, 3
+#: Words of the longest part of an item that is searched for as one.
+PART = 24
 #: Lengths of items of one size class differ by this factor at most.
 CLASS_RATIO = 1.5
 
@@ -54,6 +64,15 @@ def edits(length: int, share: float = SHARE) -> int:
     return max(0, min(int(length * share), (length - GRAM) // GRAM))
 
 
+def parts(words: list[int], longest: int | None = None) -> list[list[int]]:
+    """The words in parts of nearly equal size, at most ``longest``, and the parts halfway between them."""
+    longest = longest or PART
+    number = -(-len(words) // longest)
+    edges = [len(words) * i // number for i in range(number + 1)]
+    half = [(a + b) // 2 for a, b in zip(edges, edges[1:], strict=False)]
+    return [words[a:b] for a, b in [*zip(edges, edges[1:], strict=False), *zip(half, half[1:], strict=False)]]
+
+
 def automaton(pattern: list[int]) -> dict[int, int]:
     """Bit mask of the places of each word (Myers, 1999)."""
     masks: dict[int, int] = defaultdict(int)
@@ -86,7 +105,7 @@ class Index:
         self.share = share
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
-        for item, text in sorted(items):
+        for item, text in sorted(items, key=lambda i: (i[0] is None, i[0] or 0, i[1] or "")):
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall((text or "").lower())]
             if len(words) >= GRAM:
                 self.items.append((item, words))
@@ -96,18 +115,18 @@ class Index:
         self.longest = max((len(w) for _, w in self.items), default=0)
         rng = np.random.default_rng(seed)
         self.classes = []
-        by_size = sorted(range(len(self.items)), key=lambda i: len(self.items[i][1]))
-        while by_size:
-            shortest = len(self.items[by_size[0]][1])
-            members = [i for i in by_size if len(self.items[i][1]) <= shortest * CLASS_RATIO]
-            by_size = by_size[len(members):]
-            self.classes.append(SizeClass(members, [self.items[i][1] for i in members], share, rng))
+        found = sorted(((i, part) for i, (_, words) in enumerate(self.items) for part in parts(words)), key=lambda p: len(p[1]))
+        while found:
+            shortest = len(found[0][1])
+            members = [p for p in found if len(p[1]) <= shortest * CLASS_RATIO]
+            found = found[len(members):]
+            self.classes.append(SizeClass([i for i, _ in members], [part for _, part in members], share, rng))
 
     def _code(self, a, b, c):
         return (a * self.base + b) * self.base + c
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, edits, item words, start, end), best place of each item in each text."""
+        """(text, place of the item in ``items``, edits, item words, start, end), best place of each item in each text."""
         if not self.items:
             return []
         words = [WORD.findall(t.lower()) for t in texts]
@@ -147,7 +166,7 @@ class Index:
         return out
 
     def _confirm(self, item: int, starts: list[int], words: np.ndarray):
-        name, pattern = self.items[item]
+        pattern = self.items[item][1]
         length, allowed = len(pattern), edits(len(pattern), self.share)
         masks, best = automaton(pattern), None
         regions: list[list[int]] = []
@@ -164,7 +183,7 @@ class Index:
                 back = part[max(0, end - length - allowed):end][::-1]
                 _, reach = best_match(automaton(pattern[::-1]), length, back)
                 best = (cost, low + end - reach, low + end)
-        return (name, best[0], length, best[1], best[2]) if best else None
+        return (item, best[0], length, best[1], best[2]) if best else None
 
 
 class SizeClass:
@@ -234,11 +253,11 @@ class SizeClass:
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", share: float = SHARE) -> Iterator[Index]:
     """Indexes over the whole benchmark, each of a bounded number of words."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    words = rows.agg(F.sum(F.size(F.split("text", r"[\W_]+")))).first()[0] or 0
+    words = rows.agg(F.sum(F.size(F.split("text", r"[\W_]+")) + F.regexp_count("text", F.lit(f"[{UNSPACED}]")))).first()[0] or 0
     number = max(1, -(-words // BLOCK_WORDS))
     for block in range(number):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(number)) == block)
-        yield Index([(r["id"] if r["id"] is not None else -1, r["text"]) for r in part.collect()], share)
+        yield Index([(r["id"], r["text"]) for r in part.collect()], share)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
@@ -249,12 +268,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names = pa.array([name for name, _ in shared.value.items], pa.int64())
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for start, end in slices(texts, SLICE):
                     hits = np.array(shared.value.search(texts[start:end]), np.int64).reshape(-1, 6)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(hits[:, 0] + start)), pa.array(hits[:, 1]), *(pa.array(hits[:, c].astype(np.int32)) for c in range(2, 6))],
+                        [ids.take(pa.array(hits[:, 0] + start)), names.take(pa.array(hits[:, 1])), *(pa.array(hits[:, c].astype(np.int32)) for c in range(2, 6))],
                         ["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"])
 
         found = rows.mapInArrow(run, HITS)

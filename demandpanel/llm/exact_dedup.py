@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import SPACES, staged, text_of
+from .base import SPACES, free_name, staged, text_of
 
 #: A digest with at least this share of all rows is handled without a shuffle.
 SUPPORT = 1 / 1024
@@ -76,8 +76,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
+    sha = free_name(docs.columns, "__sha")
     kept = assign(docs, id_col, text_col, support).filter("kept").select(
         F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    own = docs.withColumn("__sha", digest(text_col))
-    same = own[id_col].eqNullSafe(kept["__id"]) & (own["__sha"] == kept["__digest"])
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.withColumn(sha, digest(text_col))
+    same = own[id_col].eqNullSafe(kept["__id"]) & (own[sha] == kept["__digest"])
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .base import staged, text_of
+from .base import free_name, staged, text_of
 
 #: Bytes a splitter may be off its place, as a share of a shard's mean.
 TOLERANCE = 0.001
@@ -185,8 +185,13 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
                  tolerance: float = TOLERANCE) -> None:
-    """Whole rows as Parquet, one folder a shard, in many files of a bounded key range each."""
-    rows = keyed(docs, id_col, text_col)
+    """Whole rows as Parquet, one folder a shard, in many files of a bounded key range each.
+
+    The folders' column is ``shard`` and the place in it ``slot``, with underscores before where ``docs`` has such columns.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = keyed(whole, "_id", "_text").drop("_id", "_text")
     slim = staged(rows.select("_hash", "_key", "_size"))
     placed = shard_rows(rows, splitters(slim, shards, tolerance), slim)
-    placed.drop("_hash", "_key", "_size").write.partitionBy("shard").parquet(path)
+    folder, slot = free_name(docs.columns, "shard"), free_name(docs.columns, "slot")
+    placed.select("_doc.*", F.col("shard").alias(folder), F.col("slot").alias(slot)).write.partitionBy(folder).parquet(path)

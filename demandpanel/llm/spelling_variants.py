@@ -125,13 +125,29 @@ def _left_out(word: Column) -> Column:
     return F.transform(gaps, lambda p: F.struct(p.alias("gap"), F.xxhash64(F.concat(F.substring(word, F.lit(1), p - 1), F.substring(word, p + 1, F.length(word)))).alias("rest")))
 
 
+#: Words up to this length are verified by their edit distance, longer ones by their common beginning: a matter of time only.
+SHORT = 256
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether ``b``, as long as ``a`` or one shorter, is ``a`` with one code point replaced or left out."""
+    def longer(reach: Column, step: Column) -> Column:
+        same = (reach + step <= F.length(b)) & (F.substring(a, reach + 1, step) == F.substring(b, reach + 1, step))
+        return F.when(same, reach + step).otherwise(reach)
+
+    shared = F.aggregate(F.transform(F.sequence(F.lit(30), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int")), F.lit(0), longer)
+    rest_a = F.substring(a, shared + 2, F.length(a))
+    rest_b = F.when(F.length(a) == F.length(b), F.substring(b, shared + 2, F.length(b))).otherwise(F.substring(b, shared + 1, F.length(b)))
+    return F.when(F.length(a) <= SHORT, F.levenshtein(a, b, 1) == 1).otherwise((a != b) & (rest_a == rest_b))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), once in each order, of all words (word, n, length) that are one edit apart."""
     chunks, grams = chunk_rows(words), gram_rows(words)
     met = chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("c")).join(grams.groupBy(KEY).agg(F.count(F.lit(1)).alias("g")), KEY)
     met = staged(met.withColumn("crowded", F.greatest("c", "g") > CROWD).select(*KEY, "crowded"))
     few, many = met.filter("NOT crowded").select(KEY), met.filter("crowded").select(KEY)
-    alike = F.levenshtein("a", "b", 1) == 1
+    alike = one_edit(F.col("a"), F.col("b"))
     thin = chunks.join(few, KEY, "left_semi").join(grams, KEY).filter(alike).select("a", "b")
 
     # Crowded chunks: a word as long shares the rest left by the same gap; a word one shorter is such a rest.

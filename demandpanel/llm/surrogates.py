@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import staged
+from .base import free_name, staged
 
 #: Entities whose replacement isn't their first, up to which they are broadcast.
 MOST_BROADCAST = 100_000
@@ -95,6 +95,16 @@ def _places(text: str) -> Iterator[tuple[str, re.Match]]:
             yield "name", found
 
 
+def _canonical(kind: str, m: re.Match) -> str:
+    """The entity without what its spelling adds."""
+    entity = m.group("e")
+    if kind == "name":
+        return f"{_GENDER[m.group('t')]}:{entity}"
+    if kind == "email":
+        return entity.lower()
+    return re.sub(r"[ .()-]", "", entity) if kind in ("card", "phone", "account") else entity
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity), in order, without overlaps."""
     taken: list[tuple[int, int, str, str]] = []
@@ -102,23 +112,19 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for kind, m in _places(text):
         start, end = m.span("e")
         entity = m.group("e")
-        if kind == "card" and not 13 <= sum(c.isdigit() for c in entity) <= 19:
+        if kind == "card" and not 13 <= sum(c.isdigit() for c in entity) <= 19 or kind == "name" and not entity[0].isupper():
             continue
-        if kind == "name":
-            if not entity[0].isupper():
-                continue
-            entity = f"{_GENDER[m.group('t')]}:{entity}"
-        elif kind == "email":
-            entity = entity.lower()
-        elif kind in ("card", "phone", "account"):
-            entity = re.sub(r"[ .()-]", "", entity)
-        taken.append((start, end, kind, entity))
+        taken.append((start, end, kind, _canonical(kind, m)))
     kept: list[tuple[int, int, str, str]] = []
     for found in sorted(taken, key=lambda f: (f[0], order[f[2]], -f[1])):
-        if not kept or found[0] >= kept[-1][1]:
-            kept.append(found)
-        elif order[found[2]] < order[kept[-1][2]]:
-            kept[-1] = found
+        if kept and found[0] < kept[-1][1]:
+            if order[found[2]] >= order[kept[-1][2]]:
+                continue
+            # The loser began earlier: what of it lies before the winner may be an entity of its own.
+            start, _, kind, _ = kept.pop()
+            if start < found[0] and (shorter := KINDS[kind].match(text[:found[0]].rstrip(" "), start if kind != "name" else 0)) and shorter.start("e") == start:
+                kept.append((start, shorter.end("e"), kind, _canonical(kind, shorter)))
+        kept.append(found)
     return kept
 
 
@@ -257,11 +263,13 @@ def assignments(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFram
 
 
 def rewritten(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """``docs`` with surrogates in ``text_col``, and ``_entities``: kind, start and end of each in the original."""
+    """``docs`` with surrogates in ``text_col``, and ``_entities`` as last column, with more underscores where
+    ``docs`` has such a one: kind, start and end of each in the original."""
     later = staged(assignments(docs, key, text_col).filter("attempt > 0").select("kind", "entity", "attempt"))
     names = docs.columns
     at = names.index(text_col)
-    schema = docs.select("*", F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("_entities")).schema
+    entities, sha, own_mark, own_fixes = (free_name(names, n) for n in ("_entities", "_sha", "_mark", "_fixes"))
+    schema = docs.select("*", F.array().cast("array<struct<kind:string,start:int,end:int>>").alias(entities)).schema
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def rewrite(batch: pa.RecordBatch, fixes) -> Iterator[pa.RecordBatch]:
@@ -270,7 +278,7 @@ def rewritten(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
             done = [replaced(t.as_py(), key, fixes(start + i)) for i, t in enumerate(part.column(at))]
             columns = list(part.columns[:len(names)])
             columns[at] = pa.array([d[0] for d in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], [*names, "_entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], [*names, entities])
 
     if later.count() <= most_broadcast:
         table = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in later.collect()})
@@ -286,9 +294,9 @@ def rewritten(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["mark", "kind", "entity"])
 
     mark = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    held = docs.select(mark.alias("mark"), F.col(text_col).alias("t")).filter("t IS NOT NULL").mapInArrow(holders, "mark string, kind string, entity string").distinct()
-    fixes = held.join(later, ["kind", "entity"]).groupBy(F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_fixes"))
-    joined = docs.withColumn("_sha", mark).join(fixes, F.col("_sha") == F.col("_mark"), "left").select(*[F.col(f"`{c}`") for c in names], "_fixes")
+    held = docs.select(mark.alias("mark"), F.col(f"`{text_col}`").alias("t")).filter("t IS NOT NULL").mapInArrow(holders, "mark string, kind string, entity string").distinct()
+    fixes = held.join(later, ["kind", "entity"]).groupBy(F.col("mark").alias(own_mark)).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(own_fixes))
+    joined = docs.withColumn(sha, mark).join(fixes, F.col(sha) == F.col(own_mark), "left").select(*[F.col(f"`{c}`") for c in names], own_fixes)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from demandpanel.llm import decontamination as dc
 
 BENCH = "item_id long, text string"
@@ -65,6 +67,23 @@ def test_edited_passages_are_found_as_brute_force_finds_them(spark, docs, prose)
     assert exact <= {(i, j) for i, j, _ in got}
 
 
+@pytest.mark.parametrize("length", [15, 24, 32, 60, 120, 200, 300, 400])
+def test_recall_at_the_largest_number_of_edits(prose, length):
+    """Items of one size, each edited as often as allowed: nearly all that brute force would find are found."""
+    rng, n = random.Random(length), 150 if length < 100 else 60
+    items = [(j, " ".join(prose(length, f"r{length}.{j}"))) for j in range(n)]
+    texts = [" ".join(prose(30, f"a{j}") + edited(p.split(), dc.edits(length), rng, prose) + prose(30, f"b{j}")) for j, p in items]
+    found = {(h[0], h[1]) for h in dc.Index(items).search(texts)}
+    assert sum((j, j) in found for j in range(n)) >= 0.98 * n
+
+
+def test_scripts_without_spaces_are_compared_by_characters(spark, docs):
+    item = "人工智能的发展正在改变我们的生活方式和工作方式"
+    rows = [(1, "前言。" + item + "！后记"), (2, "前言" + item.replace("正在", "一直") + "后"), (3, "完全不同的一段文字与基准没有任何关系"), (4, "人工智能")]
+    got = {r["doc_id"]: r["edits"] for r in dc.find(docs(*rows), spark.createDataFrame([(9, item), (None, "two words")], BENCH)).collect()}
+    assert got == {1: 0, 2: 2}
+
+
 def test_places_are_the_matched_words(spark, docs, prose):
     item = prose(20, "x")
     text = prose(7, "y") + item + prose(9, "z")
@@ -85,9 +104,9 @@ def test_blocks_of_the_benchmark_find_the_same(spark, docs, prose, monkeypatch):
 def test_nulls_short_items_repeats_and_long_texts(spark, docs, prose):
     item = " ".join(prose(18, "q"))
     rows = [(1, None), (2, ""), (3, "two words"), (4, item), (4, item), (None, item), (5, " ".join(prose(150_000, "long")) + " " + item), (6, " ".join([item] * 300))]
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, item), (7, item), (None, "x")], BENCH)
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, item), (7, item), (None, "x"), (None, item), (-1, item + " z")], BENCH)
     got = sorted(((r["doc_id"], r["item_id"]) for r in dc.find(docs(*rows), bench).collect()), key=str)
-    assert got == sorted([(i, j) for i in (4, 4, None, 5, 6) for j in (4, 7)], key=str)
+    assert got == sorted([(i, j) for i in (4, 4, None, 5, 6) for j in (4, 7, None, -1)], key=str)
     frame = docs(*rows).withColumnRenamed("source", "item_id")
     left = dc.clean(frame, bench)
     assert left.columns == frame.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3]

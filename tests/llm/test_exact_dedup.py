@@ -63,3 +63,9 @@ def test_heavy_hitters_are_counted_exactly(docs):
     rows = [(i, "hot" if i < 200 else f"t{i}") for i in range(500, 0, -1)]
     digests = staged(docs(*rows).select(F.col("doc_id").alias("_id"), ed.digest("text").alias("_digest")))
     assert [(r["_keep"], r["_size"]) for r in ed.heavy_hitters(digests, 0.1).collect()] == [(1, 199)]
+
+
+def test_a_column_named_like_the_digest_keeps_its_values(docs):
+    frame = docs((1, "a b"), (2, "a  b"), (3, "c")).withColumnsRenamed({"source": "__sha", "lang": "__id"})
+    rows = sorted(tuple(r) for r in ed.deduplicate(frame).collect())
+    assert rows == [(1, "a b", "en", "s", 0), (3, "c", "en", "s", 0)]

@@ -60,3 +60,11 @@ def test_written_shards_hold_every_row(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert set(frame.columns) <= set(back.columns)
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == rows
+
+
+def test_columns_named_like_the_shard_are_written_whole(spark, docs, prose, tmp_path):
+    frame = docs(*[(i, " ".join(prose(5, i))) for i in range(40)]).withColumnsRenamed({"lang": "shard", "source": "_size", "n_chars": "slot"})
+    sh.write_shards(frame, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["_shard"] for r in back.collect()} == {0, 1, 2}
+    assert sorted(map(tuple, back.select(*frame.columns).collect())) == sorted(map(tuple, frame.collect()))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandpanel.llm import spelling_variants as sv
 
@@ -86,6 +87,15 @@ def test_every_edit_of_a_word_keeps_a_chunk(spark):
     assert {b for a, b in pairs if a == base} == others and pairs == {(b, a) for a, b in pairs} == {(a, b) for a in {base, *others} for b in {base, *others} if near(a, b)}
 
 
+def test_long_words_are_verified_by_their_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr(sv, "SHORT", 0)
+    rng, base = random.Random(6), "abcdefghijé" * 40
+    pairs = [(base, base[:i] + x + base[i + 1:]) for i in (0, 1, 217, len(base) - 1) for x in ("", "Z")] + [(base, base), (base, base[2:] + "ab"), (base, "x" + base[1:-1] + "y"), (base, base[1:-1] + "q")]
+    pairs += [("aaaaaaa", "aaaaaa"), ("abababab", "babababa"), ("abcabcab", "abcabab")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sv.one_edit(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r["x"] for r in got] == [near(a, b) for a, b in pairs]
+
+
 def test_forms_are_followed_to_the_last(spark):
     chain = [("w%d" % i, "w%d" % (i + 1)) for i in range(9)] + [("x", "w4"), ("y", "z")]
     got = {r["word"]: r["root"] for r in sv._roots(spark.createDataFrame(chain, "word string, form string")).collect()}

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from demandpanel.llm import surrogates as su
 
 KEY = b"test key"
@@ -72,3 +74,25 @@ def test_growing_replacements_end_collisions_in_a_tiny_format(docs):
 
 def test_empty(docs):
     assert su.rewritten(docs(), KEY).collect() == [] and su.assignments(docs(), KEY).collect() == []
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("call +1 (826) 555-4081 161.17.88.162 now", ["phone", "ip"]),
+    ("+49 30 1234 5678 10.0.0.1", ["phone", "ip"]),
+    ("mail a@b.org +1 (826) 555-4081, 10.0.0.1 x", ["email", "phone", "ip"]),
+    ("161.17.88.162 +1 (826) 555-4081", ["ip", "phone"]),
+])
+def test_neighbouring_entities_are_each_found(text, kinds):
+    found = su.find(text)
+    assert [f[2] for f in found] == kinds
+    new, _ = su.replaced(text, b"k", {})
+    assert all(text[a:b] not in new for a, b, *_ in found)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_columns_of_any_name_pass_through(docs, most):
+    frame = docs((1, "write bob@mail.org"), (2, None)).withColumnsRenamed({"lang": "_entities", "source": "_sha", "n_chars": "_fixes"})
+    out = su.rewritten(frame, KEY, most_broadcast=most)
+    assert out.columns == [*frame.columns, "__entities"]
+    rows = sorted(out.collect(), key=lambda r: r["doc_id"])
+    assert [(r["_entities"], r["_sha"], r["_fixes"], len(r["__entities"])) for r in rows] == [("en", "s", 0, 1), ("en", "s", 0, 0)]
