@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
+from . import versions
 
 
 def write_hourly(df: DataFrame, path: str, columns: Sequence[str] = fixed.HOURLY_COLUMNS,
@@ -21,6 +22,39 @@ def write_hourly(df: DataFrame, path: str, columns: Sequence[str] = fixed.HOURLY
     return path
 
 
+def hourly_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of a merged hourly table as text columns in canonical order; None before the first."""
+    number = versions.latest(spark, path)
+    if number is None:
+        return None
+    return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in fixed.HOURLY_COLUMNS)).csv(f"{path}/version={number}")
+
+
+def upsert_hourly(new: DataFrame, path: str, source: str = "source_file", columns: Sequence[str] = fixed.HOURLY_COLUMNS) -> int:
+    """Merges new hourly rows into the table at ``path``, new rows winning, and returns the version's number.
+
+    Of new rows of one time the one of the last source counts; rows without a time go.
+    The version is CSV, one row a time in order of time, all canonical columns, absent ones empty.
+    """
+    spark = new.sparkSession
+    kept = new.where(F.col("timestamp").isNotNull())
+    order = [F.col(source).cast("string")] if source in new.columns else [F.lit("")]
+    ready = kept.select(*[F.col(c).cast("string").alias(c) if c in new.columns else F.lit(None).cast("string").alias(c) for c in columns], *[o.alias("_source") for o in order])
+    fresh = ready.withColumn("_new", F.lit(True))
+    before = hourly_table(spark, path)
+    if before is not None:
+        fresh = fresh.unionByName(before.withColumns({"_source": F.lit(""), "_new": F.lit(False)}))
+    values = [c for c in columns if c != "timestamp"]
+    last = F.max_by(F.struct(*values), F.struct("_new", "_source", F.struct(*values)))
+    merged = fresh.groupBy("timestamp").agg(last.alias("_r")).select("timestamp", "_r.*").select(*columns)
+    number = (versions.latest(spark, path) or 0) + 1
+    merged.orderBy("timestamp").write.mode("overwrite").option("header", True).csv(f"{path}/version={number}")
+    versions.publish(spark, path, number)
+    if number > 2:
+        versions.remove(spark, f"{path}/version={number - 2}")
+    return number
+
+
 def write_monthly(df: DataFrame, path: str, overwrite: bool = False) -> str:
     """One folder per year and month, canonical columns, absent columns filled."""
     ready = df.select(*[
