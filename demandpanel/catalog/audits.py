@@ -85,33 +85,44 @@ def audit_score_range(spark, folder):
     return qu.domain_violations(st.survey(spark, folder), {"score_outside_1_to_5": ("warning", (v < 1) | (v > 5))})
 
 
-# Two absent headings, date gaps if there are any, scores out of range if there are any.
-WARNINGS = """CAST(2 + (SELECT CAST(datediff('day', min(date), max(date)) + 1 > count(DISTINCT date) AS INT) FROM counts)
-    + (SELECT CAST(count(*) FILTER (nps_raw < 1 OR nps_raw > 5) > 0 AS INT) FROM survey) AS BIGINT)"""
+def findings(spark, folder):
+    """Three sources and one that can't be read, which is a finding and stops nothing."""
+    return qu.guarded(spark, {
+        "camera": lambda: qu.audit_camera(st.counts(spark, folder).select("date", "count"), "camera"),
+        "weather": lambda: qu.audit_weather(st.hourly(spark, folder), "weather", fixed.HOURLY_COLUMNS),
+        "survey": lambda: qu.audit_survey(st.survey(spark, folder), "survey", ["satis", "no such heading"], score="nps_raw"),
+        "archive": lambda: qu.audit_weather(spark.read.parquet(f"{folder}/no such table.parquet"), "archive", fixed.HOURLY_COLUMNS),
+    })
 
 
-def findings(spark, folder):
-    daily = st.counts(spark, folder).select("date", "count")
-    camera = qu.audit_camera(daily, "camera")
-    weather = qu.audit_weather(st.hourly(spark, folder), "weather", fixed.HOURLY_COLUMNS)
-    survey = qu.audit_survey(st.survey(spark, folder), "survey", ["satis", "no such heading"], score="nps_raw")
-    return camera.unionByName(weather).unionByName(survey)
+def _profile_lines_sql(source: str, table: str, columns) -> str:
+    return " ".join(f"UNION ALL SELECT '{source}', 'profile', '{c}: ' || count(*) || ' rows, ' || count(*) FILTER ({c} IS NULL) || ' missing' FROM {table}" for c in columns)
 
 
-@register("audit_findings", with_("counts", "hourly", "survey", body="""WITH g AS (SELECT datediff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS k FROM counts)
-    SELECT 'camera' AS source, 'rows' AS severity, CAST(count(*) AS VARCHAR) AS message FROM counts
+def findings_sql(select: str) -> str:
+    """``select`` from ``found``: every line of every source."""
+    return with_("counts", "hourly", "survey", recursive=True, body=f"""WITH g AS (SELECT datediff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS k FROM counts),
+    v AS MATERIALIZED (SELECT 'count' AS node, date_trunc('month', date) AS m, count AS x FROM counts), {_DRIFT}, {ks_tails('SELECT * FROM ks')},
+    found AS (SELECT 'camera' AS source, 'rows' AS severity, CAST(count(*) AS VARCHAR) AS message FROM counts
     UNION ALL SELECT 'camera', 'warning', k || ' date gaps' FROM g WHERE k > 0
+    UNION ALL SELECT 'camera', 'drift', concat_ws(' ', node, period_a, period_b) FROM ks_p JOIN s USING (node, pair) WHERE ks_pvalue < 0.05
     UNION ALL SELECT 'weather', 'rows', CAST(count(*) AS VARCHAR) FROM hourly UNION ALL SELECT 'weather', 'warning', 'missing column weather_type'
     UNION ALL SELECT 'survey', 'rows', CAST(count(*) AS VARCHAR) FROM survey UNION ALL SELECT 'survey', 'warning', 'no column containing no such heading'
-    UNION ALL SELECT 'survey', 'warning', 'score_outside_1_to_5: ' || count(*) || ' rows' FROM survey WHERE nps_raw < 1 OR nps_raw > 5"""))
+    UNION ALL SELECT 'survey', 'warning', 'score_outside_1_to_5: ' || count(*) || ' rows' FROM survey WHERE nps_raw < 1 OR nps_raw > 5 HAVING count(*) > 0
+    {_profile_lines_sql('camera', 'counts', ['count'])} {_profile_lines_sql('weather', 'hourly', ['temp_c', 'precip_1h_mm', 'wind_speed_ms'])}
+    {_profile_lines_sql('survey', 'survey', ['prefecture', 'nps_raw'])}
+    UNION ALL SELECT 'archive', 'error', 'could not be audited: AnalysisException') {select}""")
+
+
+@register("audit_findings", findings_sql("SELECT * FROM found"))
 def audit_findings(spark, folder):
-    return findings(spark, folder).where("severity <> 'drift'")
+    return findings(spark, folder)
 
 
-@register("audit_rollup", with_("counts", "hourly", "survey", body=f"""SELECT CAST(3 AS BIGINT) AS sources, CAST((SELECT count(*) FROM counts) + (SELECT count(*) FROM hourly) + (SELECT count(*) FROM survey) AS BIGINT) AS total_rows,
-    {WARNINGS} AS warnings, (SELECT count(*) FILTER (precip_1h_mm < 0) FROM hourly) AS errors, (SELECT count(*) FILTER (precip_1h_mm < 0) FROM hourly) = 0 AS passed"""))
+@register("audit_rollup", findings_sql("""SELECT count(DISTINCT source) AS sources, CAST(sum(CAST(message AS BIGINT)) FILTER (severity = 'rows') AS BIGINT) AS total_rows, count(*) FILTER (severity = 'warning') AS warnings,
+    count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'drift') AS drift_events, count(*) FILTER (severity = 'error') = 0 AS passed FROM (SELECT source, severity, CASE WHEN severity = 'rows' THEN message END AS message FROM found)"""))
 def audit_rollup(spark, folder):
-    return qu.audit_rollup(findings(spark, folder)).drop("drift_events")
+    return qu.audit_rollup(findings(spark, folder))
 
 
 @register("audit_source_status", with_("hourly", "survey", "counts", body="""SELECT 'weather' AS source, count(*) AS rows, count(DISTINCT station) AS groups, true AS available FROM hourly

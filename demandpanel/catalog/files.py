@@ -10,7 +10,7 @@ from ..session import shared_folder
 from ..sources import camera, files as fl, sinks, tables, weather as wx
 from ..streaming import feeds
 from . import standins as st
-from .audits import WARNINGS
+from .audits import findings, findings_sql
 from .registry import q6, register, rounded
 from .standins import with_
 
@@ -293,13 +293,11 @@ def sink_monthly(spark, folder):
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("sink_report", with_("counts", "hourly", "survey", body=f"SELECT 'rows' AS severity, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'warning', {WARNINGS}"))
+@register("sink_report", findings_sql("SELECT * FROM found"))
 def sink_report(spark, folder):
-    from .audits import audit_findings
-
-    path = sinks.write_report(audit_findings(spark, folder), _place(spark, "sink_report"))
-    back = spark.read.schema("source string, severity string, message string").json(path)
-    return back.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """The audit's report, every line read back."""
+    path = sinks.write_report(findings(spark, folder), _place(spark, "sink_report"))
+    return spark.read.schema("source string, severity string, message string").json(path)
 
 
 @register("sink_metrics", with_("node_counts", body="SELECT 'nodes' AS section, node || '.days=' || count(*) AS line FROM node_counts GROUP BY node"))

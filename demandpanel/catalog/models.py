@@ -338,6 +338,14 @@ def forest_folds(spark, folder):
     return rounded(rf.assign_folds(st.counts(spark, folder)).select("node", "date", "fold"))
 
 
+@register("shuffled_column", """WITH k AS (SELECT o_orderkey, o_orderpriority, o_totalprice, md5(o_orderkey || ':' || o_orderpriority || ':42') AS key FROM orders)
+    SELECT o_orderkey, o_orderpriority, o_totalprice, coalesce(lead(o_totalprice) OVER w, first(o_totalprice) OVER w) AS moved FROM k WINDOW w AS (PARTITION BY o_orderpriority ORDER BY key)""")
+def shuffled_column(spark, folder):
+    """Prices shuffled within each priority, over all its rows, in seven ranges."""
+    o = st.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return rf.shuffled_values(o, F.col("o_totalprice"), F.col("o_orderkey"), ["o_orderpriority"], cells=7).withColumnRenamed("_moved", "moved")
+
+
 @register("forest_permutation_importance")
 def forest_permutation_importance(spark, folder):
     rows, names = _forest_rows(spark, folder)

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .features import without_family
 from .gram import accuracy, complete
@@ -61,31 +61,49 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], folds: i
     return accuracy(scored, target, "pred_random_forest", ["fold"])
 
 
-def permutation_importance(model, df: DataFrame, target: str, features: Sequence[str],
-                           repeats: int = 10, seed: int = 42, buckets: int = 64) -> DataFrame:
-    """Mean and deviation of the R² drop when one feature is shuffled.
+#: Rows of one cell of a shuffle, about.
+CELL_ROWS = 50_000
 
-    Every (feature, repeat) variant is scored in one job. A shuffle takes the value of the
-    next row in a seeded hash order inside a seeded hash bucket, so no task has to hold all
-    rows. Bucket membership changes with each repeat; ``buckets=1`` permutes the whole column.
+
+def shuffled_values(rows: DataFrame, value: Column, id_: Column, groups: Sequence[str] = (), seed: int = 42,
+                    cells: int | None = None) -> DataFrame:
+    """``rows`` with ``_moved``: the column's values permuted over all rows of each group.
+
+    Rows stand in the order of a seeded digest of their id, and each takes the value of the
+    next one, the last that of the first: one cycle through all rows in random order. The
+    order is cut into ``cells`` ranges of the digest (from the number of rows when absent);
+    a range's last row takes the first value of the next range that has rows, so no task
+    holds a group.
     """
-    rows = complete(df, [target, *features]).withColumn("_id", F.xxhash64(*[F.col(c) for c in df.columns]))
+    if cells is None:
+        cells = 1 + rows.count() // CELL_ROWS
+    groups = list(groups)
+    digest = F.md5(F.concat_ws(":", id_.cast("string"), *[F.col(g).cast("string") for g in groups], F.lit(str(seed))))
+    placed = rows.withColumns({"_value": value, "_key": digest})
+    placed = placed.withColumn("_cell", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * cells / F.lit(2.0 ** 32)).cast("long"))
+    inside = Window.partitionBy(*groups, "_cell").orderBy("_key")
+    # One row a cell here: its first value, handed to the cell before it, around the end to the last.
+    edges = placed.groupBy(*groups, "_cell").agg(F.min_by(F.struct("_value"), "_key").alias("_head"))
+    order, whole = Window.partitionBy(*groups).orderBy("_cell"), Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.withColumn("_after", F.coalesce(F.lead("_head").over(order), F.first("_head").over(whole))).drop("_head")
+    moved = placed.withColumn("_next", F.lead(F.struct("_value")).over(inside)).join(edges, [*groups, "_cell"])
+    return moved.withColumn("_moved", F.coalesce("_next", "_after")["_value"]).drop("_next", "_after", "_value", "_key", "_cell")
+
+
+def permutation_importance(model, df: DataFrame, target: str, features: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Mean and deviation of the R² drop when one feature is shuffled over all rows.
+
+    Every (feature, repeat) variant is scored in one job.
+    """
+    rows = complete(df, [target, *features]).withColumn("_id", F.md5(F.to_json(F.struct(*df.columns))))
     plan = F.array(*[
         F.struct(F.lit(i).alias("f"), F.lit(r).alias("r"))
         for i in range(len(features)) for r in range(repeats)
     ])
-    variants = rows.withColumn("_v", F.explode(plan)).select("*", "_v.f", "_v.r").drop("_v")
     own = F.array(*[F.col(c).cast("double") for c in features])
-    value = F.get(own, F.col("f"))
-    key = F.xxhash64("_id", "f", "r", F.lit(seed))
-    variants = variants.withColumns({
-        "_x": own, "_value": value, "_key": key,
-        "_b": F.pmod(F.xxhash64("_id", "r", F.lit(seed + 1)), F.lit(buckets)),
-    })
-    ring = Window.partitionBy("f", "r", "_b").orderBy("_key", "_id")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shifted = F.coalesce(F.lead("_value", 1).over(ring), F.first("_value").over(whole))
-    shuffled = variants.withColumn("_moved", shifted).withColumn(
+    variants = rows.select("_id", F.col(target), own.alias("_x"), F.explode(plan).alias("_v")).select("_id", target, "_x", "_v.f", "_v.r")
+    moved = shuffled_values(variants, F.get("_x", F.col("f")), F.col("_id"), ["f", "r"], seed, cells=1 + rows.count() // CELL_ROWS)
+    shuffled = moved.withColumn(
         "_features",
         array_to_vector(F.transform("_x", lambda x, i: F.when(i == F.col("f"), F.col("_moved")).otherwise(x))),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import number
+from ..session import staged
 from .correlation import ks_two_sample, with_ks_p
 from .ordered import cumulative, interpolated, value_counts
 from .panel import date_gaps
@@ -185,6 +186,29 @@ def _rows_line(df: DataFrame, source: str) -> DataFrame:
         F.lit(source).alias("source"), F.lit("rows").alias("severity"), F.col("n").cast("string").alias("message"))
 
 
+def _profile_lines(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
+    """Rows and missing values of each column, all in one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m{i}") for i, c in enumerate(columns)]]
+    lines = F.array(*[F.format_string("%s: %d rows, %d missing", F.lit(c), F.col("_n"), F.col(f"_m{i}")) for i, c in enumerate(columns)])
+    return df.agg(*aggs).select(F.lit(source).alias("source"), F.lit("profile").alias("severity"), F.explode(lines).alias("message"))
+
+
+def guarded(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Findings of all sources, each audited in a plan of its own.
+
+    A source that can't be read or audited becomes one error line that names the kind of
+    failure; the others are audited all the same. Findings are few, so each source's are
+    written and read again, which is what makes a failure its own.
+    """
+    parts = []
+    for source, build in sources.items():
+        try:
+            parts.append(staged(build()))
+        except Exception as failure:  # whatever a source does is a finding about it
+            parts.append(_lines(spark, source, [("error", f"could not be audited: {type(failure).__name__}")]))
+    return _union(parts)
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -196,7 +220,7 @@ def audit_camera(daily: DataFrame, source: str, missing: Sequence[str] = ()) ->
         _rows_line(daily, source), _gap_line(daily, "date", source),
         _lines(spark, source, [("error", f"missing column {c}") for c in missing]),
         _violation_lines(domain_violations(daily, {"zero_count_days": ("warning", F.col("count") == 0)}), source),
-        _drift_lines(drift_report(daily, "date", ["count"]), source),
+        _profile_lines(daily, ["count"], source), _drift_lines(drift_report(daily, "date", ["count"]), source),
     ]
     return _union(parts)
 
@@ -213,15 +237,19 @@ def audit_weather(hourly: DataFrame, source: str, expected: Sequence[str], time:
     if rules:
         parts.append(_violation_lines(domain_violations(hourly, rules), source))
     if drifting:
-        parts.append(_drift_lines(drift_report(hourly, time, drifting), source))
+        parts += [_profile_lines(hourly, drifting, source), _drift_lines(drift_report(hourly, time, drifting), source)]
     return _union(parts)
 
 
-def audit_survey(survey: DataFrame, source: str, expected_parts: Sequence[str], score: str = "satisfaction") -> DataFrame:
-    """Findings of a survey table; expected headings match by part of their name."""
+def audit_survey(survey: DataFrame, source: str, expected_parts: Sequence[str], score: str = "satisfaction",
+                 place: str = "prefecture") -> DataFrame:
+    """Findings of a survey table; expected headings match by part of their name, missing places are counted."""
     absent = [p for p in expected_parts if not any(p in c for c in survey.columns)]
     parts = [_rows_line(survey, source),
              _lines(survey.sparkSession, source, [("warning", f"no column containing {p}") for p in absent])]
+    shown = [c for c in (place, score) if c in survey.columns]
+    if shown:
+        parts.append(_profile_lines(survey, shown, source))
     if score in survey.columns:
         value = F.col(score).cast("double")
         parts.append(_violation_lines(domain_violations(

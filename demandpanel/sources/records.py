@@ -11,7 +11,6 @@ record at a time. No file is parsed by one task, and no list of paths is made.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,23 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import shared_folder
+from ..session import staged
 
 FILE, NUMBER, RECORD = "_file", "_row", "_record"
 #: Stands for separators between fields; a code point that no text may use.
 _CUT = "﷐"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share and read again; the files go with the session."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def file_path() -> Column:
     """The file of a row as a plain path; the metadata column holds it percent-encoded."""
     return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))

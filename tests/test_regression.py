@@ -8,9 +8,17 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandpanel.functions.tails import t_two_sided
 from demandpanel.operators import features as ft, forest as rf, gram as gm, regression as rg
 
+
+def t_two_sided(t, dof):
+    """Two-sided tail of Student's t as an area under a power of the cosine."""
+    low = math.atan(abs(t) / math.sqrt(dof))
+    at = np.linspace(low, math.pi / 2, 20_001)
+    y = np.cos(at) ** (dof - 1)
+    area = (at[1] - at[0]) * (y.sum() - (y[0] + y[-1]) / 2)
+    return area / (math.sqrt(math.pi) / 2 * math.exp(math.lgamma(dof / 2) - math.lgamma((dof + 1) / 2)))
+
 X = ["intent", "precip", "temp"]
 
 
@@ -195,7 +203,7 @@ def test_forest_bounds(linear):
     assert gm.accuracy(rf.score_forest(model, one, X), "count", "pred_random_forest").first().r2 > 0.9
     imp = {r.feature: r.importance for r in rf.impurity_importance(model, one, X).collect()}
     assert sum(imp.values()) == pytest.approx(1.0) and max(imp, key=imp.get) == "intent"
-    perm = {r.feature: r.importance_mean for r in rf.permutation_importance(model, one, "count", X, repeats=3, buckets=1).collect()}
+    perm = {r.feature: r.importance_mean for r in rf.permutation_importance(model, one, "count", X, repeats=3).collect()}
     assert max(perm, key=perm.get) == "intent" and perm["intent"] > 0.3
 
 
@@ -210,3 +218,21 @@ def test_removing_the_driver_hurts(linear):
     out = {r.scenario: r for r in rf.family_ablation(split, "count", X, {"intent": ["intent"], "weather": ["precip", "temp"], "none": []}, **SMALL).collect()}
     assert set(out) == {"full", "no_intent", "no_weather"}
     assert out["no_intent"].mae >= out["full"].mae and out["full"].delta_mae_vs_full == 0
+
+
+@pytest.mark.parametrize("cells", [1, 5, 400])
+def test_a_shuffle_permutes_all_rows_of_a_group(spark, cells):
+    rows = spark.createDataFrame([(i, "a" if i % 4 else "b", float(i)) for i in range(300)], "i int, g string, x double")
+    got = rf.shuffled_values(rows, F.col("x"), F.col("i"), ["g"], cells=cells).collect()
+    for g in "ab":
+        step = {r.x: r._moved for r in got if r.g == g}
+        assert sorted(step) == sorted(step.values()) and len(step) == (225 if g == "a" else 75)
+        at, seen = next(iter(step)), set()
+        while at not in seen:  # one cycle runs through the whole column
+            seen.add(at)
+            at = step[at]
+        assert len(seen) == len(step)
+    near = sum(abs(r.x - r._moved) < 20 for r in got)
+    assert near < 90  # values don't stay near where they were
+    again = {(r.i, r._moved) for r in rf.shuffled_values(rows.repartition(7), F.col("x"), F.col("i"), ["g"], cells=cells).collect()}
+    assert again == {(r.i, r._moved) for r in got}

@@ -175,3 +175,18 @@ def test_not_a_number_is_missing_in_order_statistics(spark):
     df = spark.createDataFrame([("k", v) for v in (-5.0, -4.0, 10.0, 20.0, float("nan"), None)], "k string, v double")
     r = od.quantiles(df, "v", {"median": 0.5}, ["k"]).first()
     assert (r["n"], r["median"]) == (4, 3.0)
+
+
+def test_a_source_that_fails_is_a_finding_and_stops_nothing(spark, tmp_path):
+    (tmp_path / "t.parquet").write_bytes(b"no parquet at all")
+    good = spark.createDataFrame([(dt.date(2024, 1, 1), 3), (dt.date(2024, 1, 2), None), (dt.date(2024, 1, 4), 0)], "date date, count int")
+    found = qu.guarded(spark, {
+        "torn": lambda: qu.audit_camera(spark.read.schema("date date, count int").parquet(str(tmp_path / "t.parquet")), "torn"),
+        "absent": lambda: qu.audit_camera(spark.read.parquet(str(tmp_path / "none")), "absent"),
+        "good": lambda: qu.audit_camera(good, "good"),
+    })
+    lines = {(r.source, r.severity): r.message for r in found.collect()}
+    assert lines["absent", "error"].startswith("could not be audited: ") and lines["torn", "error"].startswith("could not be audited: ")
+    assert lines["good", "rows"] == "3" and lines["good", "profile"] == "count: 3 rows, 1 missing"
+    total = qu.audit_rollup(found).first()
+    assert (total.sources, total.total_rows, total.errors, total.passed) == (3, 3, 2, False)
