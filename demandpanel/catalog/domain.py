@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import economics as ec, nodes as nd, satisfaction as sa
+from ..operators.classify import from_file
 from ..plans import studies as pl
+from ..session import shared_folder
 from ..sources.sinks import metric_rows
 from ..sources.tables import normalise_survey
 from . import standins as st
@@ -248,6 +252,28 @@ def complaint_drivers(spark, folder):
     return rounded(sa.complaint_drivers(st.survey(spark, folder), _classify, "doc_id"))
 
 
+_MODEL = {"labels": ["weather conditions", "poor transportation", "language barrier", "lack of information", "pricing"], "bias": [0, 1, 0, -1, 2],
+          "weights": {"ering": [4, 0, 0, 1, 0], "ment": [0, 3, 1, 0, -1], "ung": [-1, 0, 5, 0, 0], "eaux": [0, 0, 0, 6, 0], "que": [1, 1, 0, 0, 1]}}
+
+
+def _model_sql() -> str:
+    """The label of the largest score, the first of equal ones."""
+    scores = ", ".join(f"{_MODEL['bias'][i]}" + "".join(f" + CASE WHEN contains(t, '{p}') THEN {w[i]} ELSE 0 END" for p, w in _MODEL["weights"].items()) for i in range(5))
+    names = ", ".join(f"'{x}'" for x in _MODEL["labels"])
+    return f"[{names}][list_position([{scores}], list_max([{scores}]))]"
+
+
+@register("complaint_drivers_model", with_("survey", body=f"""WITH d AS (SELECT doc_id, concat_ws(' ', CASE WHEN regexp_matches(reason, '\\S') THEN reason END, CASE WHEN regexp_matches(inconvenience, '\\S') THEN inconvenience END) AS t
+    FROM survey WHERE satisfaction <= 2), l AS (SELECT {_model_sql()} AS label FROM d WHERE length(t) > 3)
+    SELECT v.label, count(l.label) AS n, {q6('count(l.label) * 100.0 / (SELECT count(*) FROM l)')} AS pct
+    FROM (SELECT unnest([{", ".join(f"'{x}'" for x in _MODEL['labels'])}]) AS label) v LEFT JOIN l ON l.label = v.label GROUP BY 1"""))
+def complaint_drivers_model(spark, folder):
+    """Shares by a linear model read from a file and opened once a task."""
+    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/complaint_model"
+    spark.createDataFrame([(json.dumps(_MODEL),)], "value string").coalesce(1).write.mode("overwrite").text(place)
+    return rounded(sa.complaint_drivers(st.survey(spark, folder), from_file(spark, f"{place}/part-*"), "doc_id"))
+
+
 @register("site_resilience", with_("survey", body=f"""WITH x AS (SELECT *, {_TEXT} AS t FROM survey WHERE contains(location, 'src1')),
     y AS (SELECT *, contains(t, 'ering') AS busy, contains(t, 'ment') AS quiet, satisfaction IN (4, 5) AS high, satisfaction IN (1, 2) AS low FROM x),
     s AS (SELECT count(*) AS n, count(*) FILTER (high) AS h, count(*) FILTER (low) AS l, count(*) FILTER (busy) AS b, count(*) FILTER (busy AND low) AS bl, count(*) FILTER (quiet AND low) AS ql FROM y),

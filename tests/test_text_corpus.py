@@ -65,3 +65,25 @@ def test_redaction_touches_only_its_columns(spark):
     df = spark.createDataFrame([("a@b.co", "a@b.co")], "reason string, note string")
     row = tm.redact_columns(df, ["reason", "absent"]).first()
     assert row.reason == "[REDACTED_EMAIL]" and row.note == "a@b.co"
+
+
+def test_a_classifier_opens_its_model_once_a_task(spark, tmp_path):
+    import json
+
+    from demandpanel.operators import classify, satisfaction as sa
+    model = {"labels": ["weather", "transport", "other"], "bias": [0, 0, 0.5], "weights": {"cold": [2, 0, 0], "bus": [0, 2, 0], "late": [0, 1, 0]}}
+    (tmp_path / "model.json").write_text(json.dumps(model))
+    opened = spark.sparkContext.accumulator(0)
+    label = classify.from_file(spark, str(tmp_path / "model.json"), on_open=lambda: opened.add(1))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        texts = spark.createDataFrame([(i, ["cold", "late bus", "nothing", None][i % 4]) for i in range(400)], "i int, t string").repartition(3)
+        got = {(r.t, r.x) for r in texts.select("t", label("t").alias("x")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {("cold", "weather"), ("late bus", "transport"), ("nothing", "other"), (None, None)}
+    assert opened.value == 3  # three tasks of many batches each
+    survey = spark.createDataFrame([(1, "cold cold", ""), (2, "", "the bus was late"), (2, "nothing", ""), (5, "cold", ""), (1, "ab", "")], "satisfaction int, reason string, freetext string")
+    shares = {r.label: r.n for r in sa.complaint_drivers(survey.withColumn("id", survey.satisfaction), label, "id", labels=model["labels"]).collect()}
+    assert shares == {"weather": 1, "transport": 1, "other": 1}
