@@ -9,7 +9,7 @@ from demandpanel.catalog import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 PYTHON_OK = ("ols", "effect", "betas", "hold_out", "durbin", "weather_value", "variance", "newey", "difference_model", "lagged", "unit_root",
              "seasonal", "quadratic", "benchmark", "gap_", "generalisation", "family", "node_", "network", "lost_", "report_", "p_values", "drift_flags",
-             "forest", "audit_findings", "audit_rollup", "sink_report", "source_enc", "source_raw_exports")
+             "forest", "complaint_drivers_model", "sink_report", "source_enc", "source_raw_exports")
 # Queries that run jobs while they are being built (fits, files, streams).
 EAGER = ("forest", "topic", "tfidf", "full_analysis", "source_", "sink_", "stream_")
 
