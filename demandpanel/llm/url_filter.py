@@ -1,17 +1,13 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
 URLs that a rule allows or blocks teach two variable-order Markov models. A
-character's context is used as far as it was seen: ``judge`` keeps every n-gram,
+character's context is used as far as it was seen: every n-gram is kept,
 so the models grow with the input. Probabilities are smoothed from order to order
 (Dirichlet). An n-gram's value is what it adds to the
 log-likelihood difference over its shorter form, so a URL's difference is the sum
 over the n-grams it holds, divided by its length. The threshold maximises the
 mean of both classes' hit rates on a held-out fifth of the ruled URLs.
 
-``model`` alone can prune, to n-grams with at least one MOST-th of all positions.
-``judge_sql`` still has that floor: it is one, and drops nothing, up to MOST
-positions, and above that the SQL differs from ``judge``.
-
 All work is DataFrame functions. URLs are scored once however often they occur.
 
 Defined results: a null URL is empty; without ``://`` host and path are empty; an
@@ -28,7 +24,7 @@ from .base import staged
 
 #: (rule, verdict) of the given table's rules.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-ORDERS, MOST = 5, 50_000
+ORDERS = 5
 #: Pseudo counts of the shorter context, and of each symbol at order one.
 PRIOR, SYMBOL = 4.0, 0.5
 #: Steps of the threshold in one unit of the difference per character.
@@ -67,20 +63,19 @@ def _is_held(url: str = "url") -> Column:
     return F.conv(F.substring(F.md5(F.col(url)), 1, 4), 16, 10).cast("long") % 5 == 0
 
 
-def model(known: DataFrame, whole: bool = False) -> DataFrame:
-    """(gram, value) from URLs (url, verdict, n): what each n-gram adds to log P(accepted) - log P(rejected); all n-grams if ``whole``."""
+def model(known: DataFrame) -> DataFrame:
+    """(gram, value) from URLs (url, verdict, n): what each n-gram adds to log P(accepted) - log P(rejected)."""
     good, bad = F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0), F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)
     counts = _grams(known.select("url", good.alias("good"), bad.alias("bad")), "good", "bad").groupBy("gram").agg(
         F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("order", F.length("gram"))
     totals = known.agg(F.coalesce(F.sum(good * (F.length("url") + 1)), F.lit(0)).alias("all_good"),
                        F.coalesce(F.sum(bad * (F.length("url") + 1)), F.lit(0)).alias("all_bad"),
                        F.coalesce(F.sum(good), F.lit(0)).alias("urls_good"), F.coalesce(F.sum(bad), F.lit(0)).alias("urls_bad")).first()
-    least = -(-(totals["all_good"] + totals["all_bad"]) // MOST)
-    kept = staged(counts if whole else counts.filter(F.col("good") + F.col("bad") >= least))
+    kept = staged(counts)
     symbols = kept.filter("order = 1").count()
 
-    def first(n: str, whole: int) -> Column:
-        return (F.col(n) + SYMBOL) / F.lit(whole + SYMBOL * symbols)
+    def first(n: str, every: int) -> Column:
+        return (F.col(n) + SYMBOL) / F.lit(every + SYMBOL * symbols)
 
     level = kept.filter("order = 1").select("gram", first("good", totals["all_good"]).alias("pg"), first("bad", totals["all_bad"]).alias("pb"))
     levels = [level.select("gram", F.log(F.col("pg") / F.col("pb")).alias("value"))]
@@ -127,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rule, says = ruled(F.col("host"), F.col("path"), rules)
     urls = staged(distinct.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": says}))
     known = urls.filter("rule IS NOT NULL")
-    values = model(known.filter(~_is_held()), whole=True)
+    values = model(known.filter(~_is_held()))
     wanted = urls.filter(F.col("rule").isNull() | _is_held())
     scored = staged(wanted.join(scores(wanted, values).withColumnRenamed("url", "u"), F.col("url") == F.col("u"), "left").select(
         "url", "verdict", "rule", "n", F.coalesce("score", F.lit(0.0)).alias("score")))
@@ -149,7 +144,7 @@ def judge_sql() -> str:
     """The same verdicts in DuckDB."""
     rules = ", ".join(f"('{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{v}')" for t, v in RULES)
     held = "CAST('0x' || substr(md5(url), 1, 4) AS INT) % 5 = 0"
-    kept = "SELECT g.*, length(gram) AS ord FROM counts g, tot WHERE g.good + g.bad >= least"
+    kept = "SELECT g.*, length(gram) AS ord FROM counts g"
     levels = f"l1 AS (SELECT gram, (kept.good + {SYMBOL}) / (all_good + {SYMBOL} * s) AS pg, (kept.bad + {SYMBOL}) / (all_bad + {SYMBOL} * s) AS pb, NULL::DOUBLE AS sg, NULL::DOUBLE AS sb FROM kept, tot, (SELECT count(*) AS s FROM kept WHERE ord = 1) WHERE ord = 1)"
     for o in range(2, ORDERS + 1):
         levels += f""", l{o} AS (SELECT k.gram, (k.good + {PRIOR} * s.pg) / (c.good + {PRIOR}) AS pg, (k.bad + {PRIOR} * s.pb) / (c.bad + {PRIOR}) AS pb, s.pg AS sg, s.pb AS sb
@@ -169,8 +164,7 @@ def judge_sql() -> str:
     g AS (SELECT url, n, says, substr(t, i - o + 1, o) AS gram FROM i, range(1, {ORDERS + 1}) AS r(o) WHERE o <= i),
     counts AS (SELECT gram, sum(CASE WHEN says = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN says = 'block' THEN n ELSE 0 END) AS bad FROM g WHERE says IS NOT NULL AND NOT {held} GROUP BY 1),
     tot AS (SELECT coalesce(sum(CASE WHEN says = 'allow' THEN n * (length(url) + 1) END), 0) AS all_good, coalesce(sum(CASE WHEN says = 'block' THEN n * (length(url) + 1) END), 0) AS all_bad,
-            coalesce(sum(CASE WHEN says = 'allow' THEN n END), 0) AS good, coalesce(sum(CASE WHEN says = 'block' THEN n END), 0) AS bad,
-            ceil(coalesce(sum(n * (length(url) + 1)), 0) / {MOST}) AS least FROM k WHERE says IS NOT NULL AND NOT {held}),
+            coalesce(sum(CASE WHEN says = 'allow' THEN n END), 0) AS good, coalesce(sum(CASE WHEN says = 'block' THEN n END), 0) AS bad FROM k WHERE says IS NOT NULL AND NOT {held}),
     kept AS ({kept}), ctx AS (SELECT gram, good, bad FROM kept UNION ALL SELECT chr(2), good, bad FROM tot),
     {levels}, v AS ({values}),
     s AS (SELECT k.url, any_value(k.says) AS says, any_value(k.n) AS n, CASE WHEN k.url = '' THEN 0 ELSE coalesce(sum(v.value), 0) / (length(k.url) + 1) END AS score FROM k JOIN g USING (url) LEFT JOIN v USING (gram) GROUP BY k.url),
