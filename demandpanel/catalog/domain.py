@@ -286,13 +286,13 @@ def site_resilience(spark, folder):
     return sa.site_resilience(st.survey(spark, folder), "src1", min_per_day=1, congestion=("ering",), quiet=("ment",))
 
 
-def network(spark, folder):
+def network(spark, folder, *results):
     from ..operators.panel import daily_counts_matching
 
     li = st.table(spark, folder, "lineitem").withColumn("date", F.col("l_shipdate").cast("date"))
     signal = daily_counts_matching(li, "l_returnflag", {"volume": "A"})
     return pl.site_network(st.node_counts(spark, folder), st.node_weather(spark, folder), st.intent(spark, folder), "directions",
-                           signal, "volume", ("1-URGENT", "2-HIGH", "3-MEDIUM"))
+                           signal, "volume", ("1-URGENT", "2-HIGH", "3-MEDIUM"), results=results)
 
 
 FIVE = ["directions", "temp", "precip", "wind", "snow"]
@@ -307,7 +307,7 @@ _NODE_RELS = ("node_counts", "node_weather", "intent")
 @register("node_models", with_(*_NODE_RELS, recursive=True, body=f"""WITH {NODE_SQL} SELECT node, n, {q6('r2')} AS r2, {q6('adj_r2')} AS adj_r2, {q6('weather_lift')} AS weather_lift,
     {q6('snow_beta_std')} AS snow_beta_std, {q6('wind_coef')} AS wind_coef, {q6('lost_visitors', 4)} AS lost_visitors, {q6('lost_visitors * 13811', 0)} AS lost_yen FROM models"""))
 def node_models(spark, folder):
-    m = network(spark, folder)["models"]
+    m = network(spark, folder, "models")["models"]
     return m.select("node", "n", *[r6(c).alias(c) for c in ("r2", "adj_r2", "weather_lift", "snow_beta_std", "wind_coef")],
                     r6("lost_visitors", 4).alias("lost_visitors"), r6("lost_yen", 0).alias("lost_yen"))
 
@@ -315,7 +315,7 @@ def node_models(spark, folder):
 @register("node_totals_and_snow_rank", with_(*_NODE_RELS, recursive=True, body=f"""WITH {NODE_SQL} SELECT {q6('sum(lost_visitors)', 4)} AS lost_visitors, {q6('sum(lost_visitors) * 13811', 0)} AS lost_yen,
     count(*) AS nodes, arg_max(node, abs(snow_beta_std)) AS most_sensitive, arg_min(node, abs(snow_beta_std)) AS most_resilient FROM models"""))
 def node_totals_and_snow_rank(spark, folder):
-    n = network(spark, folder)
+    n = network(spark, folder, "totals", "snow")
     snow = n["snow"].select(F.struct("most_sensitive", "most_resilient").alias("s")).scalar()
     return n["totals"].withColumn("_s", snow).select(
         r6("lost_visitors", 4).alias("lost_visitors"), r6("lost_yen", 0).alias("lost_yen"), "nodes", "_s.most_sensitive", "_s.most_resilient")
@@ -327,7 +327,7 @@ _HEAT = {"snow_sensitivity_abs": "abs(snow_beta_std)", "wind_sensitivity_abs": "
 @register("node_heat_table", with_(*_NODE_RELS, recursive=True, body=f"WITH {NODE_SQL} SELECT node, " + ", ".join(
     f"{q6(e, 5)} AS {c}, {q6(f'{e} / max({e}) OVER ()', 5)} AS {c}_norm" for c, e in _HEAT.items()) + " FROM models"))
 def node_heat_table(spark, folder):
-    return rounded(network(spark, folder)["heat"], 5)
+    return rounded(network(spark, folder, "heat")["heat"], 5)
 
 
 _NUDGE_TERMS = ", ".join(f"{q6(f'(avg({c}) FILTER (hi) / avg({c}) FILTER (NOT hi) - 1) * 100')} AS {c}_delta_pct" for c in ("coast", "city", "mountain"))
@@ -345,7 +345,7 @@ def wind_nudge(spark, folder):
 @register("network_nudge_and_signal")
 def network_nudge_and_signal(spark, folder):
     """The network run's own nudge and outside-signal results as metric rows."""
-    n = network(spark, folder)
+    n = network(spark, folder, "nudge", "signal")
     rows = metric_rows(rounded(n["nudge"]), "nudge").unionByName(metric_rows(rounded(n["signal"]), "signal", ["node"]))
     return rows
 

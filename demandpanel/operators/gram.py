@@ -252,6 +252,32 @@ def wide_coefficients(
     return _per_row(gram_rows, keys, schema, build)
 
 
+def solutions(
+    gram_rows: DataFrame, features: Sequence[str], models: Mapping[str, Sequence[str]],
+    keys: Sequence[str] = ("node",),
+) -> DataFrame:
+    """All models of a Gram row in one row: keys, n and, per model, ``<m>_r2``, ``<m>_adj_r2``,
+    ``<m>_coefs`` (intercept, then slopes) and ``<m>_beta_z`` (fit on z-scores; NULL where a column is constant)."""
+    features = list(features)
+    chosen = {m: [features.index(c) for c in cols] for m, cols in models.items()}
+    schema = [T.StructField("n", T.LongType())]
+    for m in chosen:
+        schema += [_f(f"{m}_r2"), _f(f"{m}_adj_r2"), T.StructField(f"{m}_coefs", T.ArrayType(T.DoubleType())),
+                   T.StructField(f"{m}_beta_z", T.ArrayType(T.DoubleType()))]
+
+    def build(mean, cov, n):
+        row = {"n": n}
+        for m, use in chosen.items():
+            r = fit(mean, cov, n, use)
+            sd, y_sd = r["sd"][use], r["sd"][-1]
+            regular = y_sd > 0 and bool((sd > 0).all())
+            row |= {f"{m}_r2": r["r2"], f"{m}_adj_r2": r["adj_r2"], f"{m}_coefs": [float(r["intercept"]), *map(float, r["slope"])],
+                    f"{m}_beta_z": [float(b) if regular else None for b in r["slope"] * sd / (y_sd or 1.0)]}
+        yield row
+
+    return _per_row(gram_rows, keys, schema, build)
+
+
 def predict(
     df: DataFrame, coefs: DataFrame, features: Sequence[str], keys: Sequence[str] = ("node",),
     out: str = "predicted",

@@ -27,34 +27,28 @@ def node_models(frame: DataFrame, route: str, spend: float = fixed.SPEND_PER_VIS
                 min_rows: int = 60, min_standardised: int = 30) -> DataFrame:
     """One row per node: fit quality, weather lift, wind and snow effects, clipped loss.
 
-    Full and intent-only models come from the same Gram row; only the clipped loss needs
-    the rows once more, as a sum.
+    Both models come from one Gram row and travel as one row per node; the clipped loss reads
+    the rows a second and last time.
     """
     features = [route, *NODE_FEATURES]
-    models = {"full": features, "intent": [route]}
     moments = g.gram(frame, "count", features).where(F.col("n") >= min_rows)
-    fits = g.fit_summary(moments, features, models).groupBy("node").agg(
-        F.max("n").alias("n"),
-        F.max(F.when(F.col("model") == "full", F.col("r2"))).alias("r2"),
-        F.max(F.when(F.col("model") == "full", F.col("adj_r2"))).alias("adj_r2"),
-        F.max(F.when(F.col("model") == "intent", F.col("r2"))).alias("_r2_intent"),
-    )
-    terms = g.coefficients(moments, features, models).where("model = 'full'").groupBy("node").agg(
-        F.max(F.when(F.col("term") == "wind", F.col("coef"))).alias("wind_coef"),
-        F.max(F.when(F.col("term") == "snow_depth", F.col("beta_z"))).alias("snow_beta_std"),
-    )
-    intent_only = g.wide_coefficients(moments, features, [route])
-    loss = g.predict(frame.join(intent_only.select("node"), "node", "left_semi"), intent_only, [route])
-    loss = loss.groupBy("node").agg(
-        F.sum(F.greatest(F.col("predicted") - F.col("count"), F.lit(0.0))).alias("lost_visitors"))
-    return (
-        fits.join(terms, "node").join(loss, "node")
-        .select(
-            "node", "n", "r2", "adj_r2", (F.col("r2") - F.col("_r2_intent")).alias("weather_lift"),
-            F.when(F.col("n") > min_standardised, F.col("snow_beta_std")).alias("snow_beta_std"),
-            "wind_coef", "lost_visitors", (F.col("lost_visitors") * spend).alias("lost_yen"),
-        )
+    fits = g.solutions(moments, features, {"full": features, "intent": [route]})
+
+    def of(term: str, column: str, before: int = 0):
+        return F.get(column, F.lit(features.index(term) + before))
+
+    fits = fits.select(
+        "node", "n", F.col("full_r2").alias("r2"), F.col("full_adj_r2").alias("adj_r2"),
+        (F.col("full_r2") - F.col("intent_r2")).alias("weather_lift"),
+        F.when(F.col("n") > min_standardised, of("snow_depth", "full_beta_z")).alias("snow_beta_std"),
+        of("wind", "full_coefs", 1).alias("wind_coef"),
+        F.get("intent_coefs", F.lit(0)).alias("_base"), F.get("intent_coefs", F.lit(1)).alias("_slope"),
     )
+    short = F.greatest(F.col("_base") + F.col("_slope") * F.col(route) - F.col("count"), F.lit(0.0))
+    kept = ["n", "r2", "adj_r2", "weather_lift", "snow_beta_std", "wind_coef"]
+    out = frame.select("node", route, "count").join(fits, "node").groupBy("node").agg(
+        *[F.any_value(c).alias(c) for c in kept], F.sum(short).alias("lost_visitors"))
+    return out.withColumn("lost_yen", F.col("lost_visitors") * spend)
 
 
 def loss_over_nodes(models: DataFrame, spend: float = fixed.SPEND_PER_VISITOR) -> DataFrame:

@@ -65,20 +65,22 @@ def comfort_panel(hourly: DataFrame, keys: Sequence[str] = ("station",)) -> Data
 
 def site_network(counts: DataFrame, weather: DataFrame, intent: DataFrame, route: str, source_daily: DataFrame,
                  lead: str, roles: tuple[str, str, str], threshold: float = 10.0,
-                 spend: float = fixed.SPEND_PER_VISITOR) -> dict[str, DataFrame]:
+                 spend: float = fixed.SPEND_PER_VISITOR, results: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All sites in one run: models, totals, snow ranking, wind nudge, heat table, outside signal.
 
-    Each result is a query of its own; a caller that runs many may persist the three inputs.
+    Each result is a query of its own, and only the named ``results`` are planned; a caller that
+    runs many may persist the three inputs.
     """
     frame = nd.node_frame(counts, weather, intent, route)
     models = nd.node_models(frame, route, spend)
     valid = frame.join(models.select("node"), "node", "left_semi")
-    return {
-        "frame": frame, "models": models, "totals": nd.loss_over_nodes(models, spend),
-        "snow": nd.snow_ranking(models), "heat": nd.heat_table(models),
-        "nudge": nd.wind_nudge(valid, *roles, threshold=threshold),
-        "signal": nd.pipeline_lags(valid, source_daily, lead),
+    make = {
+        "frame": lambda: frame, "models": lambda: models, "totals": lambda: nd.loss_over_nodes(models, spend),
+        "snow": lambda: nd.snow_ranking(models), "heat": lambda: nd.heat_table(models),
+        "nudge": lambda: nd.wind_nudge(valid, *roles, threshold=threshold),
+        "signal": lambda: nd.pipeline_lags(valid, source_daily, lead),
     }
+    return {name: make[name]() for name in (make if results is None else results)}
 
 
 def report_tables(panel: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:
