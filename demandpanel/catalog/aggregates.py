@@ -172,6 +172,16 @@ def pivot_date_prefecture(spark, folder):
     return pn.pivot_counts(st.survey(spark, folder), "date", "prefecture", _PREFS)
 
 
+@register("rain_distribution", with_("hourly", body=f"""WITH wet AS (SELECT station, precip_1h_mm AS x FROM hourly WHERE precip_1h_mm > 0),
+    q AS (SELECT station AS s, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM wet GROUP BY 1)
+    SELECT station, n, {q6('q1')} AS q1, {q6('median')} AS median, {q6('q3')} AS q3, {q6('min(x) FILTER (inside)')} AS low_whisker, {q6('max(x) FILTER (inside)')} AS high_whisker,
+    CAST(count(*) FILTER (NOT inside) AS BIGINT) AS outliers FROM (SELECT *, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM wet JOIN q ON station = s) GROUP BY ALL"""))
+def rain_distribution(spark, folder):
+    """Box numbers of every station's positive hourly rain."""
+    wet = pn.drop_zero_days(st.hourly(spark, folder), "precip_1h_mm")
+    return rounded(sm.box_numbers(wet, "precip_1h_mm", ["station"]))
+
+
 @register("box_numbers_raw", f"""WITH q AS (SELECT l_returnflag AS flag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
     quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
     SELECT flag, q.n, {q6('q1', 4)} AS q1, {q6('median', 4)} AS median, {q6('q3', 4)} AS q3,

@@ -18,7 +18,7 @@ from .aggregates import DI, WC
 from .panels import GAP, features_sql
 from .registry import q6, r6, register, rounded
 from .standins import fitted, least_squares, with_
-from .statistics import RANKED
+from .statistics import BEST, LAGS, RANKED, ccf_sql
 
 LOSS = list(pl.LOSS_FEATURES)
 LOSS_SQL = features_sql("node_panel") + ", " + GAP.format(rel="node_panel") + ", " + least_squares(
@@ -342,6 +342,30 @@ def wind_nudge(spark, folder):
     return rounded(nd.wind_nudge(st.node_panel(spark, folder), "1-URGENT", "2-HIGH", "3-MEDIUM"))
 
 
+_VALID = """WITH full_rows AS MATERIALIZED (SELECT c.node, c.date, c.count, w.wind FROM node_counts c JOIN node_weather w ON c.node = w.node AND c.date = w.date JOIN intent i ON c.date = i.date
+    WHERE w.temp IS NOT NULL AND w.precip IS NOT NULL AND w.wind IS NOT NULL AND i.directions IS NOT NULL),
+    valid AS MATERIALIZED (SELECT * FROM full_rows WHERE node IN (SELECT node FROM full_rows GROUP BY 1 HAVING count(*) >= 60))"""
+
+
+@register("network_nudge", with_(*_NODE_RELS, body=f"""{_VALID}, d AS (SELECT a.date, a.count AS coast, a.wind, b.count AS city, c.count AS mountain FROM valid a JOIN valid b ON a.date = b.date
+    JOIN valid c ON a.date = c.date WHERE a.node = '1-URGENT' AND b.node = '2-HIGH' AND c.node = '3-MEDIUM'), m AS (SELECT *, wind > 10 AS hi, wind > 10 AND coast < (SELECT median(coast) FROM d) AS sh FROM d)
+    SELECT CAST(count(*) FILTER (hi) AS BIGINT) AS n_high, CAST(count(*) FILTER (NOT hi) AS BIGINT) AS n_normal, CAST(count(*) FILTER (sh) AS BIGINT) AS n_shield, {_NUDGE_TERMS},
+    CASE WHEN count(*) FILTER (sh) >= 8 THEN {q6('(avg(mountain) FILTER (sh) / avg(mountain) FILTER (NOT hi) - 1) * 100')} END AS weather_shield_pct FROM m
+    HAVING count(*) FILTER (hi) >= 10 AND count(*) FILTER (NOT hi) >= 10"""))
+def network_nudge(spark, folder):
+    """The wind nudge of a network run: nodes with enough complete days only."""
+    return rounded(network(spark, folder, "nudge")["nudge"])
+
+
+@register("network_signal", with_(*_NODE_RELS, body=f"""{_VALID}, signal AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS volume
+    FROM lineitem WHERE l_returnflag LIKE '%A%' GROUP BY 1), joined AS MATERIALIZED (SELECT valid.*, volume FROM valid JOIN signal USING (date)), """
+          + ccf_sql("joined", "volume", "count", LAGS, 20) + ", " + BEST.format(size="abs(r)")
+          + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
+def network_signal(spark, folder):
+    """The outside signal's best lag at the nodes of a network run."""
+    return rounded(network(spark, folder, "signal")["signal"])
+
+
 @register("network_nudge_and_signal")
 def network_nudge_and_signal(spark, folder):
     """The network run's own nudge and outside-signal results as metric rows."""

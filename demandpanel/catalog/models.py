@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as ft, forest as rf, gram as gm, regression as rg
+from ..plans import studies as pl
 from . import standins as st
 from .panels import FEATURES, features, features_sql
 from .registry import normal_tail, q6, r6, register, rounded, t_tail
@@ -284,6 +285,15 @@ def generalisation_gap(spark, folder):
     return rounded(rg.generalisation_gap(inside, outside, ["node", "model"]))
 
 
+@register("report_model_comparison", with_("node_panel", recursive=True, body=_BENCH_SQL + f""",
+    s AS (SELECT node, model, is_train, count(*) AS n, avg(abs(count - yhat)) AS mae, sqrt(avg(pow(count - yhat, 2))) AS rmse, 1 - avg(pow(count - yhat, 2)) / var_pop(count) AS r2 FROM long WHERE yhat IS NOT NULL GROUP BY ALL),
+    w AS (SELECT o.node, o.model, o.n, o.mae, o.rmse, o.r2, i.r2 AS insample_r2 FROM s o JOIN s i USING (node, model) WHERE NOT o.is_train AND i.is_train)
+    SELECT node, model, n, {q6('mae')} AS mae, {q6('rmse')} AS rmse, {q6('r2')} AS r2, {q6('insample_r2')} AS insample_r2,
+        {q6('r2 - insample_r2')} AS gap, row_number() OVER (PARTITION BY node ORDER BY rmse, model) AS rank FROM w"""))
+def report_model_comparison(spark, folder):
+    return rounded(pl.model_comparison(st.node_panel(spark, folder), FOUR, digits=12))
+
+
 @register("benchmark_four_models")
 def benchmark_four_models(spark, folder):
     """The simple models and the forest on one split, inside and outside of the training days."""

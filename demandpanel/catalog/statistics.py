@@ -104,24 +104,24 @@ def ccf_prefecture_to_count(spark, folder):
     return rounded(co.cross_correlation(cross_panel(spark, folder), "en_count", "count"))
 
 
-_BEST = """best AS (SELECT node, arg_max({{lag: lag, r: r, n: n}}, {size} * 1e6 - lag / 1e6) AS b, max(r) FILTER (lag = 0) AS lag0_r FROM ccf WHERE r IS NOT NULL GROUP BY 1)"""
+BEST = """best AS (SELECT node, arg_max({{lag: lag, r: r, n: n}}, {size} * 1e6 - lag / 1e6) AS b, max(r) FILTER (lag = 0) AS lag0_r FROM ccf WHERE r IS NOT NULL GROUP BY 1)"""
 
 
 @register("ccf_best_lag_absolute", with_("survey", "counts", body=f"WITH {_CROSS}, " + ccf_sql("cross_panel", "en_count", "count", LAGS, 10) + ", "
-          + _BEST.format(size="abs(r)") + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
+          + BEST.format(size="abs(r)") + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
 def ccf_best_lag_absolute(spark, folder):
     return rounded(co.best_lag(co.cross_correlation(cross_panel(spark, folder), "en_count", "count")))
 
 
 @register("ccf_best_lag_signed", with_("survey", "counts", body=f"WITH {_CROSS}, " + ccf_sql("cross_panel", "fr_count", "en_count", LAGS, 10) + ", "
-          + _BEST.format(size="r") + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
+          + BEST.format(size="r") + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
 def ccf_best_lag_signed(spark, folder):
     return rounded(co.best_lag(co.cross_correlation(cross_panel(spark, folder), "fr_count", "en_count"), by="signed"))
 
 
 @register("ccf_every_node_best_lag", with_("node_counts", body="""WITH signal AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS volume
     FROM lineitem WHERE l_returnflag LIKE '%A%' GROUP BY 1), joined AS MATERIALIZED (SELECT c.*, volume FROM node_counts c JOIN signal USING (date)), """
-          + ccf_sql("joined", "volume", "count", LAGS, 20) + ", " + _BEST.format(size="abs(r)")
+          + ccf_sql("joined", "volume", "count", LAGS, 20) + ", " + BEST.format(size="abs(r)")
           + f" SELECT node, b.lag AS lag, {q6('b.r')} AS r, b.n AS n, {q6('lag0_r')} AS lag0_r FROM best"))
 def ccf_every_node_best_lag(spark, folder):
     li = st.table(spark, folder, "lineitem").withColumn("date", F.col("l_shipdate").cast("date"))

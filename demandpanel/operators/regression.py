@@ -309,6 +309,32 @@ def compare_models(df: DataFrame, target: str, predictions: Mapping[str, str],
     return g.accuracy(long, target, "_yhat", [*keys, "model"])
 
 
+def comparison_table(df: DataFrame, target: str, predictions: Mapping[str, str], train: str = "is_train",
+                     keys: Sequence[str] = ("node",), digits: int = 4) -> DataFrame:
+    """One row per model: hold-out n, MAE, RMSE and R², in-sample R², their gap, rank by RMSE.
+
+    Both sides of the split come from one aggregate. A model without hold-out pairs stays, with
+    NULL scores, and ranks last; equal errors rank by name.
+    """
+    pairs = ", ".join(f"'{name}', cast(`{column}` as double)" for name, column in predictions.items())
+    long = df.select(*keys, train, target, F.expr(f"stack({len(predictions)}, {pairs}) as (model, _yhat)"))
+    both = g.accuracy(long, target, "_yhat", [*keys, "model", train])
+    models = long.select(*keys, "model").distinct()
+
+    def at(flag: bool, column: str):
+        return F.max(F.when(F.col(train) == F.lit(flag), F.col(column)))
+
+    scores = both.groupBy(*keys, "model").agg(
+        *[at(False, c).alias(c) for c in ("n", "mae", "rmse", "r2")], at(True, "r2").alias("insample_r2"))
+    order = Window.partitionBy(*keys).orderBy(F.col("rmse").asc_nulls_last(), "model")
+    return (
+        models.join(scores, [*keys, "model"], "left")
+        .withColumn("n", F.coalesce("n", F.lit(0))).withColumn("gap", F.col("r2") - F.col("insample_r2"))
+        .withColumn("rank", F.row_number().over(order))
+        .withColumns({c: F.round(c, digits) for c in ("mae", "rmse", "r2", "insample_r2", "gap")})
+    )
+
+
 def generalisation_gap(in_sample: DataFrame, hold_out_: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hold-out R² minus in-sample R² per model."""
     return (

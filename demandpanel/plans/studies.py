@@ -84,7 +84,7 @@ def site_network(counts: DataFrame, weather: DataFrame, intent: DataFrame, route
 
 
 def report_tables(panel: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables of a report: coefficients with stars, β ranking, key metrics."""
+    """Tables of a report: coefficients with stars, β ranking, key metrics, model comparison."""
     from ..operators import regression as rg
     from ..sources.sinks import metric_rows
 
@@ -92,5 +92,16 @@ def report_tables(panel: DataFrame, features: Sequence[str]) -> dict[str, DataFr
         "coefficients": rg.coefficient_table(panel, "count", features),
         "betas": rg.standardised_betas(panel, "count", features),
         "metrics": metric_rows(rg.effect_size(panel, "count", features), "ols", ["node"]),
+        "models": model_comparison(panel, features),
     }
 
+
+def model_comparison(panel: DataFrame, features: Sequence[str], target: str = "count", digits: int = 4) -> DataFrame:
+    """The simple models beside least squares on one chronological split, one row per node and model."""
+    from ..operators import regression as rg
+
+    rows = ft.mark_split(ft.causal_mean(ft.naive_previous(gm.complete(panel, [target, *features]))))
+    coefs = gm.wide_coefficients(gm.gram(rows.where("is_train"), target, features), features)
+    scored = gm.predict(rows, coefs, features, out="pred_ols")
+    return rg.comparison_table(scored, target, {"naive_lag1": "pred_naive_lag1", "rolling_mean_7": "pred_rolling_mean_7", "ols": "pred_ols"}, digits=digits)
+

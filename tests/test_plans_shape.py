@@ -44,3 +44,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_raw_order_statistics_never_meet_in_one_task(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "SinglePartition" not in text and "percentile(" not in text
+
+
+def test_node_models_read_their_rows_twice(spark):
+    """Once for the Gram row, once for the clipped loss: counts, weather and intent each."""
+    assert plan(QUERIES["node_models"](spark, FOLDER)).count("FileScan parquet") <= 8

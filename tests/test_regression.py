@@ -236,3 +236,37 @@ def test_a_shuffle_permutes_all_rows_of_a_group(spark, cells):
     assert near < 90  # values don't stay near where they were
     again = {(r.i, r._moved) for r in rf.shuffled_values(rows.repartition(7), F.col("x"), F.col("i"), ["g"], cells=cells).collect()}
     assert again == {(r.i, r._moved) for r in got}
+
+
+def test_solutions_hold_all_models_of_a_node_in_one_row(linear):
+    df, _ = linear
+    moments = gm.gram(df, "count", X)
+    models = {"full": X, "small": ["intent"]}
+    wide = {r["node"]: r for r in gm.solutions(moments, X, models).collect()}
+    assert sorted(wide) == ["a", "b"]
+    for r in gm.fit_summary(moments, X, models).collect():
+        assert wide[r["node"]]["n"] == r["n"]
+        assert wide[r["node"]][f"{r['model']}_r2"] == pytest.approx(r["r2"]) and wide[r["node"]][f"{r['model']}_adj_r2"] == pytest.approx(r["adj_r2"])
+    for r in gm.coefficients(moments, X, models).collect():
+        row = wide[r["node"]]
+        assert row[f"{r['model']}_coefs"][r["position"]] == pytest.approx(r["coef"])
+        if r["position"]:
+            assert row[f"{r['model']}_beta_z"][r["position"] - 1] == pytest.approx(r["beta_z"])
+
+
+def test_solutions_of_a_constant_column_have_no_standardised_slope(spark):
+    pdf = frame().assign(precip=3.0)
+    row = gm.solutions(gm.gram(spark.createDataFrame(pdf), "count", X), X, {"full": X, "one": ["intent"]}).first()
+    assert row["full_beta_z"] == [None] * 3 and row["full_coefs"][2] == 0.0 and row["one_beta_z"][0] is not None
+
+
+def test_comparison_table_ranks_models_and_keeps_those_without_pairs(spark):
+    rows = [("a", i < 8, float(i), float(i) + (1 if i < 8 else 2), float(i * i % 7), None) for i in range(12)]
+    df = spark.createDataFrame(rows, "node string, is_train boolean, count double, near double, far double, none double")
+    out = {r["model"]: r for r in rg.comparison_table(df, "count", {"far": "far", "near": "near", "none": "none"}).collect()}
+    assert {m: r["rank"] for m, r in out.items()} == {"near": 1, "far": 2, "none": 3}
+    assert (out["near"]["n"], out["near"]["mae"], out["near"]["rmse"]) == (4, 2.0, 2.0)
+    y = np.arange(12.0)
+    inside, outside = 1 - 1 / y[:8].var(), 1 - 4 / y[8:].var()
+    assert out["near"]["insample_r2"] == round(inside, 4) and out["near"]["r2"] == round(outside, 4) and out["near"]["gap"] == round(outside - inside, 4)
+    assert out["none"]["n"] == 0 and out["none"]["rmse"] is None and out["none"]["gap"] is None
