@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from ..session import staged
 
 
 def tokenise(df: DataFrame, text: str, out: str = "tokens", remove_stops: bool = True) -> DataFrame:
@@ -69,16 +70,27 @@ def _leading_terms(df: DataFrame, size: int, tokens: str) -> tuple[list, int]:
 
 
 def _all_terms_keywords(df: DataFrame, top: int, tokens: str) -> DataFrame:
-    """TF-IDF over every term, as joins: no vocabulary reaches the driver."""
-    totals = _term_totals(df, tokens, True)
-    documents = totals.where("term is null").select(F.col("docs").alias("_n"))
-    n = documents.scalar()
-    idf = totals.where("term is not null").select(
-        "term", (F.log((1 + n) / (1 + F.col("docs"))) + 1).alias("_idf"), n.alias("_n")).where("_n >= 2")
-    held = df.withColumn("_d", F.monotonically_increasing_id()).select("_d", F.explode(tx.term_counts(tx.vector_terms(tokens))).alias("_t"))
-    weighted = held.select("_d", "_t.term", F.col("_t.n").alias("_tf")).join(idf, "term").withColumn("_w", F.col("_tf") * F.col("_idf"))
-    unit = weighted.withColumn("_u", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_d"))))
-    return unit.groupBy("term").agg((F.sum("_u") / F.max("_n")).alias("score")).orderBy(F.col("score").desc(), "term").limit(top)
+    """TF-IDF over every term: no vocabulary reaches the driver.
+
+    Each document is counted once, inside its own row, and staged. A term's score is its idf
+    times the sum of tf / norm, so only the norms need the idf of every (document, term) row;
+    that join ends in one number for each document. The sums of the terms combine before their
+    shuffle. The planner broadcasts the idf table or the norms only where their files are small.
+    """
+    counted = tx.term_counts(tx.vector_terms(tokens))
+    held = staged(df.select(F.monotonically_increasing_id().alias("_d"), counted.alias("_t")).where(F.size("_t") > 0))
+    n = held.count()
+    if n < 2:
+        return df.sparkSession.createDataFrame([], "term string, score double")
+    terms = held.select(F.explode("_t.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_docs"))
+    idf = staged(terms.select("term", (F.log((1 + n) / (1 + F.col("_docs"))) + 1).alias("_idf")))
+    weight = F.col("_p.n") * F.col("_idf")
+    rows = held.select("_d", F.explode("_t").alias("_p"))
+    norms = rows.join(idf, F.col("_p.term") == idf["term"]).groupBy("_d").agg(F.sqrt(F.sum(weight * weight)).alias("_norm"))
+    parts = held.join(norms, "_d").select(F.explode("_t").alias("_p"), "_norm")
+    sums = parts.groupBy(F.col("_p.term").alias("term")).agg(F.sum(F.col("_p.n") / F.col("_norm")).alias("_s"))
+    scored = sums.join(idf, "term").select("term", (F.col("_s") * F.col("_idf") / n).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "term").limit(top)
 
 
 def tfidf_keywords(df: DataFrame, top: int = 25, size: int | None = None, tokens: str = "tokens") -> DataFrame:
