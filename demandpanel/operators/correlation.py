@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tails import chi2_p, correlation_p, ks_p
+from ..session import staged
 from .features import add_shifts
 from .ordered import average_ranks, cumulative
 
@@ -107,7 +108,7 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min
         ranked = pairs.select(*keys, _panel_rank(a, keys).alias("_ra"), _panel_rank(b, keys).alias("_rb"))
         out = ranked.groupBy(*keys).agg(safe_corr("_ra", "_rb").alias("r"), F.count(F.lit(1)).alias("n"))
     else:
-        counted = pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
+        counted = staged(pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w")))
         ranked = (
             counted.join(average_ranks(counted, a, keys, "_ra", weight="_w"), [*keys, a])
             .join(average_ranks(counted, b, keys, "_rb", weight="_w"), [*keys, b])

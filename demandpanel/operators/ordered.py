@@ -2,9 +2,11 @@
 
 ``percentile`` keeps every distinct value of a group in one hash map. That is right for a
 daily panel, wrong for a raw column of billions of prices. Here the distinct values are
-counted first (map-side combine absorbs hot values), spread over value cells, summed inside
-each cell and shifted by the totals of the cells below. A cell is a fixed function of the
-value, so the two branches of the plan agree even if a lost executor makes one run again.
+counted first (map-side combine absorbs hot values), sorted into ranges, summed inside each
+range and shifted by the totals of the ranges below. The ranges come from Spark's range
+partitioning, whose sampled bounds split any distribution evenly: clustered times, long tails,
+a single key. The ranged values are staged with their range, so all branches of a plan agree
+on it even if a lost executor makes one run again, and the raw rows are read once.
 """
 
 from __future__ import annotations
@@ -14,34 +16,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-RESOLUTION = 4096
+from ..session import staged
 
 
-def value_cell(value: Column, resolution: int = RESOLUTION) -> Column:
-    """Order-preserving cell number: ``resolution`` cells per doubling of the magnitude.
+def ranged(counted: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """``counted`` and ``_cell``, the number of the row's range in (keys, value) order; staged.
 
-    Never NULL, so that joins on it infer no extra filter and both sides keep one shared scan.
+    ``counted`` holds each (keys, value) once, so a hot value is one row and never fills a range.
+    A key spans one range or several neighbouring ones.
     """
-    cell = F.floor(
-        F.signum(value.cast("double"))
-        * F.log2(F.abs(value.cast("double")) * 1e6 + 1.0)
-        * resolution
-    )
-    return F.coalesce(cell, F.lit(0))
+    return staged(counted.repartitionByRange(*keys, value).withColumn("_cell", F.spark_partition_id()))
 
 
-def cumulative(
-    counted: DataFrame,
-    value: str,
-    measures: Sequence[str],
-    keys: Sequence[str],
-    resolution: int = RESOLUTION,
-) -> DataFrame:
-    """Running totals ``cum_<m>`` and ``total_<m>`` in value order, per key.
-
-    ``counted`` holds each (keys, value) once.
-    """
-    cells = counted.withColumn("_cell", value_cell(F.col(value), resolution))
+def running_totals(cells: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Running totals ``cum_<m>`` and ``total_<m>`` in value order, per key, of a ranged frame."""
     in_cell = Window.partitionBy(*keys, "_cell").orderBy(value)
     running = cells.withColumns({f"_run_{m}": F.sum(m).over(in_cell) for m in measures})
     per_cell = cells.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
@@ -54,12 +42,20 @@ def cumulative(
         *[F.sum(f"_sum_{m}").over(everything).alias(f"total_{m}") for m in measures],
     )
     return running.join(offsets, [*keys, "_cell"]).select(
-        *counted.columns,
+        *[c for c in cells.columns if c != "_cell"],
         *[(F.col(f"_off_{m}") + F.col(f"_run_{m}")).alias(f"cum_{m}") for m in measures],
         *[f"total_{m}" for m in measures],
     )
 
 
+def cumulative(counted: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Running totals ``cum_<m>`` and ``total_<m>`` in value order, per key.
+
+    ``counted`` holds each (keys, value) once.
+    """
+    return running_totals(ranged(counted, value, keys), value, measures, keys)
+
+
 def value_counts(df: DataFrame, value: str, keys: Sequence[str], n: str = "n",
                  weight: str | None = None) -> DataFrame:
     """Each (keys, value) once with its rows, or with the sum of ``weight``; NaN is missing.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.values import number
 from ..session import staged
 from .correlation import ks_two_sample, with_ks_p
-from .ordered import cumulative, interpolated, value_counts
+from .ordered import interpolated, ranged, running_totals, value_counts
 from .panel import date_gaps
 
 PROFILE = ("mean", "std", "min", "max", "q25", "q75")
@@ -42,12 +42,13 @@ def profile_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     """Per column: rows, missing, share, moments, quartiles and two outlier counts.
 
     Moments come from one scan with partial aggregation; quartiles and outliers from the
-    distinct values with their counts. All-missing columns report NULLs.
+    distinct values with their counts, which few staged groups join by a broadcast. All-missing
+    columns report NULLs.
     """
     groups = [*keys, "column"]
     long = melt(df, columns, keys)
-    present = value_counts(long, "value", groups)
-    ranked = cumulative(present, "value", ["n"], groups)
+    present = ranged(value_counts(long, "value", groups), "value", groups)
+    ranked = running_totals(present, "value", ["n"], groups)
     x, n = F.col("value"), F.col("n")
     basic = long.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(x.isNull()).alias("n_missing"),
@@ -56,7 +57,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     )
     quartiles = ranked.groupBy(*groups).agg(
         interpolated("value", 0.25).alias("q25"), interpolated("value", 0.75).alias("q75"))
-    stats = basic.join(quartiles, groups, "left")
+    stats = staged(basic.join(quartiles, groups, "left"))
     iqr = F.col("q75") - F.col("q25")
     beyond = (x < F.col("q25") - 1.5 * iqr) | (x > F.col("q75") + 1.5 * iqr)
     far = (F.col("std") > 0) & (F.abs(x - F.col("mean")) > z_limit * F.col("std"))
@@ -77,23 +78,24 @@ def drift(df: DataFrame, date: str, columns: Sequence[str], keys: Sequence[str]
           min_rows: int = 30, min_block: int = 10) -> DataFrame:
     """Kolmogorov–Smirnov distance between neighbouring blocks of observed months.
 
-    Rows shrink to (column, month, value, n) first. Observed months, not calendar months, are
-    numbered in order and cut into blocks; each block counts once as the later and once as
-    the earlier side of a pair, so there is no self-join.
+    Rows shrink to (column, month, value, n) first, staged: raw rows are read once. Observed
+    months, not calendar months, are numbered in order and cut into blocks; each block counts
+    once as the later and once as the earlier side of a pair, so there is no self-join. Months
+    and moments are staged too, so that few of them are broadcast and no values move for them.
     """
     groups = [*keys, "column"]
     month = F.trunc(F.col(date).cast("date"), "MM")
-    counted = (
+    counted = staged(
         melt(df.withColumn("_month", month).where("_month is not null"), columns, [*keys, "_month"])
         .where("value is not null").groupBy(*groups, "_month", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     months = counted.groupBy(*groups, "_month").agg(F.sum("n").alias("_rows"))
     order, whole = Window.partitionBy(*groups).orderBy("_month"), Window.partitionBy(*groups)
-    numbered = months.select(
+    numbered = staged(months.select(
         *groups, "_month",
         F.floor((F.row_number().over(order) - 1) / window_months).alias("block"),
         F.sum("_rows").over(whole).alias("_all"),
-    ).where(F.col("_all") >= min_rows).drop("_all")
+    ).where(F.col("_all") >= min_rows).drop("_all"))
     rows = counted.join(numbered, [*groups, "_month"])
     both = rows.select(*groups, "_month", "value", "n", F.explode(F.array(
         F.struct(F.col("block").alias("pair"), F.lit(True).alias("is_a")),
@@ -115,7 +117,7 @@ def drift(df: DataFrame, date: str, columns: Sequence[str], keys: Sequence[str]
             mean.alias(f"mean_{tag}"),
         ]
 
-    moments = both.groupBy(*pair).agg(*side(a, "a"), *side(~a, "b"))
+    moments = staged(both.groupBy(*pair).agg(*side(a, "a"), *side(~a, "b")))
     spread = sides.join(moments.select(*pair, "mean_a", "mean_b"), pair).groupBy(*pair).agg(*[
         F.sqrt(F.sum(F.col(f"n_{t}") * F.pow(x - F.col(f"mean_{t}"), F.lit(2))) / F.nullif(F.sum(f"n_{t}"), F.lit(0)))
         .alias(f"std_{t}") for t in ("a", "b")

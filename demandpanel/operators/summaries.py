@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import cumulative, interpolated, value_counts
+from ..session import staged
+from .ordered import interpolated, ranged, running_totals, value_counts
 
 
 def group_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str], digits: int | None = None) -> DataFrame:
@@ -44,13 +45,14 @@ def score_brackets(df: DataFrame, score: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (), label: str | None = None) -> DataFrame:
     """Equal-width bins from minimum to maximum; the maximum belongs to the last bin.
 
-    The range is one small aggregate, broadcast by the planner if it is small.
+    The ranges are staged, so the planner knows their size: those of few keys are broadcast and
+    no raw row moves; only so many keys that none holds a large share are joined by a shuffle.
     """
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull())
     groups = [*keys, *([label] if label else [])]
     if keys:
-        span = rows.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        span = staged(rows.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
         rows = rows.join(span, list(keys))
     else:
         span = rows.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
@@ -66,15 +68,16 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (), la
 def box_numbers(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5·IQR and outlier count of a raw column, exact at any size.
 
-    Works on distinct values with their counts, so the second pass reads the reduced table.
+    Works on distinct values with their counts, so the second pass reads the reduced table; the
+    staged quartiles of few keys are broadcast, and the values stay where they are.
     """
-    ranked = cumulative(value_counts(df, value, keys), value, ["n"], keys)
-    quartiles = ranked.groupBy(*keys).agg(
-        *[interpolated(value, p).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    cells = ranged(value_counts(df, value, keys), value, keys)
+    quartiles = staged(running_totals(cells, value, ["n"], keys).groupBy(*keys).agg(
+        *[interpolated(value, p).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]))
     iqr = F.col("q3") - F.col("q1")
     x = F.col(value)
     inside = x.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return ranked.select(*keys, value, "n").join(quartiles, list(keys)).groupBy(*keys).agg(
+    return cells.select(*keys, value, "n").join(quartiles, list(keys)).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.min("q1").alias("q1"), F.min("median").alias("median"), F.min("q3").alias("q3"),
         F.min(F.when(inside, x)).alias("low_whisker"), F.max(F.when(inside, x)).alias("high_whisker"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),

@@ -102,11 +102,31 @@ def test_distributed_quantiles_match_percentile(spark):
         assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-9)
 
 
-def test_value_cells_keep_order(spark):
-    xs = [-1e300, -5.0, -1e-9, 0.0, 1e-9, 0.01, 3.0, 3.0001, 1e9, 1e300]
-    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", od.value_cell(F.col("x")).alias("c"))
-    cells = [r.c for r in df.orderBy("x").collect()]
-    assert cells == sorted(cells) and len(set(cells)) >= 7
+def test_ranges_split_any_distribution_evenly_and_keep_order(spark):
+    """Milliseconds of one hour between two far outliers, and a constant key of many rows."""
+    hour = spark.range(40000).select(F.lit("time").alias("k"), (F.lit(1.7e12) + F.col("id") * 90).alias("x"))
+    df = hour.unionByName(spark.createDataFrame([("time", -1e300), ("time", 1e300)], "k string, x double")).unionByName(
+        spark.range(30000).select(F.lit("flat").alias("k"), F.lit(3.0).alias("x")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = od.ranged(od.value_counts(df, "x", ["k"]), "x", ["k"]).persist()
+        spans = cells.groupBy("k", "_cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k", "_cell").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.n for r in spans) == 40003 and [r.n for r in spans if r.k == "flat"] == [1]
+    time = [r for r in spans if r.k == "time"]
+    assert len(time) == 4 and max(r.n for r in time) < 2 * 10000
+    assert all(a.hi < b.lo for a, b in zip(time, time[1:]))
+    last = od.running_totals(cells, "x", ["n"], ["k"]).where("k = 'time'").orderBy("x").select("cum_n", "total_n").collect()
+    assert [r.cum_n for r in last] == list(range(1, 40003)) and {r.total_n for r in last} == {40002}
+
+
+def test_histogram_moves_no_raw_row(spark):
+    df = spark.createDataFrame([("a", float(i % 10)) for i in range(100)] + [("b", None), (None, 3.0)], "k string, x double")
+    h = sm.histogram(df, "x", 5, ["k"])
+    assert sorted((r.k, r.bin, r.n) for r in h.collect()) == [("a", i, 20) for i in range(1, 6)]
+    text = h._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
 def test_hot_value_is_combined_before_the_shuffle(spark):
