@@ -8,8 +8,7 @@ variance inflation, any feature subset — is solved from that one small row per
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from typing import Any
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,8 +21,8 @@ def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-# Up to this many columns the moments are built-in aggregates; wider designs, whose plan would
-# grow with the square of the width, take the Arrow path.
+# Up to this many columns the moments are aggregates of one pass without any expansion; the plan of
+# wider designs would grow with the square of the width, so their pairs become rows.
 WIDE = 8
 
 
@@ -31,9 +30,9 @@ def gram(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str
     """keys, n, mean ARRAY, cov ARRAY (row-wise upper triangle over features, then target)."""
     names = [*features, target]
     rows = complete(df, names)
-    if len(names) > WIDE:
-        return gram_of_array(rows.withColumn("_x", F.array(*[F.col(c).cast("double") for c in names])), "_x", len(names), keys)
     x = [F.col(c).cast("double") for c in names]
+    if len(names) > WIDE:
+        return gram_of_array(rows.withColumn("_x", F.array(*x)), "_x", len(names), keys)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)]
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
@@ -47,55 +46,24 @@ def gram(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str
     )
 
 
-def _merge(a, b):
-    """Moments (n, mean, scatter) of two disjoint sets of rows as one."""
-    if a is None:
-        return b
-    n = a[0] + b[0]
-    gap = b[1] - a[1]
-    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
-
-
 def gram_of_array(rows: DataFrame, column: str, width: int, keys: Sequence[str] = ("node",)) -> DataFrame:
     """:func:`gram` of an ARRAY column (features, then target) without missing entries.
 
-    Each task reduces its batches to one scatter matrix per key; the few matrices of a key are then
-    merged one by one, so no task ever holds the rows of a group.
+    Each row gives its pairs of entries, and one covariance is taken for each pair: the plan is
+    the same for any width, and partial aggregation leaves one row for each pair and key of a
+    task. The pairs of a key are put together to one row at the end.
     """
-    keys = list(keys)
-    upper = np.triu_indices(width)
-    key_fields = [rows.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField("n", T.LongType()),
-                           T.StructField("mean", T.ArrayType(T.DoubleType())),
-                           T.StructField("cov", T.ArrayType(T.DoubleType()))])
-
-    def frame(held: dict) -> pd.DataFrame:
-        return pd.DataFrame(
-            [[*key, m[0], m[1].tolist(), m[2][upper].tolist()] for key, m in held.items()], columns=schema.names)
-
-    def reduce_batches(batches):
-        held: dict = {}
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                x = np.array(part[column].tolist(), dtype=float)
-                mean = x.mean(axis=0)
-                centred = x - mean
-                held[key] = _merge(held.get(key), (len(x), mean, centred.T @ centred))
-            if len(held) > 4096:
-                yield frame(held)
-                held = {}
-        yield frame(held)
-
-    def merge_parts(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for part in parts:
-            for row in part.to_dict("records"):
-                mean, scatter = unpack(row["mean"], row["cov"])
-                total = _merge(total, (int(row["n"]), mean, scatter))
-        out = (total[0], total[1], total[2] / total[0])
-        yield frame({key: out})
-
-    return rows.select(*keys, column).mapInPandas(reduce_batches, schema).groupBy(*keys).applyInPandas(merge_parts, schema)
+    lines = rows.select(*keys, F.posexplode(column).alias("_i", "_v"), column)
+    after = F.slice(column, F.col("_i") + 1, F.lit(width) - F.col("_i"))
+    pairs = lines.select(*keys, "_i", "_v", F.posexplode(after).alias("_j", "_w"))
+    moments = pairs.groupBy(*keys, "_i", "_j").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_v").alias("m"), F.covar_pop("_v", "_w").alias("c"))
+    whole = moments.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("_j") == 0, F.struct("_i", "m")))).alias("_means"),
+        F.sort_array(F.collect_list(F.struct("_i", "_j", "c"))).alias("_pairs"),
+    )
+    return whole.select(*keys, "n", F.col("_means.m").alias("mean"), F.col("_pairs.c").alias("cov"))
 
 
 def unpack(row_mean, row_cov) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,18 @@ def test_wide_path_equals_narrow(linear, monkeypatch):
     assert wide.n.tolist() == narrow.n.tolist()
     for c in ("mean", "cov"):
         assert np.allclose(np.stack(wide[c].map(np.asarray)), np.stack(narrow[c].map(np.asarray)), rtol=1e-9, atol=1e-9)
+    plan = gm.gram(df, "count", X)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "FlatMapGroups" not in plan
+
+
+def test_wide_moments_of_twenty_columns_and_a_missing_key(spark):
+    x = np.random.default_rng(5).normal(50, 3, (300, 20))
+    df = spark.createDataFrame([(None if i % 3 == 0 else "a", *map(float, r)) for i, r in enumerate(x)],
+                               "node string, " + ", ".join(f"c{i} double" for i in range(20)))
+    got = {r.node: r for r in gm.gram(df.repartition(4), "c19", [f"c{i}" for i in range(19)]).collect()}
+    for node, part in ((None, x[::3]), ("a", np.delete(x, np.s_[::3], axis=0))):
+        mean, cov = gm.unpack(got[node]["mean"], got[node]["cov"])
+        assert got[node]["n"] == len(part) and np.allclose(mean, part.mean(axis=0)) and np.allclose(cov, np.cov(part.T, bias=True))
 
 
 def test_moments_do_not_cancel(spark):
