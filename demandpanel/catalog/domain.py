@@ -169,7 +169,7 @@ def crowding_bins(spark, folder):
 @register("crowding_correlation", with_("survey", "counts", body=f"""WITH {_CROWD.format(grain='day')}, pairs AS (SELECT 'satisfaction' AS measure, count AS x, mean_satisfaction AS y FROM crowd WHERE mean_satisfaction IS NOT NULL
     UNION ALL SELECT 'nps', count, coalesce(mean_nps, mean_satisfaction) FROM crowd WHERE mean_satisfaction IS NOT NULL), """
           + RANKED.format(keys="measure,", part="PARTITION BY measure", a="x", b="y", rel="SELECT * FROM pairs")
-          + f" SELECT measure, {q6('corr(ra, rb)')} AS r, count(*) AS n FROM ranked GROUP BY 1 HAVING count(*) > 3"))
+          + f" SELECT measure, CASE WHEN count(*) > 3 THEN {q6('corr(ra, rb)')} END AS r, count(*) AS n FROM ranked GROUP BY 1"))
 def crowding_correlation(spark, folder):
     return rounded(sa.crowding_correlation(_crowd(spark, folder)))
 

@@ -226,8 +226,8 @@ def _season_sql() -> str:
         FROM node_panel WHERE temp IS NOT NULL AND precip IS NOT NULL AND wind IS NOT NULL AND directions IS NOT NULL)"""
     rows = "SELECT * FROM seasonal WHERE season IS NOT NULL"
     return ("WITH " + rel + ", " + least_squares(rows, "count", FOUR, ["node", "season"]) + ", " + least_squares(rows, "count", ["directions"], ["node", "season"], "0")
-            + f""", lift AS (SELECT node, coalesce(max(fit.r2 - fit0.r2) FILTER (season = 'summer'), 0) AS s, coalesce(max(fit.r2 - fit0.r2) FILTER (season = 'winter'), 0) AS w
-            FROM fit JOIN fit0 USING (node, season) WHERE fit.n >= 15 GROUP BY 1)
+            + f""", lift AS (SELECT node, coalesce(max(fit.r2 - fit0.r2) FILTER (season = 'summer' AND fit.n >= 15), 0) AS s, coalesce(max(fit.r2 - fit0.r2) FILTER (season = 'winter' AND fit.n >= 15), 0) AS w
+            FROM fit JOIN fit0 USING (node, season) GROUP BY 1)
             SELECT node, {q6('s')} AS summer_lift, {q6('w')} AS winter_lift, {q6("CASE WHEN s > 0 THEN w / s ELSE 'infinity'::DOUBLE END")} AS ratio FROM lift""")
 
 

@@ -30,7 +30,7 @@ def ccf_sql(rel: str, lead: str, target: str, lags: list[int], min_rows: int, ke
     rows = " UNION ALL ".join(
         f"SELECT {keys}, CAST({k} AS BIGINT) AS lag, corr(s{i}, {target}) AS r, count(s{i}) FILTER ({target} IS NOT NULL) AS n FROM shifted GROUP BY {keys}"
         for i, k in enumerate(lags))
-    return f"shifted AS MATERIALIZED (SELECT *, {shifted} FROM {rel}), ccf AS (SELECT * FROM ({rows}) WHERE n > {min_rows})"
+    return f"shifted AS MATERIALIZED (SELECT *, {shifted} FROM {rel}), ccf AS (SELECT * REPLACE (CASE WHEN n > {min_rows} THEN r END AS r) FROM ({rows}))"
 
 
 _PAIR_COLS = ("count", "directions", "temp", "precip", "sun", "wind", "snow_depth")
@@ -180,7 +180,7 @@ def _two_by_two(spark, folder):
 
 
 @register("proxy_check", with_("survey", "node_counts", body=f"""WITH v AS (SELECT date, count(*) AS survey_count FROM survey GROUP BY 1)
-    SELECT node, {q6('corr(count, survey_count)')} AS r, count(*) AS n FROM node_counts JOIN v USING (date) GROUP BY 1 HAVING count(*) >= 30"""))
+    SELECT node, CASE WHEN count(*) >= 30 THEN {q6('corr(count, survey_count)')} END AS r, count(*) AS n FROM node_counts JOIN v USING (date) GROUP BY 1"""))
 def proxy_check(spark, folder):
     volume = st.survey(spark, folder).groupBy("date").agg(F.count(F.lit(1)).alias("survey_count"))
     return rounded(nd.proxy_check(st.node_counts(spark, folder), volume, "survey_count"))

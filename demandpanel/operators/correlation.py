@@ -38,6 +38,11 @@ def _long(df: DataFrame, keys: Sequence[str], rows: dict[str, tuple], names: str
     return wide.select(*keys, F.expr(f"stack({len(rows)}, {', '.join(parts)}) as ({names})"))
 
 
+def _floored(df: DataFrame, enough: Column) -> DataFrame:
+    """r is NULL where there are too few rows; n stays and tells why."""
+    return df.withColumn("r", F.when(enough, F.col("r")))
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("node",),
                   against: str | None = None) -> DataFrame:
     """Pearson r and n of every pair (or of every column with ``against``), pairwise complete."""
@@ -48,8 +53,8 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
 
 
 def pearson_test(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min_rows: int = 3) -> DataFrame:
-    out = df.groupBy(*keys).agg(safe_corr(a, b).alias("r"), pair_count(a, b).alias("n"))
-    out = out.where(F.col("n") >= min_rows)
+    """Pearson r, n and p per key; r and p are NULL under ``min_rows`` pairs."""
+    out = _floored(df.groupBy(*keys).agg(safe_corr(a, b).alias("r"), pair_count(a, b).alias("n")), F.col("n") >= min_rows)
     return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
@@ -66,11 +71,11 @@ def lag_by_flag(df: DataFrame, target: str, lagged: str, flag: str, keys: Sequen
 
 def cross_correlation(df: DataFrame, lead: str, target: str, lags: Sequence[int] = CCF_LAGS,
                       keys: Sequence[str] = ("node",), min_rows: int = 10) -> DataFrame:
-    """r and n per lag, kept where n > ``min_rows``; negative lags look ahead."""
+    """r and n per lag, r NULL unless n > ``min_rows``; negative lags look ahead."""
     lags = list(lags)
     shifted = add_shifts(df, lead, lags, keys)
     rows = {str(k): (safe_corr(f"`{lead}_s{k}`", target), pair_count(f"`{lead}_s{k}`", target)) for k in lags}
-    return _long(shifted, keys, rows, "lag, r, n").where(F.col("n") > min_rows)
+    return _floored(_long(shifted, keys, rows, "lag, r, n"), F.col("n") > min_rows)
 
 
 def best_lag(profile: DataFrame, keys: Sequence[str] = ("node",), by: str = "abs") -> DataFrame:
@@ -95,7 +100,7 @@ def _panel_rank(value: str, keys: Sequence[str]) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min_rows: int = 3,
              panel: bool = True) -> DataFrame:
-    """Spearman r and n per key, ties sharing their mean rank.
+    """Spearman r and n per key, ties sharing their mean rank; r is NULL under ``min_rows`` pairs.
 
     ``panel`` ranks by window and suits frames of at most one row per day and node. For raw
     rows pass ``panel=False``: pairs are counted first and ranks come from the distributed
@@ -121,7 +126,7 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("node",), min
         centre = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
         spread = F.sqrt((F.col("_xx") - centre) * (F.col("_yy") - centre))
         out = out.select(*keys, ((F.col("_xy") - centre) / F.nullif(spread, F.lit(0.0))).alias("r"), "n")
-    return out.where(F.col("n") >= min_rows)
+    return _floored(out, F.col("n") >= min_rows)
 
 
 def with_p(df: DataFrame) -> DataFrame:

@@ -144,10 +144,10 @@ def pipeline_lags(panel: DataFrame, source_daily: DataFrame, lead: str, min_rows
 
 def proxy_check(counts: DataFrame, survey_daily: DataFrame, column: str, min_rows: int = 30,
                 keys: Sequence[str] = ("node",)) -> DataFrame:
-    """Pearson r of counts and survey volume where enough days meet."""
+    """Pearson r of counts and survey volume, NULL unless enough days meet."""
     joined = counts.join(survey_daily, "date").dropna(subset=["count", column])
-    return joined.groupBy(*keys).agg(
-        safe_corr("count", column).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    n = F.count(F.lit(1))
+    return joined.groupBy(*keys).agg(F.when(n >= min_rows, safe_corr("count", column)).alias("r"), n.alias("n"))
 
 
 def station_divergence(daily: DataFrame, value: str = "temp", threshold: float = 5.0) -> DataFrame:

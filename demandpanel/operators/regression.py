@@ -269,18 +269,22 @@ def _lag_chooser(keys: Sequence[str]):
 
 def seasonal_sensitivity(df: DataFrame, target: str, features: Sequence[str],
                          keys: Sequence[str] = ("node",), min_rows: int = 15) -> DataFrame:
-    """R² lift of weather in summer and winter, and their ratio (infinite if summer ≤ 0)."""
+    """R² lift of weather in summer and winter, and their ratio (infinite if summer ≤ 0).
+
+    A season of fewer than ``min_rows`` days lifts nothing; its key keeps its row.
+    """
     m = F.month("date")
     seasonal = df.withColumn("_season", F.when(m.isin(*SUMMER), "summer").when(m.isin(*WINTER), "winter"))
     models = {"full": list(features), "no_weather": weather_free(features)}
     fits = g.fit_summary(
         g.gram(seasonal.where("_season is not null"), target, features, [*keys, "_season"]),
         features, models, [*keys, "_season"],
-    ).where(F.col("n") >= min_rows)
+    )
 
     def lift(season):
         def r2(model):
-            return F.max(F.when((F.col("model") == model) & (F.col("_season") == season), F.col("r2")))
+            known = (F.col("n") >= min_rows) & (F.col("model") == model) & (F.col("_season") == season)
+            return F.max(F.when(known, F.col("r2")))
         return F.coalesce(r2("full") - r2("no_weather"), F.lit(0.0))
 
     return fits.groupBy(*keys).agg(

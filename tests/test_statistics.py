@@ -41,7 +41,18 @@ def test_cross_correlation_finds_the_lead(spark):
     prof = co.cross_correlation(spark.createDataFrame(pdf), "lead", "count")
     best = co.best_lag(prof).first()
     assert best.lag == 2 and best.r > 0.9 and prof.count() == 11
-    assert co.cross_correlation(spark.createDataFrame(pdf[:10]), "lead", "count").count() == 0
+    short = co.cross_correlation(spark.createDataFrame(pdf[:10]), "lead", "count")
+    assert sorted((q.lag, q.r, q.n) for q in short.collect()) == [(k, None, 10 - abs(k)) for k in range(-3, 8)]
+    assert co.best_lag(short).count() == 0
+
+
+def test_too_few_rows_give_null_with_their_number(spark):
+    df = spark.createDataFrame([("a", float(i), float(i * i)) for i in range(5)] + [("b", 1.0, 2.0), ("b", 2.0, 5.0), ("c", None, 1.0)],
+                               "node string, x double, y double")
+    for out in (co.pearson_test(df, "x", "y"), co.spearman(df, "x", "y"), co.spearman(df, "x", "y", panel=False)):
+        got = {q.node: q for q in out.collect()}
+        assert got["a"].r > 0.9 and got["a"].n == 5 and got["b"].r is None and got["b"].n == 2
+    assert {q.node: (q.r, q.n, q.p) for q in co.pearson_test(df, "x", "y").collect()}["c"] == (None, 0, None)
 
 
 def test_best_lag_rules(spark):
