@@ -121,6 +121,14 @@ def test_ranges_split_any_distribution_evenly_and_keep_order(spark):
     assert [r.cum_n for r in last] == list(range(1, 40003)) and {r.total_n for r in last} == {40002}
 
 
+def test_empty_tables_give_empty_statistics(spark):
+    from demandpanel.operators import correlation as co, gram as gm
+    none = spark.createDataFrame([], "k string, x double, y double")
+    assert od.quantiles(none, "x", {"m": 0.5}, ["k"]).count() == 0 and sm.box_numbers(none, "x", ["k"]).count() == 0
+    assert sm.histogram(none, "x", 5, ["k"]).count() == 0 and co.spearman(none, "x", "y", ["k"], panel=False).count() == 0
+    assert gm.gram_of_array(none.select("k", F.array("x", "y").alias("v")), "v", 2, ["k"]).count() == 0
+
+
 def test_histogram_moves_no_raw_row(spark):
     df = spark.createDataFrame([("a", float(i % 10)) for i in range(100)] + [("b", None), (None, 3.0)], "k string, x double")
     h = sm.histogram(df, "x", 5, ["k"])
