@@ -86,7 +86,8 @@ def _all_terms_keywords(df: DataFrame, top: int, tokens: str) -> DataFrame:
     idf = staged(terms.select("term", (F.log((1 + n) / (1 + F.col("_docs"))) + 1).alias("_idf")))
     weight = F.col("_p.n") * F.col("_idf")
     rows = held.select("_d", F.explode("_t").alias("_p"))
-    norms = rows.join(idf, F.col("_p.term") == idf["term"]).groupBy("_d").agg(F.sqrt(F.sum(weight * weight)).alias("_norm"))
+    squares = rows.join(idf, F.col("_p.term") == idf["term"]).groupBy("_d").agg(F.sum(weight * weight).alias("_s"))
+    norms = staged(squares.select("_d", F.sqrt("_s").alias("_norm")))
     parts = held.join(norms, "_d").select(F.explode("_t").alias("_p"), "_norm")
     sums = parts.groupBy(F.col("_p.term").alias("term")).agg(F.sum(F.col("_p.n") / F.col("_norm")).alias("_s"))
     scored = sums.join(idf, "term").select("term", (F.col("_s") * F.col("_idf") / n).alias("score"))
