@@ -129,20 +129,25 @@ def topics(df: DataFrame, k: int = 5, top_words: int = 8, size: int = 500, seed:
            iterations: int = 20, tokens: str = "tokens") -> tuple[DataFrame, DataFrame | None]:
     """Online LDA: (topic words and weights, dominant-topic counts).
 
-    Too few documents (< max(k, 5)) or terms (< k) give an empty first frame.
+    Texts are tokenised once: their terms are staged, counted for the vocabulary and turned into
+    sparse vectors. These are staged too, a few hundredths of the texts; the fit keeps them in
+    memory, every iteration reads every document, and the counts read the vectors again. Too few
+    documents (< max(k, 5)) or terms (< k) give an empty first frame.
     """
     spark = df.sparkSession
     schema = "topic int, words array<string>, weight double"
-    terms, n = _leading_terms(df, size, tokens)
-    names = [r["term"] for r in terms]
-    if n < max(k, 5) or len(names) < k:
+    # The filter follows the files: before them it would tokenise each text once more.
+    held = staged(df.select(tx.vector_terms(tokens).alias("_terms"), F.size(tokens).alias("_size")))
+    docs = held.where("_size > 0").select("_terms")
+    leading = term_frequencies(docs, "_terms").orderBy(F.col("n").desc(), "term").limit(size).collect()
+    names = [r["term"] for r in leading]
+    if len(names) < k or docs.limit(max(k, 5)).count() < max(k, 5):
         return spark.createDataFrame([], schema), None
-    docs = df.where(F.size(tokens) > 0).select(tx.vector_terms(tokens).alias("_terms"))
-    vectors = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="features").transform(docs)
-    # Every iteration reads every document; the vectors are kept while it does.
-    kept = vectors.persist()
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(kept)
-    kept.unpersist()
+    vectors = staged(CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="features").transform(docs).select("features"))
+    # A large row group leaves one file and the reader packs small ones into few tasks; the fit needs all cores.
+    tasks = max(len(vectors.inputFiles()), min(4 * spark.sparkContext.defaultParallelism, vectors.count() // 1024))
+    spread = vectors.repartition(tasks)
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(spread)
     labels = F.array(*[F.lit(w) for w in names])
     words = model.describeTopics(top_words).select(
         "topic", F.transform("termIndices", lambda i: F.get(labels, i)).alias("words"),

@@ -55,6 +55,27 @@ def test_topics_structure(spark):
     assert tm.topics(tm.tokenise(df.limit(3), "t"), k=2)[0].count() == 0
 
 
+def test_topics_tokenise_each_text_once_and_fit_on_all_cores(spark):
+    from pyspark.sql import functions as F
+    read = spark.sparkContext.accumulator(0)
+
+    def words(i):
+        read.add(1)
+        return ["crab", "sea", "boat", "fish"] if i % 2 else ["castle", "temple", "garden", "moss"]
+
+    tokens = F.udf(words, "array<string>").asNondeterministic()
+    df = spark.range(6000, numPartitions=1).select("id", tokens("id").alias("tokens"))
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("topics", "topics")
+    try:
+        found, counts = tm.topics(df, k=2, top_words=4, iterations=2)
+        assert found.count() == 2 and sum(r.docs for r in counts.collect()) == 6000
+        widest = max(info.numTasks for job in stages.getJobIdsForGroup("topics") for stage in stages.getJobInfo(job).stageIds if (info := stages.getStageInfo(stage)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert read.value == 6000 and widest >= 5
+
+
 def test_sentiment_stays_with_its_row(spark, rows):
     df = spark.createDataFrame([(1, "x", "excellent view"), (2, "y", None), (3, "y", "terrible")], "id int, pref string, t string")
     assert rows(tm.with_sentiment(df, "t").select("id", "label"), "id") == [(1, "Positive"), (2, "Neutral"), (3, "Negative")]
