@@ -173,12 +173,13 @@ def redact_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def full_analysis(df: DataFrame, text: str, k: int = 5) -> dict[str, DataFrame]:
-    """All corpus results, each its own query; a caller that runs many may persist ``df``."""
-    docs = tokenise(df.where(F.col(text).isNotNull()), text)
+    """All corpus results, each its own query. Texts are tokenised once: all but the sentiment reads their staged tokens."""
+    whole = df.where(F.col(text).isNotNull())
+    docs = staged(tokenise(whole, text).select("tokens"))
     words, counts = topics(docs, k)
     return {
         "keywords": tfidf_keywords(docs), "topics": words, "topic_counts": counts,
-        "sentiment": with_sentiment(docs, text), "bigrams": ngram_counts(docs, 2),
+        "sentiment": with_sentiment(tokenise(whole, text), text), "bigrams": ngram_counts(docs, 2),
         "trigrams": ngram_counts(docs, 3), "wordcloud": word_weights(docs),
         "doc_count": docs.agg(F.count(F.lit(1)).alias("docs")),
     }

@@ -76,6 +76,24 @@ def test_topics_tokenise_each_text_once_and_fit_on_all_cores(spark):
     assert read.value == 6000 and widest >= 5
 
 
+def test_full_analysis_tokenises_each_text_once(spark):
+    from pyspark.sql import functions as F
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return ["crab sea boat fish", "castle temple garden moss", None][i % 3]
+
+    df = spark.range(300).select("id", F.udf(text, "string").asNondeterministic()("id").alias("t"))
+    parts = tm.full_analysis(df, "t", k=2)
+    got = {name: parts[name].count() for name in ("keywords", "topics", "bigrams", "trigrams", "wordcloud")}
+    assert got == {"keywords": 8, "topics": 2, "bigrams": 6, "trigrams": 4, "wordcloud": 8}
+    assert parts["doc_count"].first().docs == 200 and sum(r.docs for r in parts["topic_counts"].collect()) == 200
+    assert read.value == 300
+    sentiment = parts["sentiment"]
+    assert sentiment.count() == 200 and {"id", "t", "tokens", "polarity", "label"} <= set(sentiment.columns)
+
+
 def test_sentiment_stays_with_its_row(spark, rows):
     df = spark.createDataFrame([(1, "x", "excellent view"), (2, "y", None), (3, "y", "terrible")], "id int, pref string, t string")
     assert rows(tm.with_sentiment(df, "t").select("id", "label"), "id") == [(1, "Positive"), (2, "Neutral"), (3, "Negative")]
