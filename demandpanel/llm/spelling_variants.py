@@ -14,6 +14,9 @@ beginning, isn't paired out: its words also get the word with each one code poin
 left out, with its place, as part of the key. Equal keys are then near words already,
 so no more pairs are made than there are near ones.
 
+Every join sorts and merges: the planner sizes exploded rows as the words before them
+and staged rows by their compressed files, and would broadcast more than the driver holds.
+
 Every word takes the form of its most frequent near word that is FACTOR times as
 frequent; forms are followed to the last by doubling their length each step, and as
 each step multiplies the count by FACTOR at least, there is no circle.
@@ -90,6 +93,11 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counts.filter(F.col("n") >= LEAST_COUNT).withColumn("length", F.length("word"))
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of both by sort and merge, no side broadcast whatever the planner takes its size for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _gram(word: Column, at: Column, size: Column) -> Column:
     return F.xxhash64(F.substring(word, at + 1, size))
 
@@ -144,19 +152,19 @@ def one_edit(a: Column, b: Column) -> Column:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), once in each order, of all words (word, n, length) that are one edit apart."""
     chunks, grams = chunk_rows(words), gram_rows(words)
-    met = chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("c")).join(grams.groupBy(KEY).agg(F.count(F.lit(1)).alias("g")), KEY)
+    met = _merged(chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("c")), grams.groupBy(KEY).agg(F.count(F.lit(1)).alias("g")), KEY)
     met = staged(met.withColumn("crowded", F.greatest("c", "g") > CROWD).select(*KEY, "crowded"))
     few, many = met.filter("NOT crowded").select(KEY), met.filter("crowded").select(KEY)
     alike = one_edit(F.col("a"), F.col("b"))
-    thin = chunks.join(few, KEY, "left_semi").join(grams, KEY).filter(alike).select("a", "b")
+    thin = _merged(_merged(chunks, few, KEY, "left_semi"), grams, KEY).filter(alike).select("a", "b")
 
     # Crowded chunks: a word as long shares the rest left by the same gap; a word one shorter is such a rest.
-    left = chunks.join(many, KEY, "left_semi").select(*KEY, "a", F.explode(_left_out(F.col("a"))).alias("l")).select(*KEY, "a", "l.gap", "l.rest")
-    right = grams.join(many, KEY, "left_semi")
+    left = _merged(chunks, many, KEY, "left_semi").select(*KEY, "a", F.explode(_left_out(F.col("a"))).alias("l")).select(*KEY, "a", "l.gap", "l.rest")
+    right = _merged(grams, many, KEY, "left_semi")
     as_long = right.filter(F.length("b") == F.col("longer")).select(*KEY, "b", F.explode(_left_out(F.col("b"))).alias("l")).select(*KEY, "b", "l.gap", "l.rest")
     shorter = right.filter(F.length("b") < F.col("longer")).withColumn("rest", F.xxhash64("b"))
-    replaced = left.join(as_long, [*KEY, "gap", "rest"]).filter(alike).select("a", "b")
-    deleted = left.select(*KEY, "a", "rest").join(shorter, [*KEY, "rest"]).filter(alike).select("a", "b")
+    replaced = _merged(left, as_long, [*KEY, "gap", "rest"]).filter(alike).select("a", "b")
+    deleted = _merged(left.select(*KEY, "a", "rest"), shorter, [*KEY, "rest"]).filter(alike).select("a", "b")
     found = thin.unionByName(replaced).unionByName(deleted)
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
@@ -166,7 +174,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     links = staged(forms.select("word", F.col("form").alias("root"), F.lit(False).alias("last")))
     while links.filter("NOT last").limit(1).count():
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("onward"), F.col("last").alias("end"))
-        links = staged(links.join(onward, "root", "left").select(
+        links = staged(_merged(links, onward, "root", "left").select(
             "word", F.coalesce("onward", "root").alias("root"), F.coalesce("end", F.lit(True)).alias("last")))
     return links.select("word", "root")
 
@@ -175,14 +183,14 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(word, form, root, n, n_near, form_n) of every word of ``docs``."""
     words = staged(word_counts(docs, id_col, text_col))
     counts = words.select("word", "n")
-    pairs = near_pairs(words).join(counts.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
+    pairs = _merged(near_pairs(words), counts.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
     best = pairs.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min_by(F.struct("b", "m"), F.struct(-F.col("m"), F.col("b"))).alias("best"))
     found = F.col("best.m") >= FACTOR * F.col("n")
-    named = staged(counts.join(best, "word", "left").select(
+    named = staged(_merged(counts, best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(found, F.col("best.b")).alias("form"), F.when(found, F.col("best.m")).alias("form_n")))
     roots = _roots(named.filter("form IS NOT NULL"))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _merged(named, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants_sql(table: str = "documents") -> str:

@@ -110,3 +110,17 @@ def test_empty_nulls_repeats_long_runs_and_other_columns(docs):
     assert len(want) >= 4 and got(docs(*rows)) == want
     frame = docs(*rows).withColumnsRenamed({"source": "word", "n_chars": "n", "lang": "a"})
     assert got(frame) == want
+
+
+def test_no_side_of_a_join_is_broadcast(docs, monkeypatch):
+    """Exploded rows pass for as small as their words, so a small table shows which sides the planner would broadcast."""
+    keep, plans = sv.staged, []
+
+    def planned(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(sv, "staged", lambda frame: keep(planned(frame)))
+    rows = [(i, "colouring colouring colouring colouring colouring " + "colourin " * (i == 0)) for i in range(10)] + [(i, "colourin") for i in range(11, 18)]
+    assert planned(sv.variants(docs(*rows))).count() == 2
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
