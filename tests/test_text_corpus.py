@@ -47,6 +47,44 @@ def test_counts(corpus, rows):
     assert grams["crab crab"] == 1 and grams["カニ・温泉 view"] == 1 and len(grams) == 5
 
 
+def test_leading_ngrams_of_frequent_words_are_those_of_all(spark, monkeypatch):
+    """Frequent words that meet rarely, a phrase of rarer words that comes often, ties, and words no set holds."""
+    import random
+    rng = random.Random(5)
+    often = ["".join(p) for p in zip("abcdefgh", "ijklmnop", strict=True)]
+    texts = [rng.choices(often, k=30) + ["it's", "a\\b", "it's", "カニ・温泉"][: i % 5] + ["rare", "phrase", "here"] * (i % 2) + [f"once{i}"] for i in range(60)] + [[], ["ai"]]
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    words = tm.term_frequencies(df).cache()
+    for n in (2, 3):
+        grams = Counter(" ".join(t[i:i + n]) for t in texts for i in range(len(t) - n + 1))
+        for top in (1, 20, 10_000):
+            want = sorted(grams.items(), key=lambda g: (-g[1], g[0]))[:top]
+            for leading, looked_up in ((2000, 20_000), (8, 20_000), (3, 20_000), (3, 4), (1, 0)):
+                monkeypatch.setattr(tm, "LEADING", leading)
+                monkeypatch.setattr(tm, "LOOKED_UP", looked_up)
+                assert [tuple(r) for r in tm.ngram_counts(df, n, top, words=words).collect()] == want, (n, top, leading, looked_up)
+
+
+def test_norms_are_the_same_however_many_terms_are_frequent(corpus, monkeypatch):
+    want = {r.term: r.score for r in tm.tfidf_keywords(corpus).collect()}
+    for frequent in (0, 2):
+        monkeypatch.setattr(tm, "FREQUENT", frequent)
+        assert {r.term: r.score for r in tm.tfidf_keywords(corpus).collect()} == pytest.approx(want)
+
+
+def test_full_analysis_counts_words_and_terms_once(spark, monkeypatch):
+    """N-grams with a word too rare to lead are not written out; tokens are neither staged nor counted twice."""
+    from demandpanel.functions import text as tx
+    calls = Counter()
+    for module, name in ((tm, "term_frequencies"), (tm, "staged"), (tx, "term_counts"), (tx, "ngrams")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: (calls.update([_n]), _f(*a, **k))[1])
+    texts = ["crab sea boat fish", "castle temple garden moss"] * 30 + [f"{a}once{b}" for a in "abc" for b in "def"]
+    parts = tm.full_analysis(spark.createDataFrame([(t,) for t in texts], "t string"), "t", k=2)
+    assert parts["bigrams"].count() == 6 and parts["wordcloud"].count() > 8 and parts["topics"].count() == 2
+    # Staged: tokens, word counts, documents counted, term counts, vectors, norms.
+    assert calls == {"term_frequencies": 1, "staged": 6, "term_counts": 1}
+
+
 def test_topics_structure(spark):
     df = spark.createDataFrame([(i, "crab sea boat fish" if i % 2 else "castle temple garden moss") for i in range(30)], "id int, t string")
     words, counts = tm.topics(tm.tokenise(df, "t"), k=2, top_words=4, iterations=5)
